@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan, url_filter
+from . import decontaminate, language_id, mixing, secret_scan, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_language_id": language_id.op2_language_id,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_token_files": token_files.op7_token_files,
+        "op8_mixing": mixing.op8_mixing,
     }
 
 
