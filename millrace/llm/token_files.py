@@ -248,9 +248,9 @@ def build_index(rows: DataFrame, folder: str, work: Workspace) -> tuple[DataFram
     parts = max(1, -(-keys.count() // KEYS_PER_PART))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # the parts of this task: KEYS_PER_PART keys each, about
-        if not table.num_rows:
+        if not (held := list(batches)):
             return
+        table = pa.Table.from_batches(held)  # the parts of this task: KEYS_PER_PART keys each, about
         for part in np.unique(table.column("part").to_numpy()):
             own = table.filter(pc.equal(table.column("part"), int(part))).combine_chunks()
             batch = own.select(["doc_id", "k"]).to_batches()[0]

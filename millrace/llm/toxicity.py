@@ -4,7 +4,8 @@ A word's bag holds the hashes of the word and of its character n-grams (3 to 6,
 vector is the mean of their embeddings. A window of WINDOW words is the mean of its words' vectors, and a
 linear softmax over two classes reads it. A document's score is that of its most toxic window, in training
 as in scoring, so that a short passage counts alike in short and long texts. Embeddings and softmax are
-trained together by Adagrad on the cross-entropy. Unseen inflections and misspellings share n-grams, and so
+trained together by Adam on the cross-entropy, over the FEATURES buckets whose
+means differ most between the classes (t statistic LEAST_T or more). Unseen inflections and misspellings share n-grams, and so
 vectors, with words seen in training.
 
 Fitting uses a bounded, hash-chosen sample of the labelled training rows (FIT_DOCS rows expected, of which
@@ -33,14 +34,18 @@ from pyspark.sql import functions as F
 from .common import as_strings, text_slices, white_space_chunks
 from .language_id import held_out
 
-FIT_DOCS = 6_000
+FIT_DOCS = 8_000
 MAX_FIT_CHARS = 20_000
-WINDOW = 64
+WINDOW = 256
+MIN_DOCS = 5
+FEATURES = 2_048
+LEAST_T = 3.5
 DIM = 8
 BUCKETS = 1 << 17
-EPOCHS = 6
-BATCH = 64
-RATE = 0.5
+EPOCHS = 20
+BATCH = 128
+RATE = 0.01
+DECAY = 1e-4
 THRESHOLD = 0.7
 REMEMBERED = 600_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -71,53 +76,78 @@ class Model:
             return Model(None, 0.0)
         vocabulary: dict[str, int] = {}
         docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in LETTERS.findall(t.lower())], np.int64) for t in texts]
-        bags = [bag(w) for w in vocabulary]
+        usable = np.array([i for i, d in enumerate(docs) if len(d)], np.int64)
+        if not len(usable) or toxic[usable].all() or not toxic[usable].any():
+            return Model(None, 0.0)
+        docs, toxic = [docs[i] for i in usable], toxic[usable]
+        bags = [np.array(bag(w)) for w in vocabulary]
         size = np.array([len(b) for b in bags])
-        flat, starts = np.concatenate([np.array(b) for b in bags]) if bags else np.zeros(0, int), np.cumsum(size) - size
+        flat, starts = np.concatenate(bags), np.cumsum(size) - size
+
+        def spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The buckets of words, and what each adds to its word's mean."""
+            n = size[words]
+            return flat[np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(1 / n, n)
+
+        # buckets whose mean in a text differs between the classes beyond chance; the rest would be learnt by heart
+        sums, squares, holders = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS)), np.zeros(BUCKETS, np.int64)
+        for d, y in zip(docs, toxic.astype(int), strict=True):
+            buckets, value = spread(d)
+            own, at = np.unique(buckets, return_inverse=True)
+            mean = np.bincount(at, value) / len(d)
+            sums[y, own] += mean
+            squares[y, own] += mean**2
+            holders[own] += 1
+        n = np.array([(~toxic).sum(), toxic.sum()])[:, None]
+        variance = np.maximum(squares / n - (sums / n) ** 2, 0)
+        t = (sums[1] / n[1] - sums[0] / n[0]) / np.sqrt((variance / n).sum(axis=0) + 1e-12)
+        t[holders < MIN_DOCS] = 0
+        kept = np.argsort(-np.abs(t), kind="stable")[:FEATURES]
+        kept = np.sort(kept[np.abs(t[kept]) >= LEAST_T])
+        if not len(kept):
+            return Model(None, 0.0)
+        place = np.full(BUCKETS, -1)
+        place[kept] = np.arange(len(kept))
+
+        rows, first = [], [0]
+        for d in docs:
+            w = windows(len(d))
+            for a, b in zip(w[:-1], w[1:], strict=True):
+                buckets, value = spread(d[a:b])
+                at = place[buckets]
+                rows.append(np.bincount(at[at >= 0], value[at >= 0] / (b - a), len(kept)).astype(np.float32))
+            first.append(len(rows))
+        x, first = np.stack(rows), np.array(first)
+        scale = 1 / (x.std(axis=0) + 1e-6)
+        x *= scale
+
         rng = np.random.default_rng(seed)
-        table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-        out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
-        bias = np.array([0.0, float(np.log(toxic.mean() / (1 - toxic.mean())))], np.float32)
-        seen_t, seen_o, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-        usable = [i for i, d in enumerate(docs) if len(d)]
+        state = [rng.normal(0, 0.01, (len(kept), DIM)), rng.normal(0, 0.5, (DIM, 2)), np.log([1 - toxic.mean(), toxic.mean()])]
+        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in state]
+        step = 0
         for _ in range(EPOCHS):
-            for chosen in np.array_split(rng.permutation(usable), max(1, len(usable) // BATCH)):
-                words, at = np.unique(np.concatenate([docs[i] for i in chosen]), return_inverse=True)
-                take = np.repeat(starts[words] - np.cumsum(size[words]) + size[words], size[words]) + np.arange(size[words].sum())
-                buckets = flat[take]
-                owner = np.repeat(np.arange(len(words)), size[words])
-                vectors = np.add.reduceat(table[buckets], np.cumsum(size[words]) - size[words]) / size[words][:, None]
-                lengths = np.array([len(docs[i]) for i in chosen])
-                bounds = [windows(n) for n in lengths]
-                offs = np.cumsum(lengths) - lengths
-                first = np.concatenate([b[:-1] + o for b, o in zip(bounds, offs, strict=True)])
-                last = np.concatenate([b[1:] + o for b, o in zip(bounds, offs, strict=True)])
-                mean = np.add.reduceat(vectors[at], first) / (last - first)[:, None]
-                logits = mean @ out + bias
-                margin, w0 = logits[:, 1] - logits[:, 0], np.cumsum([len(b) - 1 for b in bounds])
-                best = np.array([a + int(np.argmax(margin[a:b])) for a, b in zip(np.concatenate(([0], w0[:-1])), w0, strict=True)])
+            for chosen in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
+                table, out, bias = state
+                own = np.concatenate([np.arange(first[i], first[i + 1]) for i in chosen])
+                logits = (x[own] @ table) @ out + bias
+                ends = np.cumsum(first[chosen + 1] - first[chosen])
+                margin = logits[:, 1] - logits[:, 0]
+                best = np.array([a + int(np.argmax(margin[a:b])) for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)])
                 z = logits[best] - logits[best].max(axis=1, keepdims=True)
-                p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-                grad = p.copy()
+                grad = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
                 grad[np.arange(len(best)), toxic[chosen].astype(int)] -= 1
                 grad /= len(best)
-                g_out, g_bias, g_mean = mean[best].T @ grad, grad.sum(axis=0), grad @ out.T
-                g_words = np.zeros((len(words), DIM), np.float32)
-                span = last[best] - first[best]
-                places = np.repeat(first[best] - np.cumsum(span) + span, span) + np.arange(span.sum())
-                per = np.repeat(g_mean / span[:, None], span, axis=0)
-                for d in range(DIM):
-                    g_words[:, d] = np.bincount(at[places], per[:, d], len(words))
-                used, inverse = np.unique(buckets, return_inverse=True)
-                spread = g_words[owner] / size[words][owner][:, None]
-                g_table = np.stack([np.bincount(inverse, spread[:, d], len(used)) for d in range(DIM)], axis=1)
-                seen_t[used] += (g_table**2).mean(axis=1)
-                table[used] -= (RATE * g_table / np.sqrt(seen_t[used])[:, None]).astype(np.float32)
-                seen_o += g_out**2
-                out -= 0.1 * g_out / np.sqrt(seen_o)
-                seen_b += g_bias**2
-                bias -= 0.1 * g_bias / np.sqrt(seen_b)
-        return Model((table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+                seen = x[own[best]]
+                grads = [seen.T @ (grad @ out.T) + DECAY * table, (seen @ table).T @ grad + DECAY * out, grad.sum(axis=0)]
+                step += 1
+                for p, g, (m, v) in zip(state, grads, moments, strict=True):  # Adam
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        table, out, bias = state
+        weights = np.zeros(BUCKETS, np.float32)
+        weights[kept] = scale * (table @ (out[:, 1] - out[:, 0]))
+        return Model(weights, float(bias[1] - bias[0]))
 
     def chunk(self, chunk: str) -> list[float]:
         return [float(self.weights[bag(w)].mean()) for w in LETTERS.findall(chunk.lower())]
