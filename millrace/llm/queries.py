@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, secret_scan, token_files, toxicity, url_filter
+from . import decontaminate, language_id, mixing, near_duplicates, secret_scan, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.op2_language_id,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op5_near_duplicates": near_duplicates.op5_near_duplicates,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_token_files": token_files.op7_token_files,
         "op8_mixing": mixing.op8_mixing,
