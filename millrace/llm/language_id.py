@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import as_strings, segment_sums, text_slices, white_space_chunks
 
-FIT_DOCS = 20_000
-MOST_WORDS = 150_000
-MOST_GRAMS = 150_000
+FIT_DOCS = 10_000
+MOST_WORDS = 60_000
+MOST_GRAMS = 60_000
 LONGEST = 5
 EVIDENCE = 40
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Distinct words that a fitting task counts before it sends its counts on.
+COUNTED = 40_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -51,7 +53,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
-            if sum(map(len, held.values())) > REMEMBERED:
+            if sum(map(len, held.values())) > COUNTED:
                 yield from flush(held)
                 held = {}
         yield from flush(held)
@@ -74,9 +76,10 @@ def _counts(labelled: DataFrame) -> DataFrame:
 class Model:
     """Log frequencies by language of words and n-grams; small and of bounded size."""
 
-    def __init__(self, languages: list[str], shares: np.ndarray, tables: list[dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], shares: np.ndarray, tables: list[dict[str, tuple[float, ...]]]):
         self.languages, self.shares, self.tables = languages, shares, tables
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.sums = np.zeros((0, len(languages) + 2), np.float32)
 
     @staticmethod
     def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, key: str = "doc_id") -> "Model":
@@ -92,44 +95,46 @@ class Model:
         counts.unpersist()
         languages = sorted({lang for _, lang in sums})
         tokens = lambda n: np.array([sums.get((n, x), (0, 0))[0] for x in languages], float)
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        tables: list[dict[str, tuple[float, ...]]] = [{} for _ in range(LONGEST + 1)]
         types = [sum(t for (m, _), (_, t) in sums.items() if m == n) for n in range(LONGEST + 1)]
         below = [np.log(tokens(n) + 0.5 * types[n] + 1) for n in range(LONGEST + 1)]
         for frame in (words, parts):
             for n, gram, by in zip(frame["n"], frame["gram"], frame["by"], strict=True):
                 by = dict(by)
-                tables[n][gram] = np.log(np.array([by.get(x, 0) for x in languages], float) + 0.5) - below[n]
+                tables[n][gram] = tuple((np.log(np.array([by.get(x, 0) for x in languages], float) + 0.5) - below[n]).tolist())
         shares = tokens(0) / max(1.0, tokens(0).sum())
         return Model(languages, shares, tables)
 
-    def word(self, word: str) -> np.ndarray | None:
+    def word(self, word: str) -> list[float] | tuple[float, ...] | None:
         if (v := self.tables[0].get(word)) is not None:
             return v
         for n in range(LONGEST, 0, -1):
             table = self.tables[n]
             if found := [v for g in grams(word, n) if (v := table.get(g)) is not None]:
-                return sum(found) / len(found)
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
         return None
 
-    def chunk(self, chunk: str) -> np.ndarray:
+    def chunk(self, chunk: str) -> list[float]:
         """Sums by language over the chunk's words, then the numbers of scored words and of words."""
-        out = np.zeros(len(self.languages) + 2)
-        for w in LETTERS.findall(chunk.lower()):
-            out[-1] += 1
+        out, scored, words = [0.0] * len(self.languages), 0, LETTERS.findall(chunk.lower())
+        for w in words:
             if (v := self.word(w)) is not None:
-                out[:-2] += v
-                out[-2] += 1
-        return out
+                out = [a + b for a, b in zip(out, v, strict=True)]
+                scored += 1
+        return [*out, scored, len(words)]
 
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        uniq, at, offsets = white_space_chunks(texts)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        uniq, at, offsets = white_space_chunks(texts)
+            self.sums = self.sums[:0]
         known = self.known
-        for c in uniq:
-            if c not in known:
-                known[c] = self.chunk(c)
-        sums = segment_sums(np.array([known[c] for c in uniq])[at] if len(at) else np.zeros((0, len(self.languages) + 2)), offsets)
+        if new := [c for c in uniq if c not in known]:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.sums = np.concatenate([self.sums, np.array([self.chunk(c) for c in new], np.float32)])
+        number = np.fromiter((known[c] for c in uniq), np.int64, len(uniq))
+        width = len(self.languages) + 2
+        sums = np.stack([segment_sums(self.sums[number[at], k], offsets) for k in range(width)], axis=1)
         n, letters = np.rint(sums[:, -2]), np.rint(sums[:, -1]) > 0
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))

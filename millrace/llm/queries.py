@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, mixing, near_duplicates, secret_scan, token_files, toxicity, url_filter
+from . import decontaminate, html_text, language_id, mixing, near_duplicates, nearest, secret_scan, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_files": token_files.op7_token_files,
         "op8_mixing": mixing.op8_mixing,
         "op9_html_text": html_text.op9_html_text,
+        "op10_nearest": nearest.op10_nearest,
     }
 
 
