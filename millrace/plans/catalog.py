@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "agg_group_count"
+FLAGSHIP = "win06_round_robin"
 
 
 def query(name: str, sql: str | None = None):
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("agg_group_count", "SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang")
-def agg_group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("agg01_group_count", "SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang")
+def agg01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by language: partial and final hash aggregation over one pruned column."""
     return table(spark, sf_dir, "documents").groupBy("lang").count().withColumnRenamed("count", "n_docs")
