@@ -1 +1,177 @@
-"""Placeholder."""
+"""Numbers, JSON and arrays (MATH, JSON, ARR)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.plans.catalog import query, table
+
+# Metres in a mile, a furlong and a yard.
+MILE, FURLONG, YARD = 1609.344, 201.168, 0.9144
+
+
+def metres(text: Column) -> Column:
+    """Metres of `2400m`, `1m 4f 110y`, `6f`, `1 1/2m`; null where no unit is found."""
+    t = F.lower(F.trim(text))
+    number = lambda unit: F.nullif(F.regexp_extract(t, rf"([0-9]+(?:\.[0-9]+)?)\s*{unit}\b", 1), F.lit("")).try_cast("double")
+    fraction = F.nullif(F.regexp_extract(t, r"([0-9]+) ([0-9]+)/([0-9]+)\s*m\b", 0), F.lit(""))
+    mixed = F.regexp_extract(t, r"([0-9]+) ([0-9]+)/([0-9]+)\s*m\b", 1).try_cast("double") + F.regexp_extract(t, r"([0-9]+) ([0-9]+)/([0-9]+)\s*m\b", 2).try_cast("double") / F.regexp_extract(t, r"([0-9]+) ([0-9]+)/([0-9]+)\s*m\b", 3).try_cast("double")
+    metric = F.nullif(F.regexp_extract(t, r"^([0-9]{3,5})\s*m?$", 1), F.lit("")).try_cast("double")
+    miles, furlongs, yards = number("m"), number("f"), number("y")
+    imperial = F.coalesce(miles, F.lit(0.0)) * MILE + F.coalesce(furlongs, F.lit(0.0)) * FURLONG + F.coalesce(yards, F.lit(0.0)) * YARD
+    return F.when(metric.isNotNull(), metric).when(fraction.isNotNull(), mixed * MILE).when(F.coalesce(miles, furlongs, yards).isNotNull(), imperial)
+
+
+def _rows(spark: SparkSession, values: list[str]) -> DataFrame:
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, raw string")
+
+
+DISTANCES = ["2400m", "1m 4f 110y", "6f", "1 1/2m", "1600", "", "about a mile"]
+
+
+@query("math01_distance", "SELECT * FROM (VALUES (0, 2400.0::DOUBLE), (1, 2514.6), (2, 1207.008), (3, 2414.016), (4, 1600.0), (5, NULL), (6, NULL)) v(id, metres)")
+def math01(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(spark, DISTANCES).select("id", F.round(metres(F.col("raw")), 3).alias("metres"))
+
+
+@query("math02_exact_half_up", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(CAST(l_quantity AS DECIMAL(18,4)) / CAST(3 AS DECIMAL(18,4)) * 20) / 20 AS DOUBLE) AS margin, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem")
+def math02(spark: SparkSession, sf: str) -> DataFrame:
+    """Twentieths, rounded half up on decimals, never on doubles."""
+    third = F.col("l_quantity").cast("decimal(18,4)") / F.lit(3).cast("decimal(18,4)")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round(third * 20, 0) / 20).cast("double").alias("margin"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+
+
+def finish_position(raw: Column) -> Column:
+    """struct(position, status) of digits, ordinals and status codes."""
+    t = F.lower(F.trim(raw))
+    digits = F.regexp_extract(t, r"^([0-9]{1,3})(st|nd|rd|th|着)?$", 1)
+    codes = {"f": "fell", "pu": "pulled_up", "ur": "unseated", "dq": "disqualified", "scr": "scratched", "取消": "scratched", "中止": "pulled_up"}
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), t)
+    return F.struct(F.nullif(digits, F.lit("")).try_cast("int").alias("position"), F.when(digits != "", "finished").otherwise(F.coalesce(status, F.lit("unknown"))).alias("status"))
+
+
+@query("math03_finish_position", "SELECT * FROM (VALUES (0, 1, 'finished'), (1, 2, 'finished'), (2, 3, 'finished'), (3, NULL, 'fell'), (4, NULL, 'disqualified'), (5, NULL, 'scratched'), (6, NULL, 'unknown')) v(id, position, status)")
+def math03(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(spark, ["1", "2nd", "3着", "F", "DQ", "取消", "?"]).select("id", finish_position(F.col("raw")).alias("p")).select("id", "p.position", "p.status")
+
+
+def grade(raw: Column) -> Column:
+    """Canonical grade of free text, by ordered patterns."""
+    t = F.upper(F.translate(raw, "ⅠⅡⅢ１２３", "123123"))
+    return F.when(t.rlike(r"\b(G|GR|GRADE|GROUP|JPN)\s*\.?\s*(1|I)\b"), "G1").when(t.rlike(r"\b(G|GR|GRADE|GROUP|JPN)\s*\.?\s*(2|II)\b"), "G2").when(t.rlike(r"\b(G|GR|GRADE|GROUP|JPN)\s*\.?\s*(3|III)\b"), "G3").when(t.rlike(r"\bLISTED\b|\(L\)"), "L")
+
+
+@query("math04_grade", "SELECT * FROM (VALUES (0, 'G1', 0), (1, 'G2', 1), (2, 'G3', 2), (3, 'L', 3), (4, NULL, 9), (5, 'G1', 0)) v(id, grade, priority)")
+def math04(spark: SparkSession, sf: str) -> DataFrame:
+    g = _rows(spark, ["Group 1", "G II", "jpn3", "Listed", "Handicap", "Grade Ⅰ"]).select("id", grade(F.col("raw")).alias("grade"))
+    return g.withColumn("priority", F.coalesce(F.element_at(F.create_map(*[x for i, k in enumerate(("G1", "G2", "G3", "L")) for x in (F.lit(k), F.lit(i))]), F.col("grade")), F.lit(9)))
+
+
+@query("math05_surface_going", "SELECT p_partkey, CASE WHEN p_name LIKE '%red%' OR p_name LIKE '%hot%' THEN 'dirt' WHEN p_name LIKE '%blue%' THEN 'turf' ELSE 'unknown' END AS surface, CASE WHEN p_type = 'ECONOMY' THEN 'good' WHEN p_type = 'SMALL' THEN 'firm' ELSE 'unknown' END AS going FROM part")
+def math05(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("p_name")
+    surface = F.when(n.contains("red") | n.contains("hot"), "dirt").when(n.contains("blue"), "turf").otherwise("unknown")
+    going = F.coalesce(F.element_at(F.create_map(F.lit("ECONOMY"), F.lit("good"), F.lit("SMALL"), F.lit("firm")), F.col("p_type")), F.lit("unknown"))
+    return table(spark, sf, "part").select("p_partkey", surface.alias("surface"), going.alias("going"))
+
+
+@query("math06_credible_grade_filter", "SELECT o_orderkey FROM orders WHERE upper(regexp_extract(o_orderpriority, '[0-9]')) IN ('1', '2') AND o_orderstatus <> 'P'")
+def math06(spark: SparkSession, sf: str) -> DataFrame:
+    code = F.upper(F.regexp_extract("o_orderpriority", "[0-9]", 0))
+    return table(spark, sf, "orders").filter(code.isin("1", "2") & (F.col("o_orderstatus") != "P")).select("o_orderkey")
+
+
+def article_score(length: Column, source_bonus: Column, value: Column, recency: Column) -> Column:
+    """min(100, source + value + recency + structure + min(15, quality // 8)), integer arithmetic throughout."""
+    structure = F.when(length >= 240, 10).otherwise(5)
+    quality = F.least(F.lit(100), 55 + structure + F.least(F.lit(20), F.floor(length / 120)))
+    return F.least(F.lit(100), source_bonus + value + recency + structure + F.least(F.lit(15), F.floor(quality / 8))).cast("long")
+
+
+SCORE = "least(100, CASE WHEN d.source = 'src0' THEN 15 ELSE 10 END + CASE WHEN l.quality = 1 THEN 25 ELSE 0 END + CASE WHEN d.doc_id % 3 = 0 THEN 10 WHEN d.doc_id % 3 = 1 THEN 6 ELSE 2 END + CASE WHEN n_chars >= 240 THEN 10 ELSE 5 END + least(15, least(100, 55 + CASE WHEN n_chars >= 240 THEN 10 ELSE 5 END + least(20, n_chars // 120)) // 8))::BIGINT"
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    recency = F.element_at(F.array(F.lit(10), F.lit(6), F.lit(2)), (F.col("doc_id") % 3 + 1).cast("int"))
+    return d.withColumn("score", article_score(F.col("n_chars"), F.when(F.col("source") == "src0", 15).otherwise(10), F.when(F.col("quality") == 1, 25).otherwise(0), recency))
+
+
+@query("math07_capped_score", f"SELECT d.doc_id, {SCORE} AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def math07(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf).select("doc_id", "score")
+
+
+def clamped(c: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+@query("math08_clamp", "SELECT event_id, least(greatest(value - 20, 0.0::DOUBLE), 60.0::DOUBLE) AS value FROM events")
+def math08(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", clamped(F.col("value") - 20, 0.0, 60.0).alias("value"))
+
+
+@query("json01_canonical_hash", """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS digest FROM documents""")
+def json01(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys in sorted order, compact separators, nulls written: one text, one hash."""
+    body = F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"})
+    return table(spark, sf, "documents").select("doc_id", F.sha2(body, 256).alias("digest"))
+
+
+@query("json02_strict_contract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 0 AND 60 AS valid FROM events")
+def json02(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact keys, types and bounds; anything else is invalid."""
+    parsed = F.from_json("props", "k long, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    keys = F.json_object_keys("props")
+    e = table(spark, sf, "events").select("event_id", parsed.alias("p"), keys.alias("keys"))
+    return e.select("event_id", (F.col("p._bad").isNull() & (F.col("keys") == F.array(F.lit("k"))) & F.col("p.k").between(0, 60)).alias("valid"))
+
+
+@query("json03_merge", """SELECT event_id, 'k=' || json_extract_string(props, '$.k') || ',type=' || event_type AS merged FROM events""")
+def json03(spark: SparkSession, sf: str) -> DataFrame:
+    """The later map's values win, key by key."""
+    first = F.from_json("props", "map<string,string>")
+    second = F.create_map(F.lit("type"), F.col("event_type"))
+    kept = F.map_filter(first, lambda k, v: ~F.map_contains_key(second, "type") | (k != "type"))
+    merged = F.map_concat(kept, second)
+    return table(spark, sf, "events").select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))
+
+
+@query("arr01_array_algebra", "SELECT vec_id, len(list_distinct(list_transform(embedding, lambda x: round(x::DOUBLE, 1)))) AS n_distinct, len(list_filter(embedding, lambda x: x > 0)) AS n_positive, round(list_max(embedding)::DOUBLE, 6) AS top FROM embeddings")
+def arr01(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("embedding")
+    rounded = F.array_distinct(F.transform(v, lambda x: F.round(x.cast("double"), 1) + 0.0))
+    return table(spark, sf, "embeddings").select("vec_id", F.size(rounded).cast("long").alias("n_distinct"), F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("n_positive"), F.round(F.array_max(v).cast("double"), 6).alias("top"))
+
+
+AUTHORITY = "WITH c AS (SELECT o_custkey AS k, o_orderstatus AS v, CASE o_orderpriority WHEN '1-URGENT' THEN 50 WHEN '2-HIGH' THEN 40 WHEN '3-MEDIUM' THEN 30 ELSE 10 END AS r FROM orders), t AS (SELECT k, max(r) AS top FROM c GROUP BY 1), w AS (SELECT c.k, count(DISTINCT v) AS n, min(v) AS v, any_value(top) AS top FROM c JOIN t ON t.k = c.k AND c.r = t.top GROUP BY 1) SELECT k, top, CASE WHEN n = 1 THEN v END AS value, n > 1 AS blocked FROM w"
+
+
+def merged_by_authority(candidates: DataFrame, key: str, value: str, rank: str) -> DataFrame:
+    """The value that all candidates of the highest rank agree on; a disagreement there blocks the field."""
+    c = candidates.filter(F.col(value).isNotNull() & (F.trim(value) != ""))
+    own = c.groupBy(key, rank).agg(F.count_distinct(value).alias("n"), F.min(value).alias("v"))
+    top = own.groupBy(key).agg(F.max_by(F.struct(F.col(rank).alias("top"), "n", "v"), rank).alias("b"))
+    return top.select(F.col(key), "b.top", F.when(F.col("b.n") == 1, F.col("b.v")).alias("value"), (F.col("b.n") > 1).alias("blocked"))
+
+
+@query("arr02_authority_merge", AUTHORITY)
+def arr02(spark: SparkSession, sf: str) -> DataFrame:
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 50).when(F.col("o_orderpriority") == "2-HIGH", 40).when(F.col("o_orderpriority") == "3-MEDIUM", 30).otherwise(10)
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"), rank.alias("r"))
+    return merged_by_authority(o, "k", "v", "r")
+
+
+@query("arr03_completeness_tier", "SELECT c_custkey, CASE WHEN (c_acctbal > 0)::INT + (c_mktsegment <> 'HOUSEHOLD')::INT + (c_nationkey > 4)::INT = 3 THEN 'full' WHEN (c_acctbal > 0)::INT + (c_mktsegment <> 'HOUSEHOLD')::INT + (c_nationkey > 4)::INT >= 2 THEN 'partial' ELSE 'thin' END AS tier FROM customer")
+def arr03(spark: SparkSession, sf: str) -> DataFrame:
+    present = F.array(F.col("c_acctbal") > 0, F.col("c_mktsegment") != "HOUSEHOLD", F.col("c_nationkey") > 4)
+    n = F.size(F.filter(present, lambda x: x))
+    return table(spark, sf, "customer").select("c_custkey", F.when(F.forall(present, lambda x: x), "full").when(n >= 2, "partial").otherwise("thin").alias("tier"))
+
+
+def previous_hash(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Rows whose content hash differs from the one before them."""
+    w = Window.partitionBy(key).orderBy(*order)
+    h = F.sha2(F.col(value).cast("string"), 256)
+    return df.withColumn("changed", ~h.eqNullSafe(F.lag(h).over(w)))

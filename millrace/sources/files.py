@@ -1 +1,199 @@
-"""Placeholder."""
+"""Sources and sinks (SRC): explicit schemas, broken rows kept apart, atomic writes with a manifest."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.plans.catalog import query, table
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="millrace-files-")
+
+
+@query("src01_page_drafts", "SELECT page_id, regexp_extract(url, '^[^/]*//([^/?#]*)', 1) AS site, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=.([a-z]+).>', 1) AS lang FROM pages")
+def src01(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed pages to canonical drafts."""
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[^/]*//([^/?#]*)", 1).alias("site"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<html lang=.([a-z]+).>", 1).alias("lang"))
+
+
+@query("src02_relative_time", "SELECT event_id, TIMESTAMP '2024-01-30 12:00:00' - to_minutes((event_id % 50)::INT) AS at FROM events")
+def src02(spark: SparkSession, sf: str) -> DataFrame:
+    """`n minutes ago` against a given clock."""
+    said = F.concat((F.col("event_id") % 50).cast("string"), F.lit(" minutes ago"))
+    n = F.regexp_extract(said, "([0-9]+) minutes ago", 1).cast("int")
+    return table(spark, sf, "events").withColumn("n", n).select("event_id", F.expr("timestampadd(MINUTE, -n, TIMESTAMP_NTZ '2024-01-30 12:00:00')").alias("at"))
+
+
+@query("src03_year_inference", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def src03(spark: SparkSession, sf: str) -> DataFrame:
+    """A heading with month and day gets its year from the url."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd").alias("heading"), F.concat(F.lit("https://example.com/news/"), F.year("o_orderdate").cast("string"), F.lit("/x")).alias("url"))
+    return o.select("o_orderkey", F.make_date(F.regexp_extract("url", "/([0-9]{4})/", 1).cast("int"), F.split("heading", "/")[0].cast("int"), F.split("heading", "/")[1].cast("int")).alias("day"))
+
+
+@query("src04_listing_links", "SELECT page_id, pos, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=.(/[^>]*).>', 1)) AS link, generate_subscripts(regexp_extract_all(html, 'href=.(/[^>]*).>', 1), 1) - 1 AS pos FROM pages) WHERE link <> '/the'")
+def src04(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of a listing page with their rank, and a topic allow-list."""
+    links = F.regexp_extract_all("html", F.lit("href=.(/[^>]*).>"), F.lit(1))
+    return table(spark, sf, "pages").select("page_id", F.posexplode(links).alias("pos", "link")).filter("link <> '/the'").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("src05_keyword_fan_out", "SELECT DISTINCT conv_id, turn FROM conversations WHERE contains(text, 'the') OR contains(text, 'de ') OR contains(text, 'und')")
+def src05(spark: SparkSession, sf: str) -> DataFrame:
+    """One scan for all keywords; a post found by several counts once."""
+    c = table(spark, sf, "conversations")
+    return c.filter(F.greatest(*[F.col("text").contains(k) for k in ("the", "de ", "und")])).select("conv_id", "turn").distinct()
+
+
+@query("src06_outer_merge", "SELECT coalesce(a.k, b.k) AS k, a.q, b.p FROM (SELECT l_orderkey AS k, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) a FULL JOIN (SELECT l_orderkey AS k, count(*) AS p FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) b ON a.k = b.k")
+def src06(spark: SparkSession, sf: str) -> DataFrame:
+    i = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k")
+    a = i.filter("l_linenumber <= 3").groupBy("k").agg(F.sum("l_quantity").cast("long").alias("q"))
+    return a.join(i.filter("l_linenumber > 3").groupBy("k").agg(F.count("*").alias("p")), "k", "full_outer")
+
+
+@query("src07_observation_struct", "SELECT l_orderkey, count(*) AS runners, sha256(string_agg(l_linenumber || '-' || l_partkey, ',' ORDER BY l_linenumber, l_partkey)) AS digest FROM lineitem GROUP BY 1")
+def src07(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised observation: an ordered array of runner structs and its digest."""
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(rows.alias("rows"))
+    return o.select("l_orderkey", F.size("rows").cast("long").alias("runners"), F.sha2(F.array_join(F.transform("rows", lambda r: F.concat_ws("-", r["l_linenumber"].cast("string"), r["l_partkey"].cast("string"))), ","), 256).alias("digest"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and broken ones with their text."""
+    held = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return held.filter("_bad is null").drop("_bad"), held.filter("_bad is not null").select("_bad")
+
+
+@query("src08_json_lines", "SELECT event_id, event_type, value FROM events WHERE event_id % 3 = 0")
+def src08(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark)
+    rows = table(spark, sf, "events").filter("event_id % 3 = 0").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value"))
+    rows.unionByName(spark.createDataFrame([("{broken",)], "value string")).write.text(path + "/lines")
+    return read_json_lines(spark, path + "/lines", "event_id long, event_type string, value double")[0]
+
+
+def decode(raw: bytes) -> tuple[str, str]:
+    """(charset, text): the decoding with most letters of its own script and no replacement characters."""
+    best = ("utf-8", raw.decode("utf-8", "replace"), -1e9)
+    for name in ("utf-8-sig", "shift_jis", "gb18030", "euc-jp", "latin-1"):
+        try:
+            text = raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+        score = sum(2 for c in text if "぀" <= c <= "ヿ") + sum(1 for c in text if "一" <= c <= "鿿") - 3 * sum("\x80" <= c <= "\xff" for c in text) - 5 * text.count("�") + (50 if name == "utf-8-sig" else 0)
+        if score > best[2]:
+            best = (name, text, score)
+    return best[0], best[1]
+
+
+@query("src09_charset_csv", "SELECT * FROM (VALUES ('id,name', 0), ('1,東京', 1), ('2,大阪', 2)) v(line, pos)")
+def src09(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV of unknown charset, decoded in Arrow batches; the split is native."""
+    raw = spark.createDataFrame([(bytearray("id,name\n1,東京\n2,大阪".encode("shift_jis")),)], "content binary")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"text": [decode(bytes(b))[1] for b in f["content"]]})
+
+    return raw.mapInPandas(run, "text string").select(F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("line", "pos")
+
+
+@query("src12_table_scan", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders")
+def src12(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, refused if it has more than `most` rows; reads most + 1 rows at the most to find out."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    return df
+
+
+@query("src13_bounded_scan", "SELECT s_suppkey FROM supplier WHERE s_nationkey = 3")
+def src13(spark: SparkSession, sf: str) -> DataFrame:
+    return bounded(table(spark, sf, "supplier").filter("s_nationkey = 3").select("s_suppkey"), 100_000)
+
+
+def write_with_manifest(df: DataFrame, path: str) -> DataFrame:
+    """Writes JSON lines (the commit protocol makes it all or nothing) and returns sha256 and bytes of each file."""
+    df.write.mode("errorifexists").json(path)
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+@query("src14_sink_manifest", "SELECT count(*) AS n_rows, 1::BIGINT AS hashed FROM nation")
+def src14(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark) + "/nation"
+    manifest = write_with_manifest(table(spark, sf, "nation"), path)
+    rows = spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
+    ok = manifest.agg(F.bool_and(F.length("sha256") == 64).cast("long").alias("hashed")).withColumn("one", F.lit(1))
+    return rows.agg(F.count("*").alias("n_rows")).withColumn("one", F.lit(1)).join(ok, "one").select("n_rows", "hashed")
+
+
+@query("src15_content_pool", "SELECT sha256(text) AS sha, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+def src15(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+
+
+def upserted(target: DataFrame, batch: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """target with batch laid over it: new rows join, a blank never overwrites a value."""
+    b = batch.select(F.col(key), *[F.nullif(F.col(c), F.lit("")).alias(f"__{c}") for c in columns])
+    return target.join(b, key, "full_outer").select(key, *[F.coalesce(f"__{c}", c).alias(c) for c in columns])
+
+
+@query("src16_upsert", "SELECT coalesce(t.c_custkey, b.k) AS c_custkey, coalesce(nullif(b.s, ''), t.c_mktsegment) AS c_mktsegment FROM (SELECT * FROM customer WHERE c_custkey % 10 < 8) t FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'NEW' END AS s FROM customer WHERE c_custkey % 10 >= 6) b ON b.k = t.c_custkey")
+def src16(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    batch = c.filter("c_custkey % 10 >= 6").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "").otherwise("NEW"))
+    return upserted(c.filter("c_custkey % 10 < 8"), batch, "c_custkey", ["c_mktsegment"])
+
+
+@query("src17_import_preview", "SELECT CASE WHEN s.k % 13 = 0 THEN 'error' WHEN p.p_partkey IS NULL THEN 'create' WHEN p.p_brand = s.b THEN 'unchanged' ELSE 'update' END AS action, count(*) AS n FROM (SELECT p_partkey + 5 AS k, p_brand AS b FROM part) s LEFT JOIN part p ON p.p_partkey = s.k GROUP BY 1")
+def src17(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select("p_partkey", "p_brand")
+    staged = p.select((F.col("p_partkey") + 5).alias("p_partkey"), F.col("p_brand").alias("b"))
+    j = staged.join(p, "p_partkey", "left")
+    return j.groupBy(F.when(F.col("p_partkey") % 13 == 0, "error").when(F.col("p_brand").isNull(), "create").when(F.col("p_brand") == F.col("b"), "unchanged").otherwise("update").alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("src18_good_and_bad_rows", "SELECT try_cast(CASE WHEN event_id % 9 = 0 THEN 'x' ELSE event_id::VARCHAR END AS BIGINT) IS NOT NULL AS good, count(*) AS n FROM events GROUP BY 1")
+def src18(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 9 == 0, "x").otherwise(F.col("event_id").cast("string"))
+    return table(spark, sf, "events").groupBy(raw.try_cast(T.LongType()).isNotNull().alias("good")).agg(F.count("*").alias("n"))
+
+
+@query("src19_nested_export", "SELECT o_orderkey, count(l_orderkey) AS n_lines, coalesce(min(l_linenumber), 0) AS first_line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def src19(spark: SparkSession, sf: str) -> DataFrame:
+    """Parents with nested children as JSON, read back by schema."""
+    kids = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    out = table(spark, sf, "orders").select("o_orderkey").join(kids, "o_orderkey", "left").select(F.to_json(F.struct("o_orderkey", "lines")).alias("j"))
+    back = out.select(F.from_json("j", "o_orderkey long, lines array<struct<l_linenumber:int,l_partkey:long>>").alias("r")).select("r.*")
+    return back.select("o_orderkey", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.get("lines", F.lit(0))["l_linenumber"], F.lit(0)).alias("first_line"))
+
+
+def redacted(text: Column) -> Column:
+    mail = F.regexp_replace(text, "[A-Za-z0-9._]+@[A-Za-z0-9.]+", "[mail]")
+    return F.regexp_replace(mail, "https?://[^ ]+", "[url]")
+
+
+@query("src20_redacted_export", "SELECT doc_id, substr(regexp_replace(regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', '[mail]', 'g'), 'https?://[^ ]+', '[url]', 'g'), 1, 2000) AS text, strlen(text) > 2000 AS over_budget FROM documents")
+def src20(spark: SparkSession, sf: str) -> DataFrame:
+    """Scrubbed and cut to a budget, which is this export's feature."""
+    return table(spark, sf, "documents").select("doc_id", F.substring(redacted(F.col("text")), 1, 2000).alias("text"), (F.octet_length("text") > 2000).alias("over_budget"))
