@@ -197,3 +197,99 @@ def redacted(text: Column) -> Column:
 def src20(spark: SparkSession, sf: str) -> DataFrame:
     """Scrubbed and cut to a budget, which is this export's feature."""
     return table(spark, sf, "documents").select("doc_id", F.substring(redacted(F.col("text")), 1, 2000).alias("text"), (F.octet_length("text") > 2000).alias("over_budget"))
+
+
+SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> list[list[str]]:
+    """Cells of a workbook's first sheet, as text: a zip of XML parts, read with the standard library."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(SHEET + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(SHEET + "si")]
+        out = []
+        for row in ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml")).iter(SHEET + "row"):
+            cells = []
+            for c in row.iter(SHEET + "c"):
+                value = c.find(SHEET + "v")
+                text = "".join(t.text or "" for t in c.iter(SHEET + "t")) if value is None else value.text or ""
+                cells.append(shared[int(text)] if c.get("t") == "s" else text)
+            out.append(cells)
+        return out
+
+
+def workbook(rows: list[list[str]]) -> bytes:
+    """A minimal workbook with one sheet of inline strings."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    body = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in r) + "</row>" for r in rows)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{SHEET[1:-1]}"><sheetData>{body}</sheetData></worksheet>')
+    return held.getvalue()
+
+
+@query("src10_review_sheet", "SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation WHERE n_regionkey = 1")
+def src10(spark: SparkSession, sf: str) -> DataFrame:
+    """A review sheet written and read again; one file is one row of a binary scan."""
+    rows = [[str(r[0]), r[1]] for r in table(spark, sf, "nation").filter("n_regionkey = 1").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(1000).collect()]
+    files = spark.createDataFrame([(bytearray(workbook([["key", "name"], *rows])),)], "content binary")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content in f["content"]:
+                yield pd.DataFrame(sheet_rows(bytes(content))[1:], columns=["key", "name"])
+
+    return files.mapInPandas(run, "key string, name string")
+
+
+def pdf_text(content: bytes) -> str:
+    """Text shown by the content streams of a simple PDF: literal strings of Tj and TJ, plain or deflated streams."""
+    import re
+    import zlib
+
+    out = []
+    for m in re.finditer(rb"(<<[^>]*(?:>(?!>)[^>]*)*>>)\s*stream\r?\n(.*?)\r?\nendstream", content, re.S):
+        data = zlib.decompress(m[2]) if b"FlateDecode" in m[1] else m[2]
+        for shown in re.finditer(rb"\[(.*?)\]\s*TJ|\(((?:\\.|[^()\\])*)\)\s*Tj", data, re.S):
+            parts = [shown[2]] if shown[2] is not None else re.findall(rb"\(((?:\\.|[^()\\])*)\)", shown[1])
+            out.append(re.sub(rb"\\(.)", rb"\1", b"".join(parts)).decode("latin-1"))
+    return "\n".join(out)
+
+
+@query("src11_pdf_text", "SELECT * FROM (VALUES ('First line' || chr(10) || 'Second (line)')) v(text)")
+def src11(spark: SparkSession, sf: str) -> DataFrame:
+    """Text lines of a PDF given as bytes."""
+    import zlib
+
+    stream = zlib.compress(rb"BT (First line) Tj ET BT [(Second ) -20 (\(line\))] TJ ET")
+    page = b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode /Length " + str(len(stream)).encode() + b" >>\nstream\n" + stream + b"\nendstream endobj"
+    files = spark.createDataFrame([(bytearray(page),)], "content binary")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"text": [pdf_text(bytes(b)) for b in f["content"]]})
+
+    return files.mapInPandas(run, "text string")
+
+
+@query("src21_delivery_ledger", "SELECT event_id, 'mail' AS channel, 'sent' AS status FROM events WHERE event_type = 'error' AND user_id % 5 = 0")
+def src21(spark: SparkSession, sf: str) -> DataFrame:
+    """A message sink's ledger: each micro-batch writes its own part, so that a retried batch can't send twice."""
+    from millrace.streaming.replay import event_stream
+
+    path = scratch(spark)
+
+    def deliver(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("channel", F.lit("mail")).withColumn("status", F.lit("sent")).write.mode("overwrite").parquet(f"{path}/ledger/epoch={epoch}")
+
+    due = event_stream(spark, sf).filter("event_type = 'error' and user_id % 5 = 0").select("event_id")
+    due.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, channel string, status string").parquet(f"{path}/ledger").select("event_id", "channel", "status")
