@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +52,15 @@ REMEMBERED = 600_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def bag(word: str) -> list[int]:
+def parts_of(word: str) -> set[str]:
     marked = f"<{word}>"
-    parts = {marked, *(marked[i : i + n] for n in range(3, 7) for i in range(len(marked) - n + 1))}
-    return sorted(xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts)
+    found = {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)}
+    found.add(marked)
+    return found
+
+
+def bucket(part: str) -> int:
+    return xxhash.xxh3_64_intdigest(part) % BUCKETS
 
 
 def windows(n: int) -> np.ndarray:
@@ -64,8 +70,8 @@ def windows(n: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray | None, bias: float):
-        """weights: what each bucket adds to the difference of the two classes' logits."""
+    def __init__(self, weights: dict[str, float] | None, bias: float):
+        """weights: what each n-gram seen in training, in a chosen bucket, adds to the two logits' difference."""
         self.weights, self.bias = weights, bias
         self.known: dict[str, list[float]] = {}
 
@@ -80,7 +86,7 @@ class Model:
         if not len(usable) or toxic[usable].all() or not toxic[usable].any():
             return Model(None, 0.0)
         docs, toxic = [docs[i] for i in usable], toxic[usable]
-        bags = [np.array(bag(w)) for w in vocabulary]
+        bags = [np.array([bucket(x) for x in parts_of(w)]) for w in vocabulary]
         size = np.array([len(b) for b in bags])
         flat, starts = np.concatenate(bags), np.cumsum(size) - size
 
@@ -145,12 +151,17 @@ class Model:
                     v += 0.001 * (g * g - v)
                     p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         table, out, bias = state
-        weights = np.zeros(BUCKETS, np.float32)
-        weights[kept] = scale * (table @ (out[:, 1] - out[:, 0]))
+        value = scale * (table @ (out[:, 1] - out[:, 0]))
+        holds = np.logical_or.reduceat(place[flat] >= 0, starts)
+        weights = {x: float(value[at]) for w, h in zip(vocabulary, holds, strict=True) if h for x in parts_of(w) if (at := place[bucket(x)]) >= 0}
         return Model(weights, float(bias[1] - bias[0]))
 
     def chunk(self, chunk: str) -> list[float]:
-        return [float(self.weights[bag(w)].mean()) for w in LETTERS.findall(chunk.lower())]
+        get, out = self.weights.get, []
+        for w in LETTERS.findall(chunk.lower()):
+            found = parts_of(w)
+            out.append(sum(map(get, found, repeat(0.0))) / len(found))
+        return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
