@@ -131,7 +131,8 @@ class Mix:
         return self._joined().select(F.floor(F.col("slot") / SLOTS).alias("shard"), "slot", "source", "copy", "uid", "doc_id", "from_word", "start", F.col("took").alias("words")).filter("words > 0")
 
     def _joined(self) -> DataFrame:
-        found = self.pieces.alias("p").join(self.slots.alias("s"), same_source("p", "s") & (F.col("p.index") == F.col("s.index")), "left")
+        # slots are made by explode, whose size Spark guesses far too low: without the hint it would broadcast them
+        found = self.pieces.alias("p").join(self.slots.hint("merge").alias("s"), same_source("p", "s") & (F.col("p.index") == F.col("s.index")), "left")
         took = F.greatest(F.lit(0), F.least(F.col("words"), F.coalesce("takes", F.lit(0)) - F.col("start")))
         return found.select("uid", "doc_id", "p.source", "size", "from_word", "start", "copy", "slot", took.alias("took"))
 
