@@ -6,8 +6,7 @@ the ledger doesn't hold, and joins findings back to all paths that ever had the
 pattern changes gets another rule version and is scanned again; unchanged rules are not.
 
 Copies: blobs are reduced map-side before their text is shuffled, so a blob that a third of all rows
-share travels once a task. The join back is on the blob's address with one row a blob on one side, which
-AQE's skew join splits.
+share travels once a task. The join back is salted, so that such a blob's paths don't meet in one task.
 
 Edge cases: null text counts as empty; a row without findings keeps zero counts and empty span strings;
 repeated rows each get their findings; extra columns are ignored.
@@ -21,6 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tasks that the paths of one blob are dealt to.
+SALTS = 32
+
+
 @dataclass(frozen=True)
 class Rule:
     """Leftmost non-overlapping matches of `pattern` whose `group` has `at_least` characters.
@@ -104,8 +107,11 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule,
     """keys, blob and `found` (all spans of the rules, by start and then kind) of every version."""
     wanted = ledger.filter(F.col("rule").isin([r.version for r in rules]) & (F.size("found") > 0))
     by_blob = wanted.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))  # one row a rule at most
-    paths = address(versions, text).select(*keys, "blob")
-    return paths.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
+    # salted: paths of one blob, however many, are dealt to SALTS tasks; only blobs with findings are repeated
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS))
+    by_blob = by_blob.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    paths = address(versions, text).select(*keys, "blob").withColumn("salt", salt)
+    return paths.join(by_blob, ["blob", "salt"], "left").drop("salt").withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
 
 
 def written(found: Column) -> Column:
