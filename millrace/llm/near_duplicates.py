@@ -12,12 +12,12 @@
    threshold (4.5 standard deviations below it) are candidates; of a leaf with many candidates only a
    spanning forest goes on at first.
 4. Candidates are verified on full sets, recomputed from the texts of both.
-5. Components of verified links. Leaves whose candidates still lie in different components then yield all
-   those candidates (never one within a component), which are verified too.
+5. Components of verified links. Groups that still hold several components are then compared in full between
+   components (never within one), on full sets inside the task: no candidate pair leaves it, only links.
 
 Nodes that stay large down to the last level hold large groups of alike classes. They are cut to blocks of
 SMALL classes which all get the node's least class as a pivot; classes that the pivot doesn't link are then
-compared with every block. So no task holds an unbounded group, and no pair is given up for a node's size.
+compared with every block of CROSS classes. So no task holds an unbounded group, and no pair is given up for a node's size.
 
 Edge cases: null text and text without words have an empty set, are linked with nothing and are components
 of their own; a text of fewer words than a shingle has one shingle, the whole sequence; repeated rows and
@@ -40,10 +40,12 @@ from .common import Workspace, as_strings, mix64, read_table, text_slices, white
 
 COORDS = 64
 SMALL = 256
-LEVELS = 4
+LEVELS = 3
 RECALL = 0.9999
 #: Leaves of up to so many classes send all candidates on at once.
 FEW = 8
+#: Classes on each side of a pair of blocks of a large node.
+CROSS = 512
 _SEEDS = mix64(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
 _MUL, _ADD = _SEEDS[:COORDS] | np.uint64(1), _SEEDS[COORDS:]
 
@@ -137,6 +139,16 @@ def _pairs(tokens: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarra
     return out
 
 
+def _strip(tokens: np.ndarray, sizes: np.ndarray, lo: int, hi: int, threshold: float) -> np.ndarray:
+    """Which pairs of rows lo to hi with all rows may reach the threshold."""
+    agree = np.zeros((hi - lo, len(tokens)), np.int16)
+    for c in range(COORDS):
+        agree += tokens[lo:hi, c, None] == tokens[None, :, c]
+    least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / COORDS)
+    fits = np.minimum(sizes[lo:hi, None], sizes[None, :]) >= threshold * np.maximum(sizes[lo:hi, None], sizes[None, :]) - 1e-9
+    return fits & (agree >= least * COORDS)
+
+
 def _forest(est: np.ndarray) -> list[tuple[int, int]]:
     """A maximum spanning forest (Prim)."""
     n = len(est)
@@ -152,64 +164,140 @@ def _forest(est: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compare(groups: DataFrame, threshold: float, crossing: bool) -> DataFrame:
-    """(a, b): candidates of each group. groups: grp, set_id, tokens, n_shingles and, if crossing, label and side.
+def by_group(batches: Iterator[pa.RecordBatch], handle) -> Iterator[list]:
+    """handle(table) of every run of rows with one grp, rows being sorted by it; a group's rows are of bounded number."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        grp = table.column("grp").to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(grp[1:] != grp[:-1]) + 1))
+        held = table.slice(cuts[-1])  # the last group waits for more rows
+        yield [x for i, j in zip(cuts[:-1], cuts[1:], strict=True) for x in handle(table.slice(i, j - i))]
+    if held is not None:
+        yield handle(held)
 
-    side 0 marks classes that are compared with all of the group, side 1 those compared with side 0 only.
-    """
 
-    def one(ids: list[bytes], tokens: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None, side: np.ndarray) -> list[tuple[bytes, bytes]]:
+def _sketch(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    tokens = table.column("tokens").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS)
+    return table.column("set_id").to_pylist(), tokens, table.column("n_shingles").to_numpy()
+
+
+def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    found = list(dict.fromkeys(found))
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
+
+
+def compare(groups: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): first candidates of each group (grp, set_id, tokens, n_shingles): all of a few, else a spanning forest."""
+
+    def one(table: pa.Table) -> list[tuple[bytes, bytes]]:
+        if table.num_rows < 2:
+            return []
+        ids, tokens, sizes = _sketch(table)
         est = _pairs(tokens, sizes, threshold)
-        if labels is not None:
-            est[labels[:, None] == labels[None, :]] = 0
-            est[(side[:, None] + side[None, :]) == 2] = 0
-        if labels is not None or len(ids) <= FEW:
-            found = [(i, j) for i, j in zip(*np.nonzero(np.triu(est)), strict=True)]
-        else:
-            found = _forest(est)
+        found = zip(*np.nonzero(np.triu(est)), strict=True) if len(ids) <= FEW else _forest(est)
         return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
-            """Pairs of all groups that are complete; the last group waits for more rows."""
-            grp = table.column("grp").to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(grp[1:] != grp[:-1]) + 1, [len(grp)]))
-            stop = len(cuts) - 1 if last else len(cuts) - 2
-            if stop <= 0:
-                return [], table
-            part = table.slice(0, cuts[stop]).combine_chunks()
-            ids = part.column("set_id").to_pylist()
-            tokens = part.column("tokens").combine_chunks().values.to_numpy().reshape(-1, COORDS)
-            sizes = part.column("n_shingles").to_numpy()
-            labels = np.array(part.column("label").to_pylist(), object) if crossing else None
-            side = part.column("side").to_numpy() if crossing else np.zeros(len(ids), int)
-            out = []
-            for a, b in zip(cuts[:stop], cuts[1 : stop + 1], strict=True):
-                own = dict.fromkeys(ids[a:b])  # a pivot may stand in its own block twice
-                if len(own) > 1:
-                    at = [a + ids[a:b].index(x) for x in own] if len(own) < b - a else list(range(a, b))
-                    out += one([ids[i] for i in at], tokens[at], sizes[at], None if labels is None else labels[at], side[at])
-            return out, table.slice(cuts[stop]) if cuts[stop] < table.num_rows else None
+        for found in by_group(batches, one):
+            yield _edges(found)
+
+    dealt = groups.select("grp", "set_id", "tokens", "n_shingles").repartition("grp").sortWithinPartitions("grp", "set_id")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairs' intersections, as a product of incidence matrices over shingles that two sets share."""
+    own = np.concatenate(sets)
+    names, at, n = np.unique(own, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place[at]
+    row, col = row[n[at] > 1], col[n[at] > 1]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = int((n > 1).sum())
+    for lo in range(0, width, 2048):
+        i, j = np.searchsorted(col, [lo, lo + 2048])
+        m = np.zeros((len(sets), min(2048, width - lo)), np.float32)
+        m[row[i:j], col[i:j] - lo] = 1
+        out += m @ m.T
+    return out
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            found, held = done(table, False)
-            yield record(found)
-        if held is not None and held.num_rows:
-            yield record(done(held, True)[0])
 
-    def record(found: list) -> pa.RecordBatch:
-        found = list(dict.fromkeys(found))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
+def link_across(groups: DataFrame, threshold: float, num: int, den: int) -> DataFrame:
+    """(a, b): verified links between different labels of each group, without those that others of the group imply.
+
+    groups: grp, set_id, tokens, n_shingles, label, side (0: compared with all, 1: with side 0 only) and shingles.
+    """
+
+    def one(table: pa.Table) -> list[tuple[bytes, bytes]]:
+        if table.num_rows < 2:
+            return []
+        ids, tokens, sizes = _sketch(table)
+        label, side = table.column("label").to_pylist(), table.column("side").to_numpy()
+        number = {x: i for i, x in enumerate(dict.fromkeys(label))}
+        label = np.array([number[x] for x in label])
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        first, second = [], []
+        for lo in range(0, len(ids), 128):  # in strips: the estimate holds a cube of strip * group * COORDS
+            hi = min(lo + 128, len(ids))
+            est = _strip(tokens, sizes, lo, hi, threshold)
+            est &= (label[lo:hi, None] != label[None, :]) & (side[lo:hi, None] + side[None, :] < 2)
+            i, j = np.nonzero(est)
+            first.append(i[i + lo < j] + lo)
+            second.append(j[i + lo < j])
+        i, j = np.concatenate(first), np.concatenate(second)
+        if not len(i):
+            return []
+        if len(i) > 4 * len(ids):
+            rows = np.unique(np.concatenate((i, j)))
+            at = np.full(len(ids), -1)
+            at[rows] = np.arange(len(rows))
+            both = _overlaps([sets[r] for r in rows])[at[i], at[j]]
+        else:
+            both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)])
+        both = both.astype(np.int64)
+        good = den * both >= num * (sizes[i] + sizes[j] - both)
+        parent = list(range(len(number)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            a, b = root(label[x]), root(label[y])
+            if a != b:
+                parent[a] = b
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in by_group(batches, one):
+            yield _edges(found)
+
+    dealt = groups.select("grp", "set_id", "tokens", "n_shingles", "label", "side", "shingles").repartition("grp").sortWithinPartitions("grp", "set_id")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(set_id, shingles): full sets, recomputed from one document of each wanted class."""
+    asked = classes.select("set_id", "doc_key").join(wanted.select("set_id").distinct(), "set_id", "left_semi")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text").join(asked.select("doc_key"), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_strings(batch.column(1))
+            for a, b in text_slices(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in shingle_sets(texts.slice(a, b - a), k)], pa.binary())], ["doc_key", "shingles"])
 
-    dealt = groups.repartition("grp").sortWithinPartitions("grp", "set_id")
-    columns = ["grp", "set_id", "tokens", "n_shingles", *(["label", "side"] if crossing else [])]
-    return dealt.select(*columns).mapInArrow(run, "a binary, b binary").distinct()
+    return asked.join(texts.select("doc_key", "text").mapInArrow(shingled, "doc_key long, shingles binary"), "doc_key").select("set_id", "shingles")
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -273,7 +361,7 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text); links at num / den."""
+    """doc_id, n_shingles, component_id, kept (and label, doc_key) of every row of docs (doc_id, text); links at num / den."""
     spark, threshold = docs.sparkSession, num / den
     work = Workspace(spark, "neardup")
     docs = docs.select("doc_id", "text")
@@ -284,52 +372,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     sketch = classes.select("set_id", "tokens", "n_shingles")
     pivots = groups.filter("pivot is not null").select("grp", F.col("pivot").alias("set_id")).distinct()
     members = groups.select("grp", "set_id").unionByName(pivots)
-    first = work.save(compare(members.join(sketch, "set_id"), threshold, False), "candidates")
+    first = work.save(compare(members.distinct().join(sketch, "set_id"), threshold), "candidates")
     links = work.save(verify(first, classes, docs, k, num, den), "links")
     labels = work.save(components(links, work), "labels")
-    more = _crossing(groups, labels, sketch, threshold, work)
-    more = work.save(more.join(first, ["a", "b"], "left_anti"), "crossing")
-    if not more.isEmpty():
-        links = links.unionByName(work.save(verify(more, classes, docs, k, num, den), "more"))
+    across = work.save(_crossing(groups, labels), "across")
+    if not across.isEmpty():
+        full = sets_of(across, classes, docs, k)
+        more = work.save(link_across(across.join(sketch, "set_id").join(full, "set_id"), threshold, num, den), "more")
+        links = links.unionByName(more)
         labels = work.save(components(links, work), "labels2")
     named = classes.select("set_id", "least").join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "label").select("set_id", "component_id")
-    out = base.select("doc_id", "n_shingles", "set_id").join(by_class, "set_id", "left")
+    by_class = named.join(least, "label").select("set_id", "label", "component_id")
+    out = base.select("doc_id", "n_shingles", "set_id", "doc_key").join(by_class, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "label", "doc_key")
 
 
-def _crossing(groups: DataFrame, labels: DataFrame, sketch: DataFrame, threshold: float, work: Workspace) -> DataFrame:
-    """Candidates between different components, of groups in which the first round left several."""
+def _crossing(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(grp, set_id, label, side): groups in which the first round left several components, to be compared again."""
     named = groups.join(labels, F.col("set_id") == F.col("node"), "left").select("grp", "set_id", "pivot", F.coalesce("label", "set_id").alias("label"))
-    named = work.save(named, "named")
     # leaves: only groups with more than FEW classes sent a forest instead of all candidates
-    several = named.filter("pivot is null").groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter((F.col("n") > FEW) & (F.col("lo") < F.col("hi"))).select("grp")
-    small = named.filter("pivot is null").join(several, "grp", "left_semi").select("grp", "set_id", "label", F.lit(0).alias("side"))
-    # blocks of large nodes: classes outside the pivot's component meet every block of the node
-    blocks = named.filter("pivot is not null")
-    of_pivot = blocks.select("pivot").distinct().join(labels, F.col("pivot") == F.col("node"), "left").select("pivot", F.coalesce("label", "pivot").alias("pivot_label"))
-    blocks = blocks.join(of_pivot, "pivot")
-    out = blocks.filter("label <> pivot_label").select("pivot", "set_id", "label").distinct()
-    chunks = out.withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.lit(1 << 30)))
-    sizes = out.groupBy("pivot").agg(F.ceil(F.count("*") / (SMALL // 2)).alias("k"))
-    chunks = chunks.join(sizes, "pivot").withColumn("chunk", F.pmod("chunk", F.col("k")))
-    meets = blocks.select("pivot", "grp").distinct().join(chunks.select("pivot", "chunk").distinct(), "pivot").select("pivot", "grp", "chunk", F.xxhash64("grp", "chunk").alias("g2"))
-    ones = meets.join(chunks, ["pivot", "chunk"]).select(F.col("g2").alias("grp"), "set_id", "label", F.lit(0).alias("side"))
-    rest = meets.join(blocks.select("grp", "set_id", "label"), "grp").select(F.col("g2").alias("grp"), "set_id", "label", F.lit(1).alias("side"))
-    both = small.unionByName(ones.unionByName(rest).groupBy("grp", "set_id", "label").agg(F.min("side").alias("side")))
-    return compare(both.join(sketch, "set_id"), threshold, True)
+    leaves = named.filter("pivot is null")
+    several = leaves.groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter((F.col("n") > FEW) & (F.col("lo") < F.col("hi"))).select("grp")
+    small = leaves.join(several, "grp", "left_semi").select("grp", "set_id", "label", F.lit(0).alias("side"))
+    # large nodes, those of all trees with one pivot taken together: classes outside the pivot's component
+    # meet the whole node, block by block
+    large = named.filter("pivot is not null").select("pivot", "set_id", "label").distinct()
+    of_pivot = large.select("pivot").distinct().join(labels, F.col("pivot") == F.col("node"), "left").select("pivot", F.coalesce("label", "pivot").alias("home"))
+    large = large.join(of_pivot, "pivot").withColumn("out", F.col("label") != F.col("home"))
+    sizes = large.groupBy("pivot").agg(F.ceil(F.count("*") / CROSS).alias("k"), F.ceil(F.count_if("out") / CROSS).alias("k_out")).filter("k_out > 0")
+    large = large.join(sizes, "pivot")
+    pair = lambda i, j: F.xxhash64("pivot", i, j)
+    block = F.pmod(F.xxhash64("set_id"), F.col("k"))
+    strip = F.pmod(F.xxhash64(F.lit("out"), "set_id"), F.col("k_out"))
+    ones = large.filter("out").withColumn("i", strip).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(pair(F.col("i"), F.col("j")).alias("grp"), "set_id", "label", F.lit(0).alias("side"))
+    rest = large.withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k_out") - 1))).select(pair(F.col("i"), F.col("j")).alias("grp"), "set_id", "label", F.lit(1).alias("side"))
+    return small.unionByName(ones.unionByName(rest).groupBy("grp", "set_id", "label").agg(F.min("side").alias("side")))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each group of near-duplicates (the least doc_id; one of repeated rows)."""
+    """docs with one row of each component: one with its least doc_id; of repeated rows one stays, with or without words."""
     columns = docs.columns
-    found = near_duplicates(docs, k, num, den).filter("kept").select("doc_id").distinct()
-    null = docs.filter("doc_id is null")
-    return docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns).unionByName(null)
+    # a component has few rows with its least doc_id, and they are reduced map-side
+    found = near_duplicates(docs, k, num, den).filter("kept")
+    chosen = found.groupBy(F.coalesce("label", F.col("doc_key").cast("string").cast("binary"))).agg(F.min("doc_key").alias("__key")).select("__key").distinct()
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).select(*columns)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return near_duplicates(docs, 3, 85, 100).drop("set_id")
+    return near_duplicates(docs, 3, 85, 100).drop("label", "doc_key")

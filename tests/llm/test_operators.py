@@ -176,9 +176,9 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, small):
 def test_near_duplicates_edges(spark):
     empty = near_duplicates.near_duplicates(docs(spark, []))
     assert empty.count() == 0
-    rows = [(1, "a b c d e f", "x", "y"), (1, "a b c d e f", "x", "y"), (2, "A B c d e f", "x", "y"), (3, None, None, None)]
+    rows = [(1, "a b c d e f", "x", "y"), (1, "a b c d e f", "x", "y"), (2, "A B c d e f", "x", "y"), (3, None, None, None), (2, "quite another text of some words", "x", "y")]
     kept = near_duplicates.deduplicated(docs(spark, rows))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == docs(spark, []).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3] and kept.columns == docs(spark, []).columns
 
 
 # --- 6 toxicity
