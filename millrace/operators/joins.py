@@ -279,7 +279,9 @@ def maximum_matching(edges: DataFrame) -> DataFrame:
                         queue.append(owner[b])
             while goal is not None:
                 a = came[goal]
-                goal, owner[goal] = next((b for b, o in owner.items() if o == a), None), a
+                before = next((b for b, o in owner.items() if o == a), None)
+                owner[goal] = a
+                goal = before
         return pd.DataFrame({"sample": [frame["sample"].iloc[0]], "matched": [len(owner)]})
 
     return edges.groupBy("sample").applyInPandas(match, "sample long, matched long")
