@@ -5,9 +5,10 @@
 2. Trees. In each of `trees` independent trees a node holds classes. A node branches on 1 / threshold
    coordinates in expectation, chosen by a hash of the node; for each chosen coordinate a class goes to the
    child named by its minwise token there. A pair of similarity s stays together with probability s a level.
-   All trees are grown at once, level by level; a node of at most SMALL classes is a leaf, and nodes whose
-   classes are the same as another's are compared once. The number of trees follows from the target recall
-   at the deepest level.
+   All trees are grown at once, level by level; a node of at most SMALL classes is a leaf. Leaves and last
+   nodes whose classes are the same as another's are compared once, but each tree branches on its own large
+   nodes: where one parts a pair, the others still try. The roots' coordinates are drawn without replacement
+   (up to COORDS trees). The number of trees follows from the target recall at the deepest level.
 3. Leaves are compared exhaustively on their minwise tokens and set sizes. Pairs that could reach the
    threshold (4.5 standard deviations below it) are candidates; of a leaf with many candidates only a
    spanning forest goes on at first.
@@ -102,14 +103,16 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 def grow(classes: DataFrame, threshold: float, trees: int, work: Workspace) -> DataFrame:
     """(grp, set_id, pivot): leaves as groups of at most SMALL classes, plus the blocks of large nodes."""
     rng = np.random.default_rng(5)
-    roots = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", int(c) + 1)) for t, c in enumerate(rng.integers(COORDS, size=trees))])
+    drawn = np.concatenate([rng.permutation(COORDS) for _ in range(-(-trees // COORDS))])[:trees]
+    roots = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", int(c) + 1)) for t, c in enumerate(drawn)])
     nodes = classes.select("set_id", F.explode(roots).alias("node"))
     leaves = []
     for level in range(LEVELS):
-        # what a node holds, summed map-side; nodes of the same classes are kept once
+        # what a node holds, summed map-side; of those that don't branch, nodes of the same classes are kept once
         sums = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.min("set_id").alias("pivot")).filter("n > 1")
-        once = sums.groupBy("n", "mark", "pivot").agg(F.min("node").alias("node"))
-        held = work.save(nodes.join(once.drop("mark"), "node"), f"level{level}")
+        branching = F.when(F.col("n") > SMALL, F.col("node")) if level < LEVELS - 1 else F.lit(None).cast("long")
+        once = sums.groupBy("n", "mark", "pivot", branching.alias("own")).agg(F.min("node").alias("node"))
+        held = work.save(nodes.join(once.drop("mark", "own"), "node"), f"level{level}")
         leaves.append(held.filter(F.col("n") <= SMALL).select(F.col("node").alias("grp"), "set_id", F.lit(None).cast("binary").alias("pivot")))
         large = held.filter(F.col("n") > SMALL)
         if large.isEmpty():

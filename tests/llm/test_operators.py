@@ -181,6 +181,25 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3] and kept.columns == docs(spark, []).columns
 
 
+def test_every_tree_branches_on_its_own_large_nodes(spark):
+    """Large groups of all but equal classes, each with a variant near the threshold: all trees share the root, and one must keep the variant."""
+    rng = np.random.default_rng(55)
+    rows, variants = [], []
+    for g in range(40):
+        base = rng.integers(1 << 30, size=near_duplicates.COORDS)
+        for i in range(near_duplicates.SMALL + 4):
+            other = rng.random(near_duplicates.COORDS) < 0.0001
+            rows.append((f"{g} {i}".encode(), np.where(other, rng.integers(1 << 30, size=near_duplicates.COORDS), base).tolist()))
+        other = rng.permutation(near_duplicates.COORDS) < 9  # 55 of 64 agree: 0.86
+        variants.append(f"{g} variant".encode())
+        rows.append((variants[-1], np.where(other, rng.integers(1 << 30, size=near_duplicates.COORDS), base).tolist()))
+    table = pa.table({"set_id": pa.array([r[0] for r in rows], pa.binary()), "tokens": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+    classes = spark.createDataFrame(table).repartition(4)
+    grown = near_duplicates.grow(classes, 0.85, near_duplicates.trees_for(0.85), Workspace(spark, "test"))
+    held = {bytes(r["set_id"]) for r in grown.select("set_id").distinct().collect()}  # nodes of one class are left out
+    assert sorted(set(variants) - held) == []
+
+
 # --- 6 toxicity
 
 
