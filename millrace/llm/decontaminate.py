@@ -3,9 +3,13 @@
 A spaced seed is a fixed mask over SPAN consecutive tokens; it hashes only the tokens at its cared-for
 positions, so that substitutions elsewhere don't break a hit. Hashes of all benchmark windows under all
 masks are joined with those of the documents; each hit fixes an item and an alignment. The aligned stretch
-is then verified: over the item's whole length (or as much of it as the document holds) at least
-`least_share` of the tokens must agree on that diagonal or, after an insertion or a deletion, on the best
-diagonals within `DRIFT` of it, and at least `least_tokens` tokens must agree in all.
+is then verified. An item's token agrees if the document has it on that diagonal or, after an insertion or a
+deletion, in a run of 3 tokens on a diagonal within `DRIFT` of it or in a run of `FAR_RUN` tokens on one within
+`REACH`. At least `least_share` must agree of one of
+- the item's whole length,
+- the part of it that the document can hold, where the document starts or ends inside the item,
+- any STRETCH tokens of it in a row, however long the item is,
+and at least `least_tokens` tokens in all. The share that is reported is that of the whole item.
 
 Tokens are runs of letters and digits, lower-cased. The benchmark goes to the executors in blocks of at
 most BLOCK_TOKENS tokens (its size is counted first), each as sorted digests and token arrays; a larger
@@ -39,6 +43,10 @@ SPAN = 11
 LEAST_SHARE = 0.8
 LEAST_TOKENS = 8
 DRIFT = 3
+#: Tokens in a row that count as an overlap of a longer item; the length of n-gram that is common for decontamination.
+STRETCH = 13
+#: How far text may be inserted or deleted inside an item, and the run that has to agree beyond.
+REACH, FAR_RUN = 64, 5
 BLOCK_TOKENS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -110,8 +118,8 @@ class Block:
                     for item, place in self.places[lo[j] : hi[j]]:
                         seeds.add((int(item), int(at[j] - place)))
         for item, shift in seeds:
-            agree, share = self._verify(ids, self.items[item][1], shift)
-            if share >= least_share and agree >= least_tokens and (item not in found or agree > found[item][0]):
+            agree, share, held = self._verify(ids, self.items[item][1], shift, least_share)
+            if held and agree >= least_tokens and (item not in found or agree > found[item][0]):
                 found[item] = (agree, share)
         for first in set(ids.tolist()) & self.short.keys():
             for item in self.short[first]:
@@ -122,24 +130,38 @@ class Block:
         return found
 
     @staticmethod
-    def _verify(ids: np.ndarray, own: np.ndarray, shift: int) -> tuple[int, float]:
-        """Item tokens that the document has on the diagonal, or on one within DRIFT that runs on from it."""
+    def _verify(ids: np.ndarray, own: np.ndarray, shift: int, least_share: float) -> tuple[int, float, bool]:
+        """Item tokens that the document has on the diagonal or on one that runs on from it, their share, and whether they suffice."""
         n = len(own)
-        agree = np.zeros((2 * DRIFT + 1, n), bool)
-        for d in range(-DRIFT, DRIFT + 1):
+
+        def on(d: int) -> np.ndarray:
+            agree = np.zeros(n, bool)
             a, b = max(0, -(shift + d)), min(n, len(ids) - shift - d)
             if b > a:
-                agree[d + DRIFT, a:b] = ids[a + shift + d : b + shift + d] == own[a:b]
-        held = agree[DRIFT]
-        # a neighbouring diagonal counts only in runs of 3 tokens or more
-        solid = np.zeros_like(agree)
-        if n >= 3:
-            three = agree[:, :-2] & agree[:, 1:-1] & agree[:, 2:]
-            solid[:, :-2] |= three
-            solid[:, 1:-1] |= three
-            solid[:, 2:] |= three
-        count = int((held | solid.any(axis=0)).sum())
-        return count, count / n
+                agree[a:b] = ids[a + shift + d : b + shift + d] == own[a:b]
+            return agree
+
+        def solid(agree: np.ndarray, run: int) -> np.ndarray:
+            """Those that lie in runs of so many agreeing tokens."""
+            out = np.zeros(n, bool)
+            starts = np.logical_and.reduce([agree[k : max(0, n - run + 1) + k] for k in range(run)]) if n >= run else out[:0]
+            if starts.any():
+                for k in range(run):
+                    out[k : n - run + 1 + k] |= starts
+            return out
+
+        held = on(0)
+        for d in (x for k in range(1, REACH + 1) for x in (-k, k)):
+            if held.all():
+                break
+            held |= solid(on(d), 3 if abs(d) <= DRIFT else FAR_RUN)
+        count = int(held.sum())
+        lo, hi = max(0, -shift), min(n, len(ids) - shift)
+        whole = count >= least_share * n
+        part = held[lo:hi].sum() >= least_share * (hi - lo)  # all of the item, unless the document starts or ends inside it
+        sums = np.concatenate(([0], np.cumsum(held)))
+        stretch = n > STRETCH and (sums[STRETCH:] - sums[:-STRETCH]).max() >= least_share * STRETCH
+        return count, count / n, bool(whole or part or stretch)
 
 
 RESULT = "doc_id long, contaminated boolean, n_items int, best_share double, item_ids array<long>"

@@ -57,6 +57,18 @@ def test_masks_hit_passages_with_two_substitutions_apart():
         assert block.search(other, 0.8, 8)
 
 
+def test_parts_of_items_are_found():
+    words = [f"w{k}" for k in range(200)]
+    own, short, other = words[:100], words[100:124], [f"x{k}" for k in range(60)]
+    block = decontaminate.Block([(1, own), (2, short)])
+    found = lambda text: set(block.search(text, 0.8, 8))
+    assert found(other + own[:12]) == {0} and found(own[-12:] + other) == {0} and found(own[40:55]) == {0}  # cut by an end of the document
+    assert found(other + own[10:85] + other) == {0} and found(other + own[40:54] + other) == {0}  # 0.75 of it, one passage
+    assert found(other + short[:12] + other[:10] + short[12:] + other) == {1}  # a gap longer than DRIFT
+    assert found(other + short[:12] + ["y"] * 40 + short[12:] + other) == {1}
+    assert found(other + own[40:50] + other) == found(other + short[:6] + other[:5] + short[9:15] + other) == found(other) == set()
+
+
 # --- 2 language
 
 
