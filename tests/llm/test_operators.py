@@ -337,6 +337,17 @@ def test_html_differencing_deletes_shared_lines(spark):
         assert got[20] == "Our site\n\nHome\n\nalone\n\nAll rights reserved" and got[21] == "" and got[23] == ""
 
 
+def test_html_differencing_of_copied_pages(spark):
+    """Copies in a run, and at the ends of a host, get what a page of other text shares with them."""
+    frame = "<body><div>Our site</div><div>Home</div>{}<div>All rights reserved</div></body>"
+    story = lambda i: f"<p>story number {i}</p><p>more words of story {i}</p>"
+    rows = [(i, f"http://h.com/a/{i:02}", i // 10) for i in range(40)] + [(40, "http://h.com/a/15", 1), (40, "http://h.com/a/15", 1), (41, "http://h.com/b", 0)]
+    pages = spark.createDataFrame([(i, u, frame.format(story(s))) for i, u, s in rows], "page_id long, url string, html string")
+    for n in (1, 3):
+        got = html_text.extract(pages.repartition(n)).collect()
+        assert sorted((r["page_id"], r["text"]) for r in got) == sorted((i, f"story number {s}\n\nmore words of story {s}") for i, _, s in rows)
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(100):
