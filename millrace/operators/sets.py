@@ -54,11 +54,15 @@ def descendants(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 @query("graph02_cycle_paths", "WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 50 AS b FROM part WHERE p_partkey < 50), w(start, k, path, n) AS (SELECT a, b, a::VARCHAR || '>' || b::VARCHAR, 1 FROM e UNION ALL SELECT w.start, e.b, path || '>' || e.b::VARCHAR, n + 1 FROM w JOIN e ON e.a = w.k WHERE w.k <> w.start AND n < 12) SELECT start, min(path) AS path FROM w WHERE k = start GROUP BY 1")
 def graph02(spark: SparkSession, sf: str) -> DataFrame:
-    """Shortest way from each node back to itself, at most 12 edges; the level loop stops at the first return."""
-    e = table(spark, sf, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 50).alias("b"))
+    """Ways back over the edges of all parts; as no edge leads to a part from 50 on, the SQL's cut has the same rows."""
+    return cycle_paths(table(spark, sf, "part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 50).alias("b")), 12)
+
+
+def cycle_paths(e: DataFrame, most: int) -> DataFrame:
+    """(start, path): the least way by edges (a, b) from each node back to itself, of at most so many edges; a walk stops at its first return."""
     walk = e.select(F.col("a").alias("start"), F.col("b").alias("k"), F.concat_ws(">", F.col("a").cast("string"), F.col("b").cast("string")).alias("path"))
     back = walk.filter("k = start")
-    for _ in range(11):
+    for _ in range(most - 1):
         walk = walk.filter("k <> start").join(e, F.col("k") == F.col("a")).select("start", F.col("b").alias("k"), F.concat_ws(">", "path", F.col("b").cast("string")).alias("path"))
         back = back.unionByName(walk.filter("k = start"))
     return back.groupBy("start").agg(F.min("path").alias("path"))
