@@ -1,228 +1,328 @@
 """Approximate nearest neighbours by inner product: random-projection trees with a shared priority queue.
 
-Equal vectors form a class; only classes are indexed, each with its TOP + 1 smallest ids, which is all that a
-list of TOP neighbours can name of it (ties go to the smaller id and only the query itself is left out).
+Equal vectors form a class; only classes are indexed, each with its `top` + 1 smallest ids, which is all that
+a list of `top` neighbours can name of it (ties go to the smaller id and only the query itself is left out).
 
 Index. Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, so that the largest inner
-product is the smallest distance (queries have 0 there). TREES trees are fitted on the driver to a bounded,
-hash-chosen sample (FIT_VECTORS): each node splits its sample at the median of a projection on the difference
-of two random members. Every class is then routed to its leaf of every tree.
+product is the smallest distance (queries have 0 there). A tree projects on one direction a level (differences
+of random members of a bounded, hash-chosen sample, made orthogonal) and cuts every node at its median. Trees are
+split until a leaf holds about LEAF vectors. The upper levels take their medians from the sample; levels for which
+the sample is too thin take them from all vectors, by one distributed aggregate a level.
 
-Search. A query descends all trees at once through one priority queue ordered by the worst margin on the path
-so far (nearer side: as its parent; farther side: minus the distance to the split), until the leaves taken hold
-an expected SHARE of all classes, counted by tree. Leaves are dealt to tasks as matrices: the queries that chose a leaf are
-multiplied with its vectors in double precision, each keeps its TOP + 1 best classes there, and the lists of all
-leaves are merged by query. Leaves with more rows than a task should hold are cut by a hash and searched in
-parts, so no task's memory grows with a leaf.
+Search. A query descends all trees at once through one priority queue, ordered by the sum of the distances to
+the splits that a path crosses to the far side, and takes the first `budget` leaves. The budget is measured:
+for a bounded sample of the queries the true neighbours are found by comparing them with all vectors, and the
+budget is the number of leaves after which the queue has met a share `target` of them. So clustered vectors
+are asked in few leaves, and vectors without structure in as many as the recall takes.
 
-A table of at most EXACT_UP_TO classes is searched through a single leaf, which is exact.
+Neighbouring leaves of a tree lie together in cells of about CELL vectors, cut by a hash where a cell is larger;
+a task holds the vectors of one cell part and streams the queries that chose leaves of it. Scores are computed in
+double precision on the original vectors, each keeps its `top` + 1 best ids, and lists are merged by query.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part; fewer candidates than TOP gives them all; repeated rows are rows of their own with equal ids; an empty
-table gives no rows; extra columns are ignored.
+no part; fewer candidates than `top` gives them all; rows that repeat a vec_id count as one neighbour, at their
+best score, and each query row gets its own list; an empty table or no query gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import Workspace
+from .common import Workspace, read_table
 
 TOP = 20
-TREES = 8
+TREES = 4
+#: Vectors that directions and upper medians are fitted to.
 FIT_VECTORS = 16_384
-LEAF_SAMPLE = 200
-#: Share of all classes that a query's leaves hold, counted by tree. Vectors without cluster structure need
-#: this much for a recall of 0.9 (measured: 0.97 on 51,282 near-random vectors of 64 components, with 0.64 of
-#: all classes seen); clustered vectors reach it with far less.
-SHARE = 1.0
-EXACT_UP_TO = 2_000
-#: Classes in one part of a leaf.
-PART = 4_096
+#: Sample members that a node's median needs at least; thinner nodes are split on all vectors.
+FIT_MEMBERS = 16
+LEAF = 100
+#: Bounds the broadcast trees: 2^20 numbers a tree.
+MOST_LEVELS = 20
+CELL = 8_192
+#: Queries whose true neighbours set the budget, and the share of those that the leaves have to meet.
+MEASURED = 256
+TARGET = 0.95
 
 
 class Forest:
-    """nodes: for each tree arrays of normal, offset, left, right; a leaf has left -1 and its number in right."""
+    """For each tree the directions of its levels and, for each level, the cuts of its nodes."""
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF_SAMPLE, seed: int = 3):
+    def __init__(self, sample: np.ndarray, trees: int, levels: int, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.trees, self.shares = [], []
+        width = sample.shape[1]
+        self.directions, self.cuts = [], []
         for _ in range(trees):
-            normals, offsets, children, shares = [], [], [], []
-
-            def grow(own: np.ndarray) -> int:
-                at = len(normals)
-                normals.append(None)
-                offsets.append(0.0)
-                children.append((-1, len(shares)))
-                if len(own) > leaf:
-                    for _ in range(3):
-                        a, b = sample[rng.choice(own, 2, replace=False)]
-                        normal = a - b
-                        if size := np.linalg.norm(normal):
-                            side = sample[own] @ (normal / size)
-                            cut = float(np.median(side))
-                            low = side < cut
-                            if low.any() and not low.all():
-                                normals[at], offsets[at] = normal / size, cut
-                                children[at] = (grow(own[low]), grow(own[~low]))
-                                return at
-                children[at] = (-1, len(shares))
-                shares.append(len(own) / max(1, len(sample)))
-                return at
-
-            grow(np.arange(len(sample)))
-            width = sample.shape[1]
-            self.trees.append((np.array([np.zeros(width) if x is None else x for x in normals]), np.array(offsets), np.array(children)))
-            self.shares.append(np.array(shares))
+            rows = []
+            while len(rows) < MOST_LEVELS:
+                k = min(width, MOST_LEVELS - len(rows))
+                pairs = rng.integers(len(sample), size=(2, k))
+                rows += list(np.linalg.qr((sample[pairs[0]] - sample[pairs[1]] + 1e-9 * rng.normal(size=(k, width))).T)[0].T)
+            self.directions.append(np.array(rows))
+            self.cuts.append([])
+            p = sample @ self.directions[-1].T
+            node = np.zeros(len(sample), np.int64)
+            for level in range(levels):
+                order = np.lexsort((p[:, level], node))
+                n = np.bincount(node, minlength=1 << level)
+                middle = np.minimum(np.cumsum(n) - n + n // 2, len(sample) - 1)
+                self.cuts[-1].append(p[order, level][middle])
+                node = 2 * node + (p[:, level] >= self.cuts[-1][-1][node])
+
+    @property
+    def levels(self) -> int:
+        return len(self.cuts[0])
+
+    def project(self, x: np.ndarray, tree: int) -> np.ndarray:
+        return x @ self.directions[tree].T
 
     def route(self, x: np.ndarray, tree: int) -> np.ndarray:
         """The leaf of each vector."""
-        normals, offsets, children = self.trees[tree]
-        at = np.zeros(len(x), np.int64)
-        while True:
-            inner = np.flatnonzero(children[at, 0] >= 0)
-            if not len(inner):
-                return children[at, 1]
-            node = at[inner]
-            high = (x[inner] * normals[node]).sum(axis=1) >= offsets[node]
-            at[inner] = children[node, high.astype(int)]
-
-    def leaves(self, q: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue, until they hold `share` of all vectors, counted by tree."""
-        queue = [(-np.inf, t, 0) for t in range(len(self.trees))]
-        heapq.heapify(queue)
-        margins = [normals @ q - offsets for normals, offsets, _ in self.trees]
-        out, held = [], 0.0
-        while queue and held < share:
-            worst, t, node = heapq.heappop(queue)
-            left, right = self.trees[t][2][node]
-            if left < 0:
-                out.append((t, int(right)))
-                held += self.shares[t][right]
-                continue
-            m = margins[t][node]
-            near, far = (right, left) if m >= 0 else (left, right)
-            heapq.heappush(queue, (worst, t, int(near)))
-            heapq.heappush(queue, (max(worst, abs(m)), t, int(far)))
-        return out
+        p, node = self.project(x, tree), np.zeros(len(x), np.int64)
+        for level, cuts in enumerate(self.cuts[tree]):
+            node = 2 * node + (p[:, level] >= cuts[node])
+        return node
 
+    def order(self, q: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(tree, leaf) in the order of the shared queue."""
+        queue = [(0.0, t, 0, 0) for t in range(len(self.cuts))]
+        own = [(x @ q).tolist() for x in self.directions]
+        levels, push = self.levels, heapq.heappush
+        while queue:
+            off, t, level, node = heapq.heappop(queue)
+            p, cuts = own[t], self.cuts[t]
+            while level < levels:
+                m = p[level] - cuts[level][node]
+                level += 1
+                near = 2 * node + (m >= 0)
+                push(queue, (off + abs(m), t, level, near ^ 1))
+                node = near
+            yield t, node
 
-def _stack(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<f8") for x in column.to_pylist()]) if len(column) else np.zeros((0, 1))
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix of doubles."""
+    if not len(column):
+        return np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
-def _classes(table: DataFrame, key: str, vector: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(cls, v, ids): distinct usable vectors as doubles, with their TOP + 1 smallest ids; and (cls, id, v) of rows."""
-    as_double = F.col(vector).cast("array<double>")
-    usable = table.select(F.col(key).cast("long").alias("id"), as_double.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+
+def _vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v) of the usable vectors, in their own precision."""
+    element = table.schema[vector].dataType.elementType
+    v = F.col(vector).cast("array<float>" if isinstance(element, FloatType) else "array<double>")
+    usable = table.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     sizes = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     usable = usable.filter(F.size("v") == (sizes[0] if sizes else 0))
-    usable = usable.withColumn("v", F.transform("v", lambda x: x + 0.0))  # -0.0 is 0.0
-    cls = F.sha2(F.to_json(F.struct("v")), 256)
-    held = work.save(usable.withColumn("cls", F.substring(cls, 1, 32)), "rows")
-    # a class's ids: ranks within cells first, so that a vector that a third of all rows share fills no task
-    cell = F.pmod(F.xxhash64("id"), F.lit(256))
-    ranked = held.select("cls", "id", cell.alias("cell")).withColumn("k", F.row_number().over(Window.partitionBy("cls", "cell").orderBy("id"))).filter(F.col("k") <= TOP + 1)
-    ids = ranked.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("id")), 1, TOP + 1).alias("ids"))  # 256 * (TOP + 1) ids at most
-    vectors = held.groupBy("cls").agg(F.first("v").alias("v"))
-    return work.save(vectors.join(ids, "cls"), "classes"), held
-
-
-def search(table: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = TOP) -> DataFrame:
+    return usable.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast(v_type(usable))).otherwise(x)))  # -0.0 is 0.0
+
+
+def v_type(table: DataFrame) -> str:
+    return table.schema["v"].dataType.elementType.simpleString()
+
+
+def search(table: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = TOP, target: float = TARGET, leaf: int = LEAF, cell: int = CELL, fit_vectors: int = FIT_VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with is_query(key column), its nearest other rows."""
     spark = table.sparkSession
     work = Workspace(spark, "nearest")
-    classes, rows = _classes(table, key, vector, work)
-    n, most = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    n, norm = n or 0, most or 0.0
-    packed = classes.select("cls", "v", "ids")
-    sample = packed if n <= FIT_VECTORS else packed.filter(F.pmod(F.xxhash64(F.lit("fit"), "cls"), F.lit(1 << 30)) < int(FIT_VECTORS / n * (1 << 30)))
-    held = np.array([r[0] for r in sample.select("v").orderBy("v").limit(2 * FIT_VECTORS).collect()], float)  # 2 * FIT_VECTORS rows at most
-    lift = lambda x: np.concatenate([x, np.sqrt(np.maximum(norm - (x * x).sum(axis=1, keepdims=True), 0))], axis=1)
-    exact = n <= EXACT_UP_TO
-    forest = spark.sparkContext.broadcast(Forest(lift(held), 1 if exact else TREES, max(EXACT_UP_TO, 2) if exact else LEAF_SAMPLE) if n else None)  # bounded by FIT_VECTORS
-    share = float(TREES) if exact else SHARE
-    parts = max(1, round(n * LEAF_SAMPLE / max(1, min(n, FIT_VECTORS)) / PART))
+    rows = _vectors(table, key, vector)
+    # a vector that a third of all rows share sends `top` + 1 rows a task: the rank's limit is applied before the shuffle
+    few = rows.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("k") <= top + 1)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    classes = work.save(few.groupBy("v").agg(F.collect_set("id").alias("ids")).select("v", "ids", square.alias("square")), "classes")
+    asked = rows.filter(is_query(F.col("id")))
+    queries = work.save(asked.select("v").distinct().select(F.monotonically_increasing_id().alias("q"), "v"), "queries")
+    n, norm = classes.agg(F.count("*"), F.max("square")).first()
+    n_queries = queries.count()
+    if not n or not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+    def lift(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x, np.sqrt(np.maximum(norm - (x * x).sum(axis=1, keepdims=True), 0))], axis=1)
+
+    part_of = lambda df, most, total: df if total <= most else df.filter(F.pmod(F.xxhash64(F.lit("fit"), "v"), F.lit(1 << 30)) < int(most / total * (1 << 30)))
+    sample = np.array([r[0] for r in part_of(classes, fit_vectors, n).select("v").orderBy("v").limit(2 * fit_vectors).collect()], float)  # 2 * fit_vectors rows at most
+    wanted = min(MOST_LEVELS, max(0, math.ceil(math.log2(n / leaf))))
+    forest = Forest(lift(sample), TREES, min(wanted, max(0, int(math.log2(max(1, len(sample) / FIT_MEMBERS))))))
+    while forest.levels < wanted:
+        _split_on(classes, forest, lift)
+    sent = spark.sparkContext.broadcast(forest)  # TREES * 2^MOST_LEVELS numbers at most
+    budget = _budget(classes, part_of(queries, MEASURED, n_queries), sent, lift, top, target)
+    shift = max(0, int(math.log2(max(1, cell / (n / (1 << forest.levels))))))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float)
-            if not len(x):
-                continue
-            lifted, names = lift(x), batch.column(0).to_pylist()
-            raw = [r.tobytes() for r in x]
-            for t in range(len(forest.value.trees)):
-                leaf = forest.value.route(lifted, t)
-                part = [xxhash.xxh3_64_intdigest(c) % parts for c in names]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(leaf), pa.array(part, pa.int64()), pa.array(np.zeros(len(x), np.int32)), batch.column(0), pa.array(raw, pa.binary())], ["tree", "leaf", "part", "kind", "cls", "v"])
+            lifted = lift(_matrix(batch.column(0)))
+            for t in range(TREES):
+                at = sent.value.route(lifted, t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at >> shift), pa.array(at), *batch.columns], ["tree", "cell", "leaf", "v", "ids"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for name, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.array(v, float)
-                for t, leaf in forest.value.leaves(np.append(x, 0.0), share):
-                    for p in range(parts):
-                        for column, value in zip(out, (t, leaf, p, 1, name, x.tobytes()), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string()), pa.array(out[5], pa.binary())], ["tree", "leaf", "part", "kind", "cls", "v"])
+            for lo in range(0, batch.num_rows, 256):
+                own = batch.slice(lo, 256)
+                row, tree, cells, leaves = [], [], [], []
+                for i, x in enumerate(_matrix(own.column(1))):
+                    chosen: dict[tuple[int, int], list[int]] = {}
+                    for k, (t, at) in enumerate(sent.value.order(np.append(x, 0.0))):
+                        if k == budget:
+                            break
+                        chosen.setdefault((t, at >> shift), []).append(at)
+                    row += [i] * len(chosen)
+                    tree += [t for t, _ in chosen]
+                    cells += [c for _, c in chosen]
+                    leaves += chosen.values()
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(cells, pa.int64()), own.column(0).take(pa.array(row, pa.int64())), own.column(1).take(pa.array(row, pa.int64())), pa.array(leaves, pa.list_(pa.int64()))], ["tree", "cell", "q", "v", "leaves"])
+
+    v = f"array<{v_type(queries)}>"
+    vectors = classes.select("v", "ids").mapInArrow(index, f"tree int, cell long, leaf long, v {v}, ids array<long>")
+    # cells that ties or thin medians made larger than a task should hold are cut by a hash
+    large = vectors.groupBy("tree", "cell").count().filter(F.col("count") > 2 * cell).select("tree", "cell", F.ceil(F.col("count") / cell).alias("parts"))
+    large = work.save(large, "large")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    none = lambda kind: F.lit(None).cast(kind)
+    held = vectors.join(large, ["tree", "cell"], "left").select("tree", "cell", F.pmod(F.xxhash64("v"), parts).alias("part"), F.lit(0).alias("kind"), "leaf", none("long").alias("q"), "v", "ids")
+    sought = queries.mapInArrow(ask, f"tree int, cell long, q long, v {v}, leaves array<long>").join(large, ["tree", "cell"], "left")
+    sought = sought.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("tree", "cell", "part", F.lit(1).alias("kind"), none("long").alias("leaf"), "q", "v", F.col("leaves").alias("ids"))
+    dealt = held.unionByName(sought).repartition("tree", "cell", "part").sortWithinPartitions("tree", "cell", "part", "kind", "leaf")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a leaf part lie together, its vectors before its queries."""
-        now, names, vectors, matrix = None, [], [], None
+        """Rows of a cell part lie together, its vectors (by leaf) before its queries."""
+        now, pieces, ready = None, [], None
         for batch in batches:
-            groups = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            kinds, cls = batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            v = _stack(batch.column(5))
-            cuts = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1] or kinds[i] != kinds[i - 1]), len(groups)]
-            out: list[list] = [[], [], []]
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)] if len(key) else []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if groups[a] != now:
-                    now, names, vectors, matrix = groups[a], [], [], None
-                if kinds[a] == 0:
-                    names += cls[a:b]
-                    vectors.append(v[a:b])
+                if (here := tuple(key[a, :3])) != now:
+                    now, pieces, ready = here, [], None
+                own = batch.slice(a, b - a)
+                if key[a, 3] == 0:
+                    pieces.append(own)
                     continue
-                if not names:
+                if not pieces:
                     continue
-                matrix = np.concatenate(vectors) if matrix is None else matrix
-                for lo in range(a, b, 512):
-                    hi = min(b, lo + 512)
-                    scores = v[lo:hi] @ matrix.T
-                    # every class that ties with the last kept one is kept too
-                    last = -np.partition(-scores, min(top, len(names) - 1), axis=1)[:, min(top, len(names) - 1)]
-                    for i, j in zip(*np.nonzero(scores >= last[:, None]), strict=True):
-                        out[0].append(cls[lo + i])
-                        out[1].append(names[j])
-                        out[2].append(scores[i, j])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["q", "cls", "score"])
-
-    shape = "tree int, leaf long, part long, kind int, cls string, v binary"
-    asked = rows.filter(is_query(F.col("id"))).select("cls", "id")
-    q_classes = asked.select("cls").distinct().join(packed, "cls").select("cls", "v")
-    both = packed.select("cls", "v").mapInArrow(index, shape).unionByName(q_classes.mapInArrow(ask, shape))
-    dealt = both.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind")
-    found = dealt.mapInArrow(rank, "q string, cls string, score double").groupBy("q", "cls").agg(F.max("score").alias("score"))
-    best = found.withColumn("k", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("k") <= top + 1)
-    named = best.join(packed.select("cls", "ids"), "cls").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
-    # the TOP + 1 first of a query class, then each query row drops itself
-    flat = F.flatten(F.transform("near", lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("d"), i.alias("id")))))
-    listed = named.select("q", F.slice(F.array_sort(flat), 1, top + 1).alias("near"))
-    out = asked.join(listed, asked["cls"] == listed["q"]).select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, top).alias("near"))
+                ready = ready or _Cell(pa.Table.from_batches(pieces))
+                for lo in range(0, b - a, 256):
+                    yield ready.best(own.slice(lo, 256), top + 1)
+
+    found = dealt.mapInArrow(rank, "q long, id long, score double")
+    best = found.groupBy("q", "id").agg(F.max("score").alias("score"))
+    best = best.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("k") <= top + 1)
+    listed = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "id"))).alias("near"))
+    named = queries.join(listed, "q").select("v", "near")
+    out = asked.join(named, "v").select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, top).alias("near"))
     return out.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.d")).alias("score"))
 
 
-def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import read_table
+class _Cell:
+    """The vectors of one cell part, sorted by leaf, each with its ids."""
+
+    def __init__(self, table: pa.Table):
+        self.x = _matrix(table.column("v").combine_chunks())
+        self.leaves, self.column = np.unique(table.column("leaf").to_numpy(), return_inverse=True)
+        ids = table.column("ids").combine_chunks()
+        self.ids, self.first = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+
+    def best(self, queries: pa.RecordBatch, most: int) -> pa.RecordBatch:
+        """(q, id, score) of each query's best ids in the leaves it chose, ties by id."""
+        q = _matrix(queries.column("v"))
+        chosen = queries.column("ids")
+        owner = np.repeat(np.arange(len(q)), chosen.value_lengths().to_numpy())
+        leaf = chosen.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(self.leaves, leaf), len(self.leaves) - 1)
+        hit = self.leaves[at] == leaf
+        mask = np.zeros((len(q), len(self.leaves)), bool)
+        mask[owner[hit], at[hit]] = True
+        scores = np.where(mask[:, self.column], q @ self.x.T, -np.inf)
+        k = min(most, scores.shape[1])
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        names = queries.column("q").to_pylist()
+        out: list[list[np.ndarray]] = [[], [], []]
+        for i in range(len(q)):
+            j = np.flatnonzero((scores[i] >= least[i] - 1e-9) & (scores[i] > -np.inf))  # products may differ in their last bits by place
+            exact = (self.x[j] * q[i]).sum(axis=1)
+            n = self.first[j + 1] - self.first[j]
+            ids = self.ids[np.repeat(self.first[j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            exact = np.repeat(exact, n)
+            kept = np.lexsort((ids, -exact))[:most]
+            for column, value in zip(out, (np.full(len(kept), names[i]), ids[kept], exact[kept]), strict=True):
+                column.append(value)
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([e, *c])) for e, c in zip(empty, out, strict=True)], ["q", "id", "score"])
 
+
+def _split_on(classes: DataFrame, forest: Forest, lift) -> None:
+    """One more level of every tree, cut at the medians of all vectors; one row a node comes back."""
+    level = forest.levels
+    sent = classes.sparkSession.sparkContext.broadcast(forest)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = lift(_matrix(batch.column(0)))
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(sent.value.route(x, t)), pa.array(sent.value.project(x, t)[:, level])], ["tree", "node", "p"])
+
+    found = classes.select("v").mapInArrow(places, "tree int, node long, p double").groupBy("tree", "node").agg(F.percentile_approx("p", 0.5, 1000).alias("cut"))
+    cuts = np.zeros((TREES, 1 << level))
+    for tree, node, cut in found.collect():  # TREES * 2^level rows, bounded by MOST_LEVELS
+        cuts[tree, node] = cut
+    for t in range(TREES):
+        forest.cuts[t].append(cuts[t])
+    sent.unpersist()
+
+
+def _budget(classes: DataFrame, queries: DataFrame, sent, lift, top: int, target: float) -> int:
+    """Leaves after which the queue has met a share `target` of the true neighbours of these queries (bounded by MEASURED)."""
+    spark = classes.sparkSession
+    asked = queries.select("q", "v").orderBy("q").limit(2 * MEASURED).collect()
+    if not asked:  # the hash chose none of a few queries
+        return len(sent.value.cuts) << sent.value.levels
+    matrix = spark.sparkContext.broadcast(np.array([r["v"] for r in asked], float))  # 2 * MEASURED vectors at most
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            if not len(x):
+                continue
+            scores = matrix.value @ x.T
+            for row, q in zip(scores, matrix.value, strict=True):  # a query isn't its own neighbour
+                like = np.flatnonzero(row >= q @ q - 1e-9)
+                row[like[(x[like] == q).all(axis=1)]] = -np.inf
+            k = min(top, len(x))
+            at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            lifted = lift(x)
+            routes = np.stack([sent.value.route(lifted, t) for t in range(TREES)], axis=1)
+            flat = at.ravel()
+            score = np.take_along_axis(scores, at, axis=1).ravel()
+            keep = score > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(scores)), k)[keep]), pa.array(score[keep]), pa.array(list(routes[flat[keep]]), pa.list_(pa.int64()))], ["i", "score", "leaves"])
+
+    near = classes.select("v").mapInArrow(nearest, "i long, score double, leaves array<long>")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "leaves"))).filter(F.col("k") <= top)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                waiting = [set(enumerate(x)) for x in near]
+                for k, leaf in enumerate(sent.value.order(np.append(matrix.value[i], 0.0))):
+                    out += [k + 1] * sum(leaf in x for x in waiting)
+                    waiting = [x for x in waiting if leaf not in x]
+                    if not waiting:
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["place"])
+
+    met = near.groupBy("i").agg(F.collect_list("leaves").alias("near")).mapInArrow(places, "place long").toPandas()["place"].to_numpy()  # top numbers a measured query
+    return int(np.quantile(met, target, method="higher")) if len(met) else 1
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings"), lambda key: F.pmod(key, F.lit(20)) == 0)
