@@ -14,7 +14,8 @@ fingerprints, and an id the files don't hold is answered by "absent".
 
 Encoding is done by the tokenizers library on distinct chunks only. A text is cut before every single
 space that stands between two characters that aren't white space; byte-level pre-tokenisation never joins
-such chunks. Texts with any other arrangement of spaces are encoded whole.
+such chunks. Texts with any other arrangement of spaces are encoded whole. The ids are those of the plain call of
+the tokenizer: a special token's string in a text becomes that token's id.
 
 Edge cases: null text counts as empty (its only id is the end id); a null doc_id sorts first and is keyed
 like any other; repeated rows are separate documents that lie side by side; extra columns are ignored; an
@@ -41,6 +42,10 @@ from .common import Workspace, as_strings, chunked, mix64, text_slices
 REMEMBERED = 600_000
 #: Keys in one part of the index: bounds what a task or a lookup holds in memory.
 KEYS_PER_PART = 500_000
+#: Ids in a shard before a task starts its next one, and shards that one task can number.
+SHARD_TOKENS, SHARDS_PER_TASK = 1 << 28, 1 << 20
+#: Ids read from a shard at once, one document at least: for a single key, and at most.
+FIRST_READ, READ_TOKENS = 1 << 14, 1 << 22
 MAGIC = b"MRTOK1\0\0"
 
 
@@ -52,7 +57,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # special strings in a text become their ids, as the plain call has it; one that takes the white space beside
+        # it, or holds any, would reach over a cut
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized or any(c.isspace() for c in t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         size = self.tokenizer.get_vocab_size()
         self.opens = np.zeros(size, bool)  # ids whose first byte is a space
         for token, i in self.tokenizer.get_vocab().items():
@@ -66,7 +73,7 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes new chunks, each with its leading space, in one call; ids split where a space opens a token."""
-        plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
+        plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()] if self.plain else []
         known = self.known
         for c in set(chunks).difference(plain):
             known[c] = -1  # white space beside the cut: the text is encoded whole
@@ -130,19 +137,44 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
-def _read(uri: str, mapped: bool = False) -> np.ndarray:
+def _read(uri: str) -> np.ndarray:
     store, path = _store(uri)
-    if mapped and isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, np.uint8, "r")
     with store.open_input_file(path) as f:
         return np.frombuffer(f.read(), np.uint8)
 
 
+class Shard:
+    """A shard opened for reading: its start offsets (SHARD_TOKENS bounds them) and ranges of its payload."""
+
+    HEADER = 16
+
+    def __init__(self, name: str):
+        store, path = _store(name + ".ids")
+        self.file = store.open_input_file(path)
+        head = self.file.read(self.HEADER)
+        if head[: len(MAGIC)] != MAGIC:
+            raise ValueError(f"not a shard: {name}")
+        self.kind = np.dtype(f"<u{head[len(MAGIC)]}")
+        self.pos = _read(name + ".pos").view("<u8").astype(np.int64)
+
+    def ids(self, start: int, stop: int) -> np.ndarray:
+        """The ids at [start, stop)."""
+        self.file.seek(self.HEADER + start * self.kind.itemsize)
+        return np.frombuffer(self.file.read((stop - start) * self.kind.itemsize), self.kind)
+
+    def close(self) -> None:
+        self.file.close()
+
+
 ROWS = "shard long, ordinal long, doc_id long, first long, n_tokens long, file string"
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, work: Workspace) -> DataFrame:
-    """Writes the shards below `folder`; returns the saved table of documents as they lie in the files."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, work: Workspace, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Writes the shards below `folder`; returns the saved table of documents as they lie in the files.
+
+    A task starts a new shard after SHARD_TOKENS ids. docs should be a table as read from files: equal rows are
+    told apart by their place in it.
+    """
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
 
@@ -150,12 +182,23 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, work
         enc = encoder(tokenizer)
         wide = np.dtype("<u2") if len(enc.opens) <= 1 << 16 else np.dtype("<u4")
         task = TaskContext.get()
-        shard, name = task.partitionId(), f"{folder}/shard-{task.partitionId():08d}-{task.taskAttemptId()}"
-        sink, at, n, starts = None, 0, 0, []
+        sink, shard, name, at, n, starts = None, task.partitionId() * SHARDS_PER_TASK - 1, "", 0, 0, []
+
+        def close() -> None:
+            sink.close()
+            out_store, out_path = _store(name + ".pos")
+            with out_store.open_output_stream(out_path) as f:
+                f.write(np.concatenate([*starts, [at]]).astype("<u8").tobytes())
+
         for batch in batches:
             texts = as_strings(batch.column(1))
             for a, b in text_slices(texts):
+                if sink is not None and at >= shard_tokens:
+                    close()
+                    sink = None
                 if sink is None:
+                    shard, at, n, starts = shard + 1, 0, 0, []
+                    name = f"{folder}/shard-{shard:012d}-{task.taskAttemptId()}"
                     out_store, out_path = _store(name + ".ids")
                     sink = out_store.open_output_stream(out_path)
                     sink.write(MAGIC + bytes([wide.itemsize]) + bytes(7))
@@ -169,14 +212,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, work
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard)), pa.array(np.arange(n, n + b - a)), batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(first), pa.array(sizes), pa.array([name] * (b - a))], ["shard", "ordinal", "doc_id", "first", "n_tokens", "file"])
                 at, n = at + int(sizes.sum()), n + b - a
         if sink is not None:
-            sink.close()
-            out_store, out_path = _store(name + ".pos")
-            with out_store.open_output_stream(out_path) as f:
-                f.write(np.concatenate([*starts, [at]]).astype("<u8").tobytes())
+            close()
 
-    # equal ids are dealt by their texts too, so that one id with a third of all rows doesn't fill one task
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    laid = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    # equal ids are dealt by text and place too, so that one id, or one row, with a third of all rows doesn't fill one task
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    laid = keyed.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place").select("doc_id", "text")
     return work.save(laid.mapInArrow(write, ROWS), "rows")
 
 
@@ -185,8 +225,8 @@ class PerfectHash:
 
     GAMMA = 1.5
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
+    def __init__(self, levels: list[np.ndarray], seed: int = 1):
+        self.levels, self.seed = levels, seed
         self.ranks, base = [], 0
         for bits in levels:
             self.ranks.append(np.cumsum(bits) - bits + base)
@@ -199,8 +239,7 @@ class PerfectHash:
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> "PerfectHash":
-        if len(np.unique(hashes)) != len(hashes):
-            raise ValueError("keys share a 64-bit hash: deal the index with another seed")
+        """Distinct hashes; keys that share one need another seed (see build_index)."""
         levels, left = [], hashes
         while len(left):
             at = cls.slot(left, len(levels), size := max(1, int(len(left) * cls.GAMMA)))
@@ -225,7 +264,7 @@ def key_hash(doc_id: np.ndarray, null: np.ndarray, k: np.ndarray, seed: int) ->
     return mix64(x ^ (k.astype(np.uint64) * np.uint64(2) + null.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-HASH, PRINT = 1, 2  # seeds of the key's hash and of its fingerprint
+PRINT = 0  # seed of the fingerprint; a part's own hash has the first seed from 1 on that tells all its keys apart
 
 
 def _key_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,12 +294,14 @@ def build_index(rows: DataFrame, folder: str, work: Workspace) -> tuple[DataFram
             own = table.filter(pc.equal(table.column("part"), int(part))).combine_chunks()
             batch = own.select(["doc_id", "k"]).to_batches()[0]
             columns = _key_columns(batch)
-            hashes = key_hash(*columns, HASH)
+            seed, hashes = 1, key_hash(*columns, 1)
+            while len(np.unique(hashes)) < len(hashes):
+                seed, hashes = seed + 1, key_hash(*columns, seed + 1)
             mph = PerfectHash.build(hashes)
             order = np.argsort(mph.number(hashes))
             name = _part_file(folder, int(part), TaskContext.get().taskAttemptId())
             out = io.BytesIO()
-            np.savez(out, prints=key_hash(*columns, PRINT)[order], **{c: own.column(c).to_numpy()[order] for c in ("shard", "ordinal", "n_rows", "last")}, **{f"level{i}": np.packbits(b) for i, b in enumerate(mph.levels)}, sizes=np.array([len(b) for b in mph.levels]))
+            np.savez(out, prints=key_hash(*columns, PRINT)[order], **{c: own.column(c).to_numpy()[order] for c in ("shard", "ordinal", "n_rows", "last")}, **{f"level{i}": np.packbits(b) for i, b in enumerate(mph.levels)}, sizes=np.array([len(b) for b in mph.levels]), seed=np.int64(seed))
             store, path = _store(name)
             with store.open_output_stream(path) as f:
                 f.write(out.getvalue())
@@ -277,12 +318,12 @@ def _part(parts: int):
 class IndexPart:
     def __init__(self, uri: str):
         held = np.load(io.BytesIO(_read(uri).tobytes()))
-        self.mph = PerfectHash([np.unpackbits(held[f"level{i}"], count=int(n)).astype(bool) for i, n in enumerate(held["sizes"])])
+        self.mph = PerfectHash([np.unpackbits(held[f"level{i}"], count=int(n)).astype(bool) for i, n in enumerate(held["sizes"])], int(held["seed"]))
         self.prints, self.columns = held["prints"], [held[c] for c in ("shard", "ordinal", "n_rows", "last")]
 
     def look_up(self, doc_id: np.ndarray, null: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which keys the files hold, and those keys' shard, ordinal, number of rows and whether it is the last shard."""
-        number = self.mph.number(key_hash(doc_id, null, k, HASH))
+        number = self.mph.number(key_hash(doc_id, null, k, self.mph.seed))
         held = number >= 0
         held[held] = self.prints[number[held]] == key_hash(doc_id, null, k, PRINT)[held]
         return held, [c[number[held]] for c in self.columns]
@@ -319,38 +360,43 @@ def read_documents(found: DataFrame, files: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, held = None, None
+        opened, shard = None, None
         for batch in batches:
             out: list[list] = [[], [], [], []]
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for doc_id, ordinal, n_rows, file, start in zip(*columns, strict=True):
                 if file != opened:
-                    raw = _read(file + ".ids", mapped=True)
-                    if raw[:8].tobytes() != MAGIC:
-                        raise ValueError(f"not a shard: {file}")
-                    wide = int(raw[8])
-                    opened, held = file, (raw[16:].view(f"<u{wide}"), _read(file + ".pos", mapped=True).view("<u8"))
-                ids, pos = held
+                    if shard:
+                        shard.close()
+                    opened, shard, have, ids, span = file, Shard(file), 0, np.zeros(0, np.uint32), 0
+                pos = shard.pos
                 for o in range(ordinal, ordinal + n_rows):
                     a, b = int(pos[o]), int(pos[o + 1])
+                    if a < have or b > have + len(ids):
+                        # whole documents, more and more of them while keys follow each other
+                        span = min(2 * span, READ_TOKENS) if a == have + len(ids) else FIRST_READ
+                        last = max(o + 1, int(np.searchsorted(pos, a + span, "right")) - 1)
+                        have, ids = a, shard.ids(a, int(pos[last]))
                     out[0].append(doc_id)
                     out[1].append(start + a)
                     out[2].append(b - a)
-                    out[3].append(zlib.crc32(np.ascontiguousarray(ids[a:b]).astype("<u4").tobytes()))
+                    out[3].append(zlib.crc32(ids[a - have : b - have].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        if shard:
+            shard.close()
 
     dealt = found.join(files, "shard").repartition("shard").sortWithinPartitions("shard", "ordinal").select("doc_id", "ordinal", "n_rows", "file", "start")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes docs to shards with an index and returns one row a document, read back through the index."""
     from pyspark.sql import Window
 
     spark = docs.sparkSession
     work = Workspace(spark, "tokens")
     folder = f"{work.root}/shards"
-    rows = write_shards(docs, folder, tokenizer, end_id, work)
+    rows = write_shards(docs, folder, tokenizer, end_id, work, shard_tokens)
     index, parts = build_index(rows, folder, work)
     # one row a shard
     sums = rows.groupBy("shard", "file").agg(F.sum("n_tokens").alias("n"))

@@ -245,16 +245,19 @@ def test_token_files_round_trip(spark):
 
     path = tokenizer_path()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ["hello world", None, "", "  two  spaces\n\nand lines ", "a b", "naïve café — 中文 🙂", " lead", "trail ", "x\u00a0y z\u2003 q", "word " * 3000, "!", "a b"]
-    rows = [(5 * i % 13, x, None, None) for i, x in enumerate(texts)] + [(None, "no id", None, None)]
-    got = token_files.encode_and_read_back(docs(spark, rows), path).orderBy("start").collect()
+    mark = "<|endoftext|>"
+    assert t.encode(f"a{mark}b", add_special_tokens=False).ids == [64, 50256, 65]
+    texts = [f"a{mark}b", mark, f"{mark} after and before {mark}", f" {mark}{mark} x{mark} y {mark}", f"{mark}\n{mark}  two", "hello world", None, "", "  two  spaces\n\nand lines ", "a b", "naïve café — 中文 🙂", " lead", "trail ", "x\u00a0y z\u2003 q", "word " * 3000, "!", "a b"]
+    rows = [(5 * i % 17, x, None, None) for i, x in enumerate(texts)] + [(None, "no id", None, None)]
+    assert len({r[0] for r in rows}) == len(rows)
     want, at = [], 0
     for i, x in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert [tuple(r) for r in got] == want
+    for most in (token_files.SHARD_TOKENS, 8):  # in one shard a task, and in many
+        got = token_files.encode_and_read_back(docs(spark, rows), path, shard_tokens=most).orderBy("start").collect()
+        assert [tuple(r) for r in got] == want
     assert token_files.encode_and_read_back(docs(spark, []), path).count() == 0
 
 
