@@ -1,24 +1,28 @@
 """Near-duplicate documents: chosen-path set similarity join (Christiani, Pagh and Sivertsen 2018).
 
-1. A document's set of word shingles gets a 128-bit id and COORDS minwise tokens (the set's MinHash under
-   COORDS hash functions). Documents with one set form a class; only classes go on, copies stay members.
+1. A document's set of word shingles gets a 128-bit digest and COORDS minwise tokens (the set's MinHash under
+   COORDS hash functions). Documents with one set form a class with a number; only classes go on, copies stay members.
 2. Trees. In each of `trees` independent trees a node holds classes. A node branches on 1 / threshold
    coordinates in expectation, chosen by a hash of the node; for each chosen coordinate a class goes to the
-   child named by its minwise token there. A pair of similarity s stays together with probability s a level.
-   All trees are grown at once, level by level; a node of at most SMALL classes is a leaf. Leaves and last
-   nodes whose classes are the same as another's are compared once, but each tree branches on its own large
-   nodes: where one parts a pair, the others still try. The roots' coordinates are drawn without replacement
-   (up to COORDS trees). The number of trees follows from the target recall at the deepest level.
+   child named by its minwise token there. All trees are grown at once, level by level. A node of at most SMALL
+   classes is a leaf; one that keeps ALIKE of its parent's classes holds documents that no coordinate parts, and
+   isn't branched on any more; so the depth follows from the data, up to LEVELS. Leaves and last nodes whose
+   classes are the same as another's are compared once, but each tree branches on its own large nodes: where one
+   parts a pair, the others still try. The roots' coordinates are drawn without replacement (up to COORDS trees).
+   The number of trees follows from the target recall of a pair at the threshold at the deepest level.
 3. Leaves are compared exhaustively on their minwise tokens and set sizes. Pairs that could reach the
    threshold (4.5 standard deviations below it) are candidates; of a leaf with many candidates only a
    spanning forest goes on at first.
-4. Candidates are verified on full sets, recomputed from the texts of both.
+4. Candidates are verified on full sets, recomputed from the texts of both. One text a class and hub travels: the
+   spokes of a hub (the smaller class of each pair) meet it in chunks of HUB. Texts that no candidate names are
+   left out of the shuffle by a bitmap of bounded size.
 5. Components of verified links. Groups that still hold several components are then compared in full between
    components (never within one), on full sets inside the task: no candidate pair leaves it, only links.
 
-Nodes that stay large down to the last level hold large groups of alike classes. They are cut to blocks of
-SMALL classes which all get the node's least class as a pivot; classes that the pivot doesn't link are then
-compared with every block of CROSS classes. So no task holds an unbounded group, and no pair is given up for a node's size.
+Nodes that stay large hold large groups of alike classes. They are cut to blocks of SMALL / 2 classes which all get
+the node's least class as a pivot; classes that the pivot doesn't link are then compared with every block of CROSS
+classes. So no task holds an unbounded group, and no pair is given up for a node's size. Joins on keys that many rows
+may share (a class of copies, a component, a pivot) have a saved table on the other side, so that Spark splits them.
 
 Edge cases: null text and text without words have an empty set, are linked with nothing and are components
 of their own; a text of fewer words than a shingle has one shingle, the whole sequence; repeated rows and
@@ -34,15 +38,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, as_strings, mix64, read_table, text_slices, white_space_chunks
 
 COORDS = 64
 SMALL = 256
-LEVELS = 3
+LEVELS = 6
+#: Share of a parent's classes from which on a child is taken as a group of alike documents.
+ALIKE = 0.85
 RECALL = 0.9999
+#: Spokes that meet a hub's text in one task group.
+HUB = 64
+#: Bits of the bitmap that keeps texts without a candidate from being shuffled: BITS_A_CLASS for each class, at most.
+BITS_A_CLASS, MOST_BITS = 16, 1 << 27
 #: Leaves of up to so many classes send all candidates on at once.
 FEW = 8
 #: Classes on each side of a pair of blocks of a large node.
@@ -51,9 +61,22 @@ _SEEDS = mix64(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
 _MUL, _ADD = _SEEDS[:COORDS] | np.uint64(1), _SEEDS[COORDS:]
 
 
-def trees_for(threshold: float, recall: float = RECALL, level: int = 3) -> int:
-    """Trees so that a pair at the threshold, parted only below `level` levels, is found with that probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**level))
+def survival(threshold: float, levels: int = LEVELS) -> float:
+    """Probability that one tree keeps a pair at the threshold together down to its last level.
+
+    A node branches on one coordinate, or on two with probability 1 / threshold - 1, and each keeps the pair with
+    the probability of the threshold.
+    """
+    below, two = 1.0, 1 / threshold - 1
+    for _ in range(levels - 1):
+        one = threshold * below
+        below = (1 - two) * one + two * (1 - (1 - one) ** 2)
+    return threshold * below
+
+
+def trees_for(threshold: float, recall: float = RECALL, levels: int = LEVELS) -> int:
+    """Trees so that a pair at the threshold is found with that probability, even at the deepest level."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, levels)))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -84,8 +107,14 @@ def minwise(own: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(33)).astype(np.int32)
 
 
+def doc_key() -> Column:
+    """128 bits that name a row by its doc_id and text."""
+    part = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")
+    return F.unhex(F.concat(part("doc_id", "text"), part(F.lit(1), "text", "doc_id")))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, doc_key (of id and text), n_shingles, set_id (null for an empty set) and tokens (COORDS ints)."""
+    """doc_id, doc_key, n_shingles, digest (null for an empty set) and tokens (COORDS ints)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,40 +124,43 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 tokens = np.concatenate([minwise(s) for s in sets if len(s)] or [np.zeros(0, np.int32)])
                 sizes = np.array([len(s) for s in sets], np.int64)
                 ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, COORDS, 0)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(1).slice(a, b - a), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], ["doc_id", "doc_key", "n_shingles", "set_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(1).slice(a, b - a), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], ["doc_id", "doc_key", "n_shingles", "digest", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("doc_key"), "text").mapInArrow(sketch, "doc_id long, doc_key long, n_shingles long, set_id binary, tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long"), doc_key().alias("doc_key"), "text").mapInArrow(sketch, "doc_id long, doc_key binary, n_shingles long, digest binary, tokens array<int>")
 
 
 def grow(classes: DataFrame, threshold: float, trees: int, work: Workspace) -> DataFrame:
-    """(grp, set_id, pivot): leaves as groups of at most SMALL classes, plus the blocks of large nodes."""
+    """(grp, set_id, pivot): leaves as groups of at most SMALL classes, plus the blocks of large nodes. classes: set_id, tokens."""
     rng = np.random.default_rng(5)
     drawn = np.concatenate([rng.permutation(COORDS) for _ in range(-(-trees // COORDS))])[:trees]
     roots = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", int(c) + 1)) for t, c in enumerate(drawn)])
-    nodes = classes.select("set_id", F.explode(roots).alias("node"))
-    leaves = []
+    none = F.lit(None).cast("long")
+    nodes = classes.select("set_id", F.explode(roots).alias("node"), none.alias("parent_n"))
+    leaves, saved = [], []
     for level in range(LEVELS):
         # what a node holds, summed map-side; of those that don't branch, nodes of the same classes are kept once
-        sums = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.min("set_id").alias("pivot")).filter("n > 1")
-        branching = F.when(F.col("n") > SMALL, F.col("node")) if level < LEVELS - 1 else F.lit(None).cast("long")
-        once = sums.groupBy("n", "mark", "pivot", branching.alias("own")).agg(F.min("node").alias("node"))
-        held = work.save(nodes.join(once.drop("mark", "own"), "node"), f"level{level}")
-        leaves.append(held.filter(F.col("n") <= SMALL).select(F.col("node").alias("grp"), "set_id", F.lit(None).cast("binary").alias("pivot")))
-        large = held.filter(F.col("n") > SMALL)
+        sums = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.min("set_id").alias("pivot"), F.max("parent_n").alias("parent_n")).filter("n > 1")
+        last = F.lit(level == LEVELS - 1) | F.coalesce(F.col("n") >= ALIKE * F.col("parent_n"), F.lit(False))
+        sums = sums.withColumn("branches", (F.col("n") > SMALL) & ~last)
+        once = sums.groupBy("n", "mark", "pivot", "branches", F.when(F.col("branches"), F.col("node")).alias("own")).agg(F.min("node").alias("node"))
+        held = work.save(nodes.select("node", "set_id").join(once.drop("mark", "own"), "node"), f"level{level}")
+        saved.append(held)
+        leaves.append(held.filter(F.col("n") <= SMALL).select(F.col("node").alias("grp"), "set_id", none.alias("pivot")))
+        block = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / (SMALL // 2)))
+        leaves.append(held.filter((F.col("n") > SMALL) & ~F.col("branches")).select(F.xxhash64("node", block).alias("grp"), "set_id", "pivot"))
+        large = held.filter("branches")
         if large.isEmpty():
             break
-        if level == LEVELS - 1:
-            block = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / (SMALL // 2)))
-            leaves.append(large.select(F.xxhash64("node", block).alias("grp"), "set_id", "pivot"))
-            break
         extra = int(1000 * (1 / threshold - 1))
         chosen = lambda j: F.element_at("tokens", (F.pmod(F.xxhash64(F.lit(j), "node"), F.lit(COORDS)) + 1).cast("int"))
         two = F.pmod(F.xxhash64(F.lit("two"), "node"), F.lit(1000)) < extra
         children = F.when(two, F.array(F.xxhash64(F.lit(0), "node", chosen(0)), F.xxhash64(F.lit(1), "node", chosen(1)))).otherwise(F.array(F.xxhash64(F.lit(0), "node", chosen(0))))
-        nodes = large.select("node", "set_id").join(classes.select("set_id", "tokens"), "set_id").select("set_id", F.explode(children).alias("node"))
+        nodes = large.select("node", "set_id", "n").join(classes.select("set_id", "tokens"), "set_id").select("set_id", F.explode(children).alias("node"), F.col("n").alias("parent_n"))
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
+    out = work.save(out, "groups")
+    work.drop(*saved)
     return out
 
 
@@ -183,20 +215,20 @@ def by_group(batches: Iterator[pa.RecordBatch], handle) -> Iterator[list]:
         yield handle(held)
 
 
-def _sketch(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _sketch(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
     tokens = table.column("tokens").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS)
     return table.column("set_id").to_pylist(), tokens, table.column("n_shingles").to_numpy()
 
 
-def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     found = list(dict.fromkeys(found))
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
 
 def compare(groups: DataFrame, threshold: float) -> DataFrame:
     """(a, b): first candidates of each group (grp, set_id, tokens, n_shingles): all of a few, else a spanning forest."""
 
-    def one(table: pa.Table) -> list[tuple[bytes, bytes]]:
+    def one(table: pa.Table) -> list[tuple[int, int]]:
         if table.num_rows < 2:
             return []
         ids, tokens, sizes = _sketch(table)
@@ -209,7 +241,7 @@ def compare(groups: DataFrame, threshold: float) -> DataFrame:
             yield _edges(found)
 
     dealt = groups.select("grp", "set_id", "tokens", "n_shingles").repartition("grp").sortWithinPartitions("grp", "set_id")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -237,7 +269,7 @@ def link_across(groups: DataFrame, threshold: float, num: int, den: int) -> Data
     groups: grp, set_id, tokens, n_shingles, label, side (0: compared with all, 1: with side 0 only) and shingles.
     """
 
-    def one(table: pa.Table) -> list[tuple[bytes, bytes]]:
+    def one(table: pa.Table) -> list[tuple[int, int]]:
         if table.num_rows < 2:
             return []
         ids, tokens, sizes = _sketch(table)
@@ -286,49 +318,74 @@ def link_across(groups: DataFrame, threshold: float, num: int, den: int) -> Data
             yield _edges(found)
 
     dealt = groups.select("grp", "set_id", "tokens", "n_shingles", "label", "side", "shingles").repartition("grp").sortWithinPartitions("grp", "set_id")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, text) of one document of each wanted class; wanted is a saved table with distinct set_id.
+
+    A bitmap of the wanted documents' keys, MOST_BITS at most, goes to all tasks that scan docs; where it fills up
+    it lets more texts through to the join, never fewer.
+    """
+    asked = classes.select("set_id", "doc_key").join(wanted.select("set_id"), "set_id", "left_semi")
+    n = wanted.count()
+    size = min(MOST_BITS, max(1 << 10, 1 << math.ceil(math.log2(BITS_A_CLASS * n + 1))))
+    bit = F.pmod(F.xxhash64("doc_key"), F.lit(size))
+    words = asked.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # MOST_BITS / 64 rows at most
+    marks = np.zeros(size // 64, np.int64)
+    marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(marks.view(np.uint8), bitorder="little"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(sent.value[batch.column(0).to_numpy()].astype(bool)))
+            yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2)], ["doc_key", "text"])
+
+    keyed = docs.select(doc_key().alias("doc_key"), "text")
+    texts = keyed.select(bit.alias("bit"), "doc_key", "text").mapInArrow(marked, "doc_key binary, text string")
+    # repeated rows share their key: one of them is kept, map-side first
+    return asked.join(texts.groupBy("doc_key").agg(F.first("text").alias("text")), "doc_key").select("set_id", "text")
 
 
 def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(set_id, shingles): full sets, recomputed from one document of each wanted class."""
-    asked = classes.select("set_id", "doc_key").join(wanted.select("set_id").distinct(), "set_id", "left_semi")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text").join(asked.select("doc_key"), "doc_key", "left_semi").dropDuplicates(["doc_key"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_strings(batch.column(1))
             for a, b in text_slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in shingle_sets(texts.slice(a, b - a), k)], pa.binary())], ["doc_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in shingle_sets(texts.slice(a, b - a), k)], pa.binary())], ["set_id", "shingles"])
 
-    return asked.join(texts.select("doc_key", "text").mapInArrow(shingled, "doc_key long, shingles binary"), "doc_key").select("set_id", "shingles")
+    return texts_of(wanted, classes, docs).mapInArrow(shingled, "set_id long, shingles binary")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) with den * |intersection| >= num * |union| on the full sets."""
-    edges = pairs.withColumn("edge", F.concat("a", "b"))
-    ends = edges.select("edge", F.explode(F.array("a", "b")).alias("set_id"))
-    # one document of each class speaks for it
-    asked = ends.join(classes.select("set_id", "doc_key"), "set_id").select("edge", "doc_key")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text").join(asked.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    sent = asked.join(texts, "doc_key").select("edge", "text").repartition("edge").sortWithinPartitions("edge")
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, work: Workspace) -> DataFrame:
+    """Those of the saved pairs (a, b) with den * |intersection| >= num * |union| on the full sets."""
+    chunks = work.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("chunks")), "hubs")
+    dealt = pairs.join(chunks, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
+    ends = dealt.select("hub", "chunk", F.col("b").alias("set_id")).unionByName(dealt.select("hub", "chunk", F.col("hub").alias("set_id")).distinct())
+    ends = work.save(ends, "ends")
+    wanted = work.save(ends.select("set_id").distinct(), "wanted")
+    sent = ends.join(texts_of(wanted, classes, docs), "set_id").select("hub", "chunk", (F.col("set_id") != F.col("hub")).alias("spoke"), "set_id", "text")
+    sent = sent.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "spoke")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[bytes, np.ndarray] = {}
+        hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
-            texts = as_strings(batch.column(1))
-            edges = batch.column(0).to_pylist()
+            texts = as_strings(batch.column(4))
+            hubs, spoke, ids = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for a, b in text_slices(texts):
-                for edge, own in zip(edges[a:b], shingle_sets(texts.slice(a, b - a), k), strict=True):
-                    if (other := waiting.pop(edge, None)) is None:
-                        waiting[edge] = own
-                        continue
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if den * both >= num * (len(own) + len(other) - both):
-                        out.append(edge)
-            yield pa.RecordBatch.from_arrays([pa.array([e[:16] for e in out], pa.binary()), pa.array([e[16:] for e in out], pa.binary())], ["a", "b"])
+                for i, found in enumerate(shingle_sets(texts.slice(a, b - a), k), a):
+                    if not spoke[i]:
+                        hub, own = hubs[i], found
+                    elif hub == hubs[i]:
+                        both = len(np.intersect1d(own, found, assume_unique=True))
+                        if den * both >= num * (len(own) + len(found) - both):
+                            out.append((hub, ids[i]))
+            yield _edges(out)
 
-    return sent.mapInArrow(check, "a binary, b binary")
+    return sent.mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -338,11 +395,14 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     their nodes' least neighbours, and rounds grow with the logarithm of a component's diameter.
     """
 
+    used: list[DataFrame] = []
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.filter("v < u")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = work.save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        used.append(least)
         joined = both.join(least, "u")
         if large:
             moved = joined.filter("v > u").select("v", "m")
@@ -357,8 +417,10 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
         if row == mark or not row[0]:
             break
         mark = row
-        after = work.save(star(star(now, True), False), "star")
-        work.drop(now)
+        middle = work.save(star(now, True), "star")
+        after = work.save(star(middle, False), "star")
+        work.drop(now, middle, *used)
+        used.clear()
         now = after
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
@@ -368,33 +430,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     spark, threshold = docs.sparkSession, num / den
     work = Workspace(spark, "neardup")
     docs = docs.select("doc_id", "text")
-    # doc_key names a row by its id and text
     base = work.save(sketches(docs, k), "sketches")
-    classes = work.save(base.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("doc_key").alias("doc_key"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles")), "classes")
-    groups = work.save(grow(classes, threshold, trees_for(threshold), work), "groups")
+    numbered = base.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("doc_key").alias("doc_key"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"))
+    classes = work.save(numbered.withColumn("set_id", F.monotonically_increasing_id()), "classes")  # a number is given once, when it is written
+    groups = grow(classes.select("set_id", "tokens"), threshold, trees_for(threshold), work)
     sketch = classes.select("set_id", "tokens", "n_shingles")
     pivots = groups.filter("pivot is not null").select("grp", F.col("pivot").alias("set_id")).distinct()
     members = groups.select("grp", "set_id").unionByName(pivots)
     first = work.save(compare(members.distinct().join(sketch, "set_id"), threshold), "candidates")
-    links = work.save(verify(first, classes, docs, k, num, den), "links")
+    links = work.save(verify(first, classes, docs, k, num, den, work), "links")
+    work.drop(first)
     labels = work.save(components(links, work), "labels")
-    across = work.save(_crossing(groups, labels), "across")
+    across = work.save(_crossing(groups, labels, work), "across")
+    work.drop(groups)
     if not across.isEmpty():
-        full = sets_of(across, classes, docs, k)
+        full = sets_of(work.save(across.select("set_id").distinct(), "asked"), classes, docs, k)
         more = work.save(link_across(across.join(sketch, "set_id").join(full, "set_id"), threshold, num, den), "more")
         links = links.unionByName(more)
         labels = work.save(components(links, work), "labels2")
-    named = classes.select("set_id", "least").join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "label").select("set_id", "label", "component_id")
-    out = base.select("doc_id", "n_shingles", "set_id", "doc_key").join(by_class, "set_id", "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    work.drop(across)
+    named = work.save(classes.select("set_id", "digest", "least").join(labels, F.col("set_id") == F.col("node"), "left").select("digest", "least", F.coalesce("label", "set_id").alias("label")), "named")
+    least = work.save(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    by_class = work.save(named.join(least, "label").select("digest", "label", "component_id"), "components")
+    out = base.select("doc_id", "n_shingles", "digest", "doc_key").join(by_class, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "label", "doc_key")
 
 
-def _crossing(groups: DataFrame, labels: DataFrame) -> DataFrame:
+def _crossing(groups: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
     """(grp, set_id, label, side): groups in which the first round left several components, to be compared again."""
-    named = groups.join(labels, F.col("set_id") == F.col("node"), "left").select("grp", "set_id", "pivot", F.coalesce("label", "set_id").alias("label"))
+    named = work.save(groups.join(labels, F.col("set_id") == F.col("node"), "left").select("grp", "set_id", "pivot", F.coalesce("label", "set_id").alias("label")), "named")
     # leaves: only groups with more than FEW classes sent a forest instead of all candidates
     leaves = named.filter("pivot is null")
     several = leaves.groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter((F.col("n") > FEW) & (F.col("lo") < F.col("hi"))).select("grp")
@@ -403,8 +468,8 @@ def _crossing(groups: DataFrame, labels: DataFrame) -> DataFrame:
     # meet the whole node, block by block
     large = named.filter("pivot is not null").select("pivot", "set_id", "label").distinct()
     of_pivot = large.select("pivot").distinct().join(labels, F.col("pivot") == F.col("node"), "left").select("pivot", F.coalesce("label", "pivot").alias("home"))
-    large = large.join(of_pivot, "pivot").withColumn("out", F.col("label") != F.col("home"))
-    sizes = large.groupBy("pivot").agg(F.ceil(F.count("*") / CROSS).alias("k"), F.ceil(F.count_if("out") / CROSS).alias("k_out")).filter("k_out > 0")
+    large = work.save(large.join(of_pivot, "pivot").withColumn("out", F.col("label") != F.col("home")), "large")
+    sizes = work.save(large.groupBy("pivot").agg(F.ceil(F.count("*") / CROSS).alias("k"), F.ceil(F.count_if("out") / CROSS).alias("k_out")).filter("k_out > 0"), "sizes")
     large = large.join(sizes, "pivot")
     pair = lambda i, j: F.xxhash64("pivot", i, j)
     block = F.pmod(F.xxhash64("set_id"), F.col("k"))
@@ -419,8 +484,12 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     columns = docs.columns
     # a component has few rows with its least doc_id, and they are reduced map-side
     found = near_duplicates(docs, k, num, den).filter("kept")
-    chosen = found.groupBy(F.coalesce("label", F.col("doc_key").cast("string").cast("binary"))).agg(F.min("doc_key").alias("__key")).select("__key").distinct()
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).select(*columns)
+    of = F.when(F.col("label").isNotNull(), F.struct("label", F.lit(None).cast("binary").alias("key"))).otherwise(F.struct("label", F.col("doc_key").alias("key")))
+    chosen = found.groupBy(of).agg(F.min("doc_key").alias("key")).select("key").distinct()
+    # columns lie in a struct, so that none of theirs can clash with one of ours
+    held = docs.select(doc_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"))
+    one = held.join(chosen, "key", "left_semi").dropDuplicates(["key"])
+    return one.select(*[F.col(f"doc.`{c}`").alias(c) for c in columns])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,19 +199,43 @@ def test_every_tree_branches_on_its_own_large_nodes(spark):
     rows, variants = [], []
     for g in range(40):
         base = rng.integers(1 << 30, size=near_duplicates.COORDS)
-        for i in range(near_duplicates.SMALL + 4):
+        for _ in range(near_duplicates.SMALL + 4):
             other = rng.random(near_duplicates.COORDS) < 0.0001
-            rows.append((f"{g} {i}".encode(), np.where(other, rng.integers(1 << 30, size=near_duplicates.COORDS), base).tolist()))
+            rows.append(np.where(other, rng.integers(1 << 30, size=near_duplicates.COORDS), base).tolist())
         other = rng.permutation(near_duplicates.COORDS) < 9  # 55 of 64 agree: 0.86
-        variants.append(f"{g} variant".encode())
-        rows.append((variants[-1], np.where(other, rng.integers(1 << 30, size=near_duplicates.COORDS), base).tolist()))
-    table = pa.table({"set_id": pa.array([r[0] for r in rows], pa.binary()), "tokens": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+        variants.append(len(rows))
+        rows.append(np.where(other, rng.integers(1 << 30, size=near_duplicates.COORDS), base).tolist())
+    table = pa.table({"set_id": pa.array(range(len(rows)), pa.int64()), "tokens": pa.array(rows, pa.list_(pa.int32()))})
     classes = spark.createDataFrame(table).repartition(4)
     grown = near_duplicates.grow(classes, 0.85, near_duplicates.trees_for(0.85), Workspace(spark, "test"))
-    held = {bytes(r["set_id"]) for r in grown.select("set_id").distinct().collect()}  # nodes of one class are left out
+    held = {r["set_id"] for r in grown.select("set_id").distinct().collect()}  # nodes of one class are left out
     assert sorted(set(variants) - held) == []
 
 
+def test_trees_keep_pairs_with_the_stated_recall():
+    """The trees' survival at the threshold, simulated."""
+    rng = random.Random(56)
+
+    def kept(level):
+        if rng.random() >= 0.85:
+            return False
+        return level == near_duplicates.LEVELS - 1 or any(kept(level + 1) for _ in range(1 + (rng.random() < 1 / 0.85 - 1)))
+
+    share = sum(kept(0) for _ in range(20000)) / 20000
+    assert abs(share - near_duplicates.survival(0.85)) < 0.015
+    assert (1 - near_duplicates.survival(0.85)) ** near_duplicates.trees_for(0.85) <= 1 - near_duplicates.RECALL
+
+
+def test_unlike_documents_of_one_template_are_parted(spark):
+    """Classes that share half of their coordinates don't stay in one large node down to the last level."""
+    rng = np.random.default_rng(57)
+    base = rng.integers(1 << 30, size=near_duplicates.COORDS)
+    rows = [np.where(rng.random(near_duplicates.COORDS) < 0.5, rng.integers(1 << 30, size=near_duplicates.COORDS), base).tolist() for _ in range(3000)]
+    classes = spark.createDataFrame(pa.table({"set_id": pa.array(range(len(rows)), pa.int64()), "tokens": pa.array(rows, pa.list_(pa.int32()))}))
+    grown = near_duplicates.grow(classes, 0.85, near_duplicates.trees_for(0.85), Workspace(spark, "test"))
+    assert grown.filter("pivot is not null").isEmpty()
+
+
 # --- 6 toxicity
 
 
