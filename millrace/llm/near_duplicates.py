@@ -16,8 +16,9 @@
 4. Candidates are verified on full sets, recomputed from the texts of both. One text a class and hub travels: the
    spokes of a hub (the smaller class of each pair) meet it in chunks of HUB. Texts that no candidate names are
    left out of the shuffle by a bitmap of bounded size.
-5. Components of verified links. Groups that still hold several components are then compared in full between
-   components (never within one), on full sets inside the task: no candidate pair leaves it, only links.
+5. Components of verified links. Where a group has candidates that weren't sent and still holds several components, the
+   classes that have a candidate in another component are compared between components (never within one), on
+   full sets inside the task: no candidate pair leaves it, only links.
 
 Nodes that stay large hold large groups of alike classes. They are cut to blocks of SMALL / 2 classes which all get
 the node's least class as a pivot; classes that the pivot doesn't link are then compared with every block of CROSS
@@ -226,22 +227,66 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def compare(groups: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): first candidates of each group (grp, set_id, tokens, n_shingles): all of a few, else a spanning forest."""
+    """First candidates of each group (grp, set_id, tokens, n_shingles, block), and what they leave open.
 
-    def one(table: pa.Table) -> list[tuple[int, int]]:
+    Rows (a, b) are pairs: all candidates of a few classes, else a spanning forest. Rows (a, null, grp) name, for groups
+    that aren't blocks, classes whose part of the group has candidates beyond its tree.
+    """
+
+    def one(table: pa.Table) -> list[tuple]:
         if table.num_rows < 2:
             return []
         ids, tokens, sizes = _sketch(table)
         est = _pairs(tokens, sizes, threshold)
-        found = zip(*np.nonzero(np.triu(est)), strict=True) if len(ids) <= FEW else _forest(est)
-        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found]
+        if len(ids) <= FEW:
+            return [(min(ids[i], ids[j]), max(ids[i], ids[j]), None) for i, j in zip(*np.nonzero(np.triu(est)), strict=True)]
+        forest = _forest(est)
+        out: list[tuple] = [(min(ids[i], ids[j]), max(ids[i], ids[j]), None) for i, j in forest]
+        if not table.column("block")[0].as_py():
+            part = np.arange(len(ids))
+            for i, j in forest:  # Prim's order: i is in its tree already
+                part[j] = part[i]
+            degrees = np.bincount(part, (est > 0).sum(axis=1), len(ids))
+            more = degrees > 2 * (np.bincount(part, minlength=len(ids)) - 1)
+            grp = table.column("grp")[0].as_py()
+            out += [(ids[i], None, xxhash.xxh3_64_intdigest(np.array([grp, ids[part[i]]], np.int64).tobytes()) - (1 << 63)) for i in np.flatnonzero(more[part])]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in by_group(batches, one):
-            yield _edges(found)
+            found = list(dict.fromkeys(found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["a", "b", "grp"])
 
-    dealt = groups.select("grp", "set_id", "tokens", "n_shingles").repartition("grp").sortWithinPartitions("grp", "set_id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = groups.select("grp", "set_id", "tokens", "n_shingles", "block").repartition("grp").sortWithinPartitions("grp", "set_id")
+    return dealt.mapInArrow(run, "a long, b long, grp long").distinct()
+
+
+def involved(groups: DataFrame, threshold: float) -> DataFrame:
+    """Those rows of groups (grp, set_id, tokens, n_shingles, label, side) with a candidate of another label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in by_group(batches, one):
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["grp", "set_id", "label", "side"])
+
+    def one(table: pa.Table) -> list[tuple]:
+        ids, tokens, sizes = _sketch(table)
+        label, side = table.column("label").to_numpy(), table.column("side").to_numpy()
+        hit = np.zeros(len(ids), bool)
+        for lo in range(0, len(ids), 128):
+            hi = min(lo + 128, len(ids))
+            est = _across(tokens, sizes, label, side, lo, hi, threshold)
+            hit[lo:hi] |= est.any(axis=1)
+            hit |= est.any(axis=0)
+        grp = table.column("grp")[0].as_py()
+        return [(grp, ids[i], int(label[i]), int(side[i])) for i in np.flatnonzero(hit)]
+
+    dealt = groups.select("grp", "set_id", "tokens", "n_shingles", "label", "side").repartition("grp").sortWithinPartitions("grp", "set_id")
+    return dealt.mapInArrow(run, "grp long, set_id long, label long, side int")
+
+
+def _across(tokens: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.ndarray, lo: int, hi: int, threshold: float) -> np.ndarray:
+    """Candidates of rows lo to hi with all rows, of other labels and not both of side 1."""
+    return _strip(tokens, sizes, lo, hi, threshold) & (label[lo:hi, None] != label[None, :]) & (side[lo:hi, None] + side[None, :] < 2)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -280,9 +325,7 @@ def link_across(groups: DataFrame, threshold: float, num: int, den: int) -> Data
         first, second = [], []
         for lo in range(0, len(ids), 128):  # in strips: the estimate holds a cube of strip * group * COORDS
             hi = min(lo + 128, len(ids))
-            est = _strip(tokens, sizes, lo, hi, threshold)
-            est &= (label[lo:hi, None] != label[None, :]) & (side[lo:hi, None] + side[None, :] < 2)
-            i, j = np.nonzero(est)
+            i, j = np.nonzero(_across(tokens, sizes, label, side, lo, hi, threshold))
             first.append(i[i + lo < j] + lo)
             second.append(j[i + lo < j])
         i, j = np.concatenate(first), np.concatenate(second)
@@ -436,13 +479,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     groups = grow(classes.select("set_id", "tokens"), threshold, trees_for(threshold), work)
     sketch = classes.select("set_id", "tokens", "n_shingles")
     pivots = groups.filter("pivot is not null").select("grp", F.col("pivot").alias("set_id")).distinct()
-    members = groups.select("grp", "set_id").unionByName(pivots)
+    members = groups.select("grp", "set_id", F.col("pivot").isNotNull().alias("block")).unionByName(pivots.withColumn("block", F.lit(True)))
     first = work.save(compare(members.distinct().join(sketch, "set_id"), threshold), "candidates")
-    links = work.save(verify(first, classes, docs, k, num, den, work), "links")
-    work.drop(first)
+    links = work.save(verify(first.filter("b is not null").select("a", "b"), classes, docs, k, num, den, work), "links")
     labels = work.save(components(links, work), "labels")
-    across = work.save(_crossing(groups, labels, work), "across")
-    work.drop(groups)
+    left_open = first.filter("b is null").select("grp", F.col("a").alias("set_id"))
+    across = _crossing_leaves(left_open, labels, work).unionByName(involved(_crossing_blocks(groups, labels, work).join(sketch, "set_id"), threshold))
+    across = work.save(across, "across")
+    work.drop(groups, first)
     if not across.isEmpty():
         full = sets_of(work.save(across.select("set_id").distinct(), "asked"), classes, docs, k)
         more = work.save(link_across(across.join(sketch, "set_id").join(full, "set_id"), threshold, num, den), "more")
@@ -457,16 +501,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "label", "doc_key")
 
 
-def _crossing(groups: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """(grp, set_id, label, side): groups in which the first round left several components, to be compared again."""
-    named = work.save(groups.join(labels, F.col("set_id") == F.col("node"), "left").select("grp", "set_id", "pivot", F.coalesce("label", "set_id").alias("label")), "named")
-    # leaves: only groups with more than FEW classes sent a forest instead of all candidates
-    leaves = named.filter("pivot is null")
-    several = leaves.groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter((F.col("n") > FEW) & (F.col("lo") < F.col("hi"))).select("grp")
-    small = leaves.join(several, "grp", "left_semi").select("grp", "set_id", "label", F.lit(0).alias("side"))
+def _labelled(rows: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    return work.save(rows.join(labels, F.col("set_id") == F.col("node"), "left").select(*rows.columns, F.coalesce("label", "set_id").alias("label")), "labelled")
+
+
+def _crossing_leaves(left_open: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """(grp, set_id, label, side): parts of leaves with candidates beyond their tree that still hold several components."""
+    named = _labelled(left_open, labels, work)
+    several = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("grp")
+    return named.join(several, "grp", "left_semi").select("grp", "set_id", "label", F.lit(0).alias("side"))
+
+
+def _crossing_blocks(groups: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """(grp, set_id, label, side): pairs of blocks of large nodes in which the pivot didn't link all, to be compared again."""
+    named = _labelled(groups.filter("pivot is not null").select("set_id", "pivot").distinct(), labels, work)
     # large nodes, those of all trees with one pivot taken together: classes outside the pivot's component
     # meet the whole node, block by block
-    large = named.filter("pivot is not null").select("pivot", "set_id", "label").distinct()
+    large = named.select("pivot", "set_id", "label")
     of_pivot = large.select("pivot").distinct().join(labels, F.col("pivot") == F.col("node"), "left").select("pivot", F.coalesce("label", "pivot").alias("home"))
     large = work.save(large.join(of_pivot, "pivot").withColumn("out", F.col("label") != F.col("home")), "large")
     sizes = work.save(large.groupBy("pivot").agg(F.ceil(F.count("*") / CROSS).alias("k"), F.ceil(F.count_if("out") / CROSS).alias("k_out")).filter("k_out > 0"), "sizes")
@@ -476,7 +527,7 @@ def _crossing(groups: DataFrame, labels: DataFrame, work: Workspace) -> DataFram
     strip = F.pmod(F.xxhash64(F.lit("out"), "set_id"), F.col("k_out"))
     ones = large.filter("out").withColumn("i", strip).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(pair(F.col("i"), F.col("j")).alias("grp"), "set_id", "label", F.lit(0).alias("side"))
     rest = large.withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k_out") - 1))).select(pair(F.col("i"), F.col("j")).alias("grp"), "set_id", "label", F.lit(1).alias("side"))
-    return small.unionByName(ones.unionByName(rest).groupBy("grp", "set_id", "label").agg(F.min("side").alias("side")))
+    return ones.unionByName(rest).groupBy("grp", "set_id", "label").agg(F.min("side").alias("side"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
