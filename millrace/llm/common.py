@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A text slice handed to numpy at once, in bytes: bounds a Python worker's memory.
 SLICE_BYTES = 8 << 20
@@ -78,6 +79,12 @@ class Workspace:
             pass
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits that name a row by these columns."""
+    part = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")
+    return F.unhex(F.concat(part(*columns), part(F.lit(1), *reversed(columns))))
+
+
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """[from, to) row ranges of about `most` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

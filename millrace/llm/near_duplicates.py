@@ -39,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_strings, mix64, read_table, text_slices, white_space_chunks
+from .common import Workspace, as_strings, mix64, read_table, row_key, text_slices, white_space_chunks
 
 COORDS = 64
 SMALL = 256
@@ -108,12 +108,6 @@ def minwise(own: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(33)).astype(np.int32)
 
 
-def doc_key() -> Column:
-    """128 bits that name a row by its doc_id and text."""
-    part = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")
-    return F.unhex(F.concat(part("doc_id", "text"), part(F.lit(1), "text", "doc_id")))
-
-
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, doc_key, n_shingles, digest (null for an empty set) and tokens (COORDS ints)."""
 
@@ -127,7 +121,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, COORDS, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(1).slice(a, b - a), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], ["doc_id", "doc_key", "n_shingles", "digest", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), doc_key().alias("doc_key"), "text").mapInArrow(sketch, "doc_id long, doc_key binary, n_shingles long, digest binary, tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("doc_key"), "text").mapInArrow(sketch, "doc_id long, doc_key binary, n_shingles long, digest binary, tokens array<int>")
 
 
 def grow(classes: DataFrame, threshold: float, trees: int, work: Workspace) -> DataFrame:
@@ -384,7 +378,7 @@ def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             kept = batch.filter(pa.array(sent.value[batch.column(0).to_numpy()].astype(bool)))
             yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2)], ["doc_key", "text"])
 
-    keyed = docs.select(doc_key().alias("doc_key"), "text")
+    keyed = docs.select(row_key("doc_id", "text").alias("doc_key"), "text")
     texts = keyed.select(bit.alias("bit"), "doc_key", "text").mapInArrow(marked, "doc_key binary, text string")
     # repeated rows share their key: one of them is kept, map-side first
     return asked.join(texts.groupBy("doc_key").agg(F.first("text").alias("text")), "doc_key").select("set_id", "text")
@@ -538,7 +532,7 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     of = F.when(F.col("label").isNotNull(), F.struct("label", F.lit(None).cast("binary").alias("key"))).otherwise(F.struct("label", F.col("doc_key").alias("key")))
     chosen = found.groupBy(of).agg(F.min("doc_key").alias("key")).select("key").distinct()
     # columns lie in a struct, so that none of theirs can clash with one of ours
-    held = docs.select(doc_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"))
+    held = docs.select(row_key("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"))
     one = held.join(chosen, "key", "left_semi").dropDuplicates(["key"])
     return one.select(*[F.col(f"doc.`{c}`").alias(c) for c in columns])
 
