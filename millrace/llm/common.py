@@ -138,3 +138,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+class Bitmap:
+    """A Bloom filter over 64-bit hashes, of bounded size: what it lets through is joined exactly afterwards."""
+
+    PROBES = 3
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.size = bits, 8 * len(bits)
+
+    @staticmethod
+    def places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        for k in range(Bitmap.PROBES):
+            yield (mix64(hashes.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(size - 1)).astype(np.int64)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self.places(hashes, self.size):
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    @staticmethod
+    def of(hashes: DataFrame, each: int = 32, most: int = 1 << 27) -> "Bitmap":
+        """hashes: one column of longs, a saved table. `each` bits a hash, `most` at most: most / 64 rows reach the driver."""
+        size = 1 << 10
+        while size < min(most, each * hashes.count()):
+            size *= 2
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(size // 8, np.uint8)
+            for batch in batches:
+                for at in Bitmap.places(batch.column(0).to_numpy(), size):
+                    np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            words = bits.view(np.int64)
+            used = np.flatnonzero(words)
+            for a in range(0, len(used), 1 << 16):
+                own = used[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words[own])], ["word", "bits"])
+
+        found = hashes.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        words = np.zeros(size // 64, np.int64)
+        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        return Bitmap(words.view(np.uint8))

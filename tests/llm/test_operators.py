@@ -37,36 +37,92 @@ def test_decontamination_tolerates_substitutions(spark):
     far = sentence(rng, 300)
     rows = [(0, f"{far} {item.upper()}! {far}", "en", "a"), (1, f"x {' '.join(changed)} y", "en", "a"), (2, far, "en", "a"), (3, None, None, None), (4, "", "en", "a"), (5, "short item", "en", "a"), (1, f"x {' '.join(changed)} y", "en", "a")]
     bench = spark.createDataFrame([(10, item, 0), (11, None, 0), (12, "short item", 0), (13, item, 0)], "item_id long, text string, blob int")
-    for block in (2_000_000, 10):  # in one block and in several
-        got = decontaminate.find_overlaps(docs(spark, rows), bench, ["doc_id"], least_tokens=2, block_tokens=block).collect()
-        hits = sorted((r["doc_id"], sorted(o["item_id"] for o in r["overlaps"])) for r in got)
-        assert hits == [(0, [10, 13]), (1, [10, 13]), (1, [10, 13]), (2, []), (3, []), (4, []), (5, [12])]
+    got = decontaminate.with_overlaps(docs(spark, rows), bench, least_tokens=2).collect()
+    hits = sorted((r["doc_id"], sorted(o["item_id"] for o in r["overlaps"])) for r in got)
+    assert hits == [(0, [10, 13]), (1, [10, 13]), (1, [10, 13]), (2, []), (3, []), (4, []), (5, [12])]
     kept = decontaminate.decontaminated(docs(spark, rows), bench, least_tokens=2)
     assert kept.columns == docs(spark, []).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    # items below the least number of tokens hit nothing; columns may have any name; tables may be empty
+    clash = docs(spark, rows).withColumn("overlaps", F.lit(1)).withColumn("key", F.lit(2)).withColumn("seeds", F.lit(3)).withColumn("a.b", F.lit(4))
+    kept = decontaminate.decontaminated(clash, bench)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5]
+    assert decontaminate.decontaminated(docs(spark, rows), bench.limit(0)).count() == len(rows) and decontaminate.with_overlaps(docs(spark, []), bench).count() == 0
+
+
+def found(text, item, share=0.8, least=8):
+    hashes = decontaminate.Hashes()
+    return decontaminate.Document(text, hashes).search(hashes.of(item), share, least)
+
+
+def test_decontamination_matches_brute_force(spark):
+    """Every document and item against a plain verification of all alignments."""
+    rng = random.Random(12)
+    items = [[f"t{rng.randrange(900)}" for _ in range(rng.choice([8, 9, 10, 12, 20, 60]))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        text = [f"t{rng.randrange(900)}" for _ in range(rng.choice([5, 60]))]
+        if i % 2:
+            own = list(rng.choice(items))
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = "zz"
+            at = rng.randrange(len(text))
+            text[at:at] = own[: rng.choice([len(own), len(own) // 2])]
+        rows.append((i, " ".join(text), "en", "a"))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], o["item_id"]) for r in decontaminate.with_overlaps(docs(spark, rows), bench).collect() for o in r["overlaps"]}
+    want = set()
+    hashes = decontaminate.Hashes()
+    for i, t, *_ in rows:
+        ids = hashes.of(t.split())
+        for k, item in enumerate(items):
+            own = hashes.of(item)
+            if any(held and agree >= 8 for agree, _, held in (decontaminate.verify(ids, own, s, 0.8) for s in range(-len(own), len(ids)))):
+                want.add((i, k))
+    assert got <= want and len(want) > 15
+    # what all alignments hold and no seed meets: only passages with substitutions in every mask of every window
+    assert len(want - got) <= 1, want - got
 
 
 def test_masks_hit_passages_with_two_substitutions_apart():
     rng = random.Random(2)
     for _ in range(200):
         words = [f"w{k}{rng.random()}" for k in range(15)]
-        block = decontaminate.Block([(1, words)])
         other = list(words)
         a = rng.randrange(0, 11)
         other[a], other[rng.randrange(a + 4, 15)] = "x", "y"
-        assert block.search(other, 0.8, 8)
+        assert found(other, words)
+
+
+def test_short_items_tolerate_substitutions():
+    for n in (8, 9, 10):
+        words = [f"w{k}" for k in range(n)]
+        for a in range(n):
+            for b in range(n) if n == 10 else (a,):
+                other = list(words)
+                other[a] = other[b] = "x"
+                assert found(["y"] * 20 + other + ["z"] * 9, words) if n - len({a, b}) >= 8 else not found(["y"] * 20 + other, words)
+    assert not found(["one"], ["one"]) and found(["one"], ["one"], least=1)
+
+
+def test_repeated_tokens_stay_cheap():
+    import time
+
+    began = time.process_time()
+    assert found(["x"] * 4000, ["x"] * 800)
+    assert not found(["x", "y"] * 10000, ["x", "z", "v", "u"] * 200)
+    assert time.process_time() - began < 1
 
 
 def test_parts_of_items_are_found():
     words = [f"w{k}" for k in range(200)]
     own, short, other = words[:100], words[100:124], [f"x{k}" for k in range(60)]
-    block = decontaminate.Block([(1, own), (2, short)])
-    found = lambda text: set(block.search(text, 0.8, 8))
-    assert found(other + own[:12]) == {0} and found(own[-12:] + other) == {0} and found(own[40:55]) == {0}  # cut by an end of the document
-    assert found(other + own[10:85] + other) == {0} and found(other + own[40:54] + other) == {0}  # 0.75 of it, one passage
-    assert found(other + short[:12] + other[:10] + short[12:] + other) == {1}  # a gap longer than DRIFT
-    assert found(other + short[:12] + ["y"] * 40 + short[12:] + other) == {1}
-    assert found(other + own[40:50] + other) == found(other + short[:6] + other[:5] + short[9:15] + other) == found(other) == set()
+    assert found(other + own[:12], own) and found(own[-12:] + other, own) and found(own[40:55], own)  # cut by an end of the document
+    assert found(other + own[10:85] + other, own) and found(other + own[40:54] + other, own)  # 0.75 of it, one passage
+    assert found(other + short[:12] + other[:10] + short[12:] + other, short)  # a gap longer than DRIFT
+    assert found(other + short[:12] + ["y"] * 40 + short[12:] + other, short)
+    for text in (other + own[40:50] + other, other + short[:6] + other[:5] + short[9:15] + other, other):
+        assert not found(text, own) and not found(text, short)
 
 
 # --- 2 language
