@@ -1,8 +1,9 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
 Fitting counts words by language over a bounded, hash-chosen sample of the labelled training rows
-(FIT_DOCS rows expected) and, from the same counts, character n-grams of lengths 1 to 5. The counts are
-summed on the executors; the driver gets the MOST_WORDS most frequent words and MOST_GRAMS n-grams.
+(FIT_DOCS rows expected) and, from the distinct words and their counts, character n-grams of lengths 1 to 5. Everything
+is counted on the executors. The model has an entry for every word and n-gram of the sample, however rare: a
+64-bit hash and a number a language, sorted by hash.
 
 Scoring. A word is a run of letters, lower-cased. A known word adds its log frequency in each language.
 An unknown word backs off: the longest n-gram length at which any of its n-grams is known, from 5 down to
@@ -17,21 +18,19 @@ as often as they occur; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_strings, segment_sums, text_slices, white_space_chunks
+from .common import Workspace, as_strings, read_table, segment_sums, text_slices, white_space_chunks
 
-FIT_DOCS = 10_000
-MOST_WORDS = 60_000
-MOST_GRAMS = 60_000
+FIT_DOCS = 20_000
 LONGEST = 5
 EVIDENCE = 40
 REMEMBERED = 200_000
@@ -45,8 +44,8 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _counts(labelled: DataFrame) -> DataFrame:
-    """(lang, n, gram, count): n 0 for whole words."""
+def _words(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, count) of whole words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -59,69 +58,94 @@ def _counts(labelled: DataFrame) -> DataFrame:
         yield from flush(held)
 
     def flush(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, words in held.items():
-            by: list[Counter] = [words, *(Counter() for _ in range(LONGEST))]
-            for word, k in words.items():
-                for n in range(1, LONGEST + 1):
-                    for g in grams(word, n):
-                        by[n][g] += k
-            for n, c in enumerate(by):
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(np.full(len(c), n, np.int32)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "n", "gram", "count"])
+        for lang, c in held.items():
+            if c:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "gram", "count"])
 
-    out = labelled.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, count long")
-    return out.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    out = labelled.select("text", "lang").mapInArrow(count, "lang string, gram string, count long")
+    return out.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
+
+
+def _counts(words: DataFrame) -> DataFrame:
+    """(lang, n, gram, count): words with n 0, and their n-grams."""
+    marked = F.concat(F.lit("<"), "gram", F.lit(">"))
+    none = F.array().cast("array<struct<n:int,gram:string>>")
+    each = [F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.substring(marked, i, F.lit(n)).alias("gram")))).otherwise(none) for n in range(1, LONGEST + 1)]
+    grams = words.select("lang", "count", F.explode(F.concat(*each)).alias("g")).groupBy("lang", "g.n", "g.gram").agg(F.sum("count").alias("count"))
+    return words.select("lang", F.lit(0).alias("n"), "gram", "count").unionByName(grams)
 
 
 class Model:
-    """Log frequencies by language of words and n-grams; small and of bounded size."""
+    """Log frequencies by language of words and n-grams: for each length sorted hashes and their rows."""
 
-    def __init__(self, languages: list[str], shares: np.ndarray, tables: list[dict[str, tuple[float, ...]]]):
-        self.languages, self.shares, self.tables = languages, shares, tables
+    def __init__(self, languages: list[str], shares: np.ndarray, keys: list[np.ndarray], rows: list[np.ndarray]):
+        self.languages, self.shares, self.keys, self.rows = languages, shares, keys, rows
         self.known: dict[str, int] = {}
         self.sums = np.zeros((0, len(languages) + 2), np.float32)
 
     @staticmethod
     def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, key: str = "doc_id") -> "Model":
         """labelled: key, text, lang (not null). The sample is chosen by a hash of the key alone."""
+        work = Workspace(labelled.sparkSession, "language")
         total = labelled.count()
         if total > fit_docs:
             labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 30)) < int(fit_docs / total * (1 << 30)))
-        counts = _counts(labelled).groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("all"))  # an entry a language
-        counts = counts.persist()
-        top = lambda p, k: counts.filter(p).orderBy(F.desc("all"), "n", "gram").limit(k).toPandas()
-        words, parts = top("n = 0 and `all` > 1", MOST_WORDS), top("n > 0", MOST_GRAMS)
-        sums = {(r["n"], r["lang"]): (r["tokens"], r["types"]) for r in counts.select("n", F.explode("by").alias("lang", "c")).groupBy("n", "lang").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect()}
-        counts.unpersist()
+        counts = work.save(_counts(work.save(_words(labelled), "words")), "counts")
+        sums = {(r["n"], r["lang"]): (r["tokens"], r["types"]) for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()}
         languages = sorted({lang for _, lang in sums})
         tokens = lambda n: np.array([sums.get((n, x), (0, 0))[0] for x in languages], float)
-        tables: list[dict[str, tuple[float, ...]]] = [{} for _ in range(LONGEST + 1)]
-        types = [sum(t for (m, _), (_, t) in sums.items() if m == n) for n in range(LONGEST + 1)]
-        below = [np.log(tokens(n) + 0.5 * types[n] + 1) for n in range(LONGEST + 1)]
-        for frame in (words, parts):
-            for n, gram, by in zip(frame["n"], frame["gram"], frame["by"], strict=True):
-                by = dict(by)
-                tables[n][gram] = tuple((np.log(np.array([by.get(x, 0) for x in languages], float) + 0.5) - below[n]).tolist())
+        each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("count"))), F.lit(0)).alias(f"c{k}") for k, x in enumerate(languages)]
+        # the sample's words and n-grams as hashes: their number is bounded by the sample
+        found = counts.groupBy("n", F.xxhash64("gram").alias("h")).agg(*each).toPandas() if languages else None
+        work.drop(counts)
+        keys, rows = [], []
+        for n in range(LONGEST + 1):
+            own = found[found["n"] == n].sort_values("h") if languages else None
+            types = sum(t for (m, _), (_, t) in sums.items() if m == n)
+            keys.append(own["h"].to_numpy(np.int64) if languages else np.zeros(0, np.int64))
+            of = own[[f"c{k}" for k in range(len(languages))]].to_numpy(float) if languages else np.zeros((0, 0))
+            rows.append((np.log(of + 0.5) - np.log(tokens(n) + 0.5 * types + 1)).astype(np.float32))
         shares = tokens(0) / max(1.0, tokens(0).sum())
-        return Model(languages, shares, tables)
-
-    def word(self, word: str) -> list[float] | tuple[float, ...] | None:
-        if (v := self.tables[0].get(word)) is not None:
-            return v
+        return Model(languages, shares, keys, rows)
+
+    def find(self, n: int, names: list[str]) -> np.ndarray:
+        """Each name's row among those of length n, or -1."""
+        keys = self.keys[n]
+        if not len(keys):
+            return np.full(len(names), -1)
+        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in names), np.uint64, len(names)).view(np.int64)  # as Spark's xxhash64
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, at, -1)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log frequencies by language of each word, and whether it or any of its n-grams is known."""
+        at = self.find(0, words)
+        out, scored = np.zeros((len(words), len(self.languages))), at >= 0
+        out[scored] = self.rows[0][at[scored]]
+        left = np.flatnonzero(~scored)
         for n in range(LONGEST, 0, -1):
-            table = self.tables[n]
-            if found := [v for g in grams(word, n) if (v := table.get(g)) is not None]:
-                return [sum(x) / len(found) for x in zip(*found, strict=True)]
-        return None
-
-    def chunk(self, chunk: str) -> list[float]:
-        """Sums by language over the chunk's words, then the numbers of scored words and of words."""
-        out, scored, words = [0.0] * len(self.languages), 0, LETTERS.findall(chunk.lower())
-        for w in words:
-            if (v := self.word(w)) is not None:
-                out = [a + b for a, b in zip(out, v, strict=True)]
-                scored += 1
-        return [*out, scored, len(words)]
+            if not len(left):
+                break
+            own = [grams(words[i], n) for i in left]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in own])
+            at = self.find(n, [g for x in own for g in x])
+            hit = at >= 0
+            n_hits = np.bincount(owner[hit], minlength=len(left))
+            for k in range(len(self.languages)):
+                out[left, k] = np.bincount(owner[hit], self.rows[n][at[hit], k], len(left)) / np.maximum(n_hits, 1)
+            scored[left] = n_hits > 0
+            left = left[n_hits == 0]
+        return out, scored
+
+    def chunks(self, chunks: list[str]) -> np.ndarray:
+        """A row a chunk: sums by language over its words, then the numbers of scored words and of words."""
+        found = [LETTERS.findall(c.lower()) for c in chunks]
+        uniq = {w: i for i, w in enumerate(dict.fromkeys(w for x in found for w in x))}
+        value, scored = self.words(list(uniq))
+        owner = np.repeat(np.arange(len(chunks)), [len(x) for x in found])
+        at = np.fromiter((uniq[w] for x in found for w in x), np.int64, len(owner))
+        columns = [np.bincount(owner, value[at, k], len(chunks)) for k in range(len(self.languages))]
+        return np.stack([*columns, np.bincount(owner, scored[at], len(chunks)), np.bincount(owner, minlength=len(chunks))], axis=1).astype(np.float32)
 
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         uniq, at, offsets = white_space_chunks(texts)
@@ -131,7 +155,7 @@ class Model:
         known = self.known
         if new := [c for c in uniq if c not in known]:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.sums = np.concatenate([self.sums, np.array([self.chunk(c) for c in new], np.float32)])
+            self.sums = np.concatenate([self.sums, self.chunks(new)])
         number = np.fromiter((known[c] for c in uniq), np.int64, len(uniq))
         width = len(self.languages) + 2
         sums = np.stack([segment_sums(self.sums[number[at], k], offsets) for k in range(width)], axis=1)
@@ -150,8 +174,8 @@ class Model:
 
 
 def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
-    """keep columns, then lang_pred and score, for every row of docs (text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WORDS + MOST_GRAMS vectors at most
+    """keep columns, then lang_pred and score, for every row of docs (text). A caller that keeps columns of any name keeps a struct."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 8 + 4 * languages bytes for each word and n-gram of the sample
     kept = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
@@ -172,8 +196,6 @@ def held_out(key: str = "doc_id", of: int = 5, rest: int = 0) -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import read_table
-
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = Model.fit(docs.filter(F.col("lang").isNotNull() & ~held_out()))
     return predict(docs, model, "doc_id", held_out().alias("held_out"))
