@@ -16,35 +16,46 @@ given with both verdicts blocks.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Larger rule lists go through `filter_urls_by_join`, which needs no copy on each executor.
-MAX_MAPPED_RULES = 5_000_000
+from .common import Workspace, read_table
 
 _OPEN: dict[str, "DigestArray"] = {}
 
 
+class Ranges:
+    """Bytes of a file in a store that isn't mounted, read by range."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        self.file.seek(at.start)
+        return np.frombuffer(self.file.read(at.stop - at.start), np.uint8)
+
+
 class DigestArray:
-    """The rules as one flat byte string: count, digests, offsets, path starts, verdicts, strings."""
-
-    def __init__(self, raw: np.ndarray):
-        n = int(raw[:8].view("<i8")[0])
-        at = 8
-        self.digests = raw[at : (at := at + 8 * n)].view("<u8")
-        self.offsets = raw[at : (at := at + 8 * (n + 1))].view("<i8")
-        self.hosts = raw[at : (at := at + 8 * n)].view("<i8")
-        self.block = raw[at : (at := at + n)]
-        self.strings = raw[at:]
-        n_lengths = int(self.strings[:8].view("<i8")[0])
-        self.lengths = self.strings[8 : 8 + 8 * n_lengths].view("<i8").tolist()
-        self.strings = self.strings[8 + 8 * n_lengths :]
+    """The rules as one flat byte string: counts, path lengths, digests, offsets, hosts' lengths, verdicts, strings."""
+
+    def __init__(self, raw: np.ndarray | Ranges):
+        n, n_lengths = raw[0:16].view("<i8").tolist()
+        at = 16
+
+        def part(size: int, kind: str) -> np.ndarray:
+            nonlocal at
+            at += size
+            return raw[at - size : at].view(kind)
+
+        self.lengths = part(8 * n_lengths, "<i8").tolist()
+        self.digests, self.offsets, self.hosts, self.block = part(8 * n, "<u8"), part(8 * (n + 1), "<i8"), part(8 * n, "<i8"), part(n, "u1")
+        self.raw, self.start = raw, at
 
     @staticmethod
     def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
@@ -58,29 +69,25 @@ class DigestArray:
         strings = [r[1] for r in rows]
         lengths = sorted({len(p) for _, p in kept})
         return b"".join((
-            np.int64(len(rows)).tobytes(),
+            np.array([len(rows), len(lengths)], "<i8").tobytes(),
+            np.array(lengths, "<i8").tobytes(),
             np.array([r[0] for r in rows], "<u8").tobytes(),
             np.concatenate(([0], np.cumsum([len(s) for s in strings]))).astype("<i8").tobytes(),
             np.array([r[2] for r in rows], "<i8").tobytes(),
             np.array([r[3] for r in rows], "u1").tobytes(),
-            np.int64(len(lengths)).tobytes(),
-            np.array(lengths, "<i8").tobytes(),
             *strings,
         ))
 
     @classmethod
-    def mapped(cls, raw: bytes, name: str) -> "DigestArray":
-        """Written once to this worker's own scratch folder and memory-mapped from there."""
-        if name not in _OPEN:
-            fd, path = tempfile.mkstemp(prefix="digests-")
-            with os.fdopen(fd, "wb") as f:
-                f.write(raw)
-            _OPEN[name] = cls(np.memmap(path, np.uint8, "r"))
-            os.unlink(path)  # the mapping keeps it
-        return _OPEN[name]
+    def opened(cls, uri: str) -> "DigestArray":
+        """The array in the shared folder, opened once a worker."""
+        if uri not in _OPEN:
+            store, path = fs.FileSystem.from_uri(uri)
+            _OPEN[uri] = cls(np.memmap(path, np.uint8, "r") if isinstance(store, fs.LocalFileSystem) else Ranges(store.open_input_file(path)))
+        return _OPEN[uri]
 
     def string(self, k: int) -> bytes:
-        return self.strings[self.offsets[k] : self.offsets[k + 1]].tobytes()
+        return self.raw[self.start + int(self.offsets[k]) : self.start + int(self.offsets[k + 1])].tobytes()
 
     def find(self, keys: list[tuple[bytes, int]]) -> np.ndarray:
         """Rule number of each (host + path, bytes of host), or -1."""
@@ -123,17 +130,17 @@ RESULT = "page_id long, host string, path string, rule string, verdict string"
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """Judges each url: key, host, path, rule (null if none fits), verdict.
 
-    rules: (verdict, host, path), at most MAX_MAPPED_RULES (checked); see filter_urls_by_join beyond.
+    rules: (verdict, host, path). For rules that are a table already, see filter_urls_by_join.
     """
-    if len(rules) > MAX_MAPPED_RULES:
-        raise ValueError("too many rules to map on each executor: use filter_urls_by_join")
-    spark = pages.sparkSession
-    raw = DigestArray.build(rules)
-    sent = spark.sparkContext.broadcast(raw)  # its size is bounded by the check above
-    name = xxhash.xxh3_128_hexdigest(raw)
+    uri = Workspace(pages.sparkSession, "rules").path("digests")
+    uri = uri if "://" in uri or uri.startswith("file:") else "file://" + uri
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    with store.open_output_stream(path) as f:
+        f.write(DigestArray.build(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray.mapped(sent.value, name)
+        array = DigestArray.opened(uri)
         for batch in batches:
             split = [_split(u) for u in batch.column(1).to_pylist()]
             keys, owner = [], []
@@ -168,10 +175,13 @@ def filter_urls_by_join(pages: DataFrame, rules: DataFrame, default: str = "allo
     after = F.when(F.instr("url", "://") > 0, F.expr("substr(url, instr(url, '://') + 3)"))
     host = F.translate(F.coalesce(F.regexp_extract(after, r"^[^/?#]*", 0), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.coalesce(F.regexp_extract(after, r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
-    rules = rules.groupBy("host", "path").agg(F.min(F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("open"))
+    # saved, so that Spark splits keys that many urls share, and that a url's number is given once
+    work = Workspace(pages.sparkSession, "rules")
+    rules = work.save(rules.groupBy("host", "path").agg(F.min(F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("open")), "rules")
     # distinct path lengths: bounded by the longest path, never by the number of rules
     lengths = F.array(*[F.lit(r["n"]) for r in rules.select(F.length("path").alias("n")).distinct().collect()]).cast("array<int>")
     urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("uid"))
+    urls = work.save(urls, "urls")
     parts = F.split("host", r"\.", -1)
     suffixed = urls.filter("host <> '' or path <> ''").select("uid", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("sub"))
     keyed = suffixed.select("uid", F.col("sub").alias("host"), "path", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("n")).select("uid", "host", F.expr("substr(path, 1, n)").alias("path"))
@@ -185,8 +195,6 @@ QUERY_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow"
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import read_table
-
     return filter_urls(read_table(spark, sf_dir, "pages"), QUERY_RULES)
 
 

@@ -166,6 +166,18 @@ def test_url_filter_matches_brute_force(spark):
     for got in (url_filter.filter_urls(pages, rules), url_filter.filter_urls_by_join(pages, spark.createDataFrame(rules, "verdict string, host string, path string"))):
         assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()} == {i: judge(u) for i, u in enumerate(urls)}
     assert {r["verdict"] for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    twice = url_filter.filter_urls(pages.unionByName(pages), rules)
+    assert twice.count() == 2 * len(urls) and twice.distinct().count() == len(urls)
+
+
+def test_digests_are_read_by_range():
+    import io
+
+    raw = url_filter.DigestArray.build([("block", f"h{i}.com", f"/p{i % 7}") for i in range(500)])
+    whole, ranged = url_filter.DigestArray(np.frombuffer(raw, np.uint8)), url_filter.DigestArray(url_filter.Ranges(io.BytesIO(raw)))
+    keys = [(f"h{i}.com/p{i % 7}".encode(), len(f"h{i}.com")) for i in range(510)]
+    assert (whole.find(keys) == ranged.find(keys)).all() and (whole.find(keys) >= 0).sum() == 500
 
 
 def test_digest_collisions_are_confirmed():
