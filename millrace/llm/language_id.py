@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import Workspace, as_strings, read_table, segment_sums, text_slices, white_space_chunks
 
@@ -177,7 +178,7 @@ def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
     """keep columns, then lang_pred and score, for every row of docs (text). A caller that keeps columns of any name keeps a struct."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 8 + 4 * languages bytes for each word and n-gram of the sample
     kept = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
                 own = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(lang, pa.string()), pa.array(np.clip(s, 0, 1))], [*own.schema.names[1:], "lang_pred", "score"])
 
-    return docs.select("text", *[c if isinstance(c, Column) else F.col(c) for c in keep]).mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return docs.select("text", *[c if isinstance(c, Column) else F.col(c) for c in keep]).mapInArrow(score, schema)
 
 
 def held_out(key: str = "doc_id", of: int = 5, rest: int = 0) -> Column:

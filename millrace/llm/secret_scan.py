@@ -5,6 +5,9 @@ Every historical version of every path is addressed by its content (sha256). The
 the ledger doesn't hold, and joins findings back to all paths that ever had the blob. A rule whose
 pattern changes gets another rule version and is scanned again; unchanged rules are not.
 
+`Ledger` stores those rows below a path: update() scans what is new and appends it in one commit, so that a run
+that fails leaves the ledger as it was and a later run finds all that earlier ones have scanned.
+
 Copies: blobs are reduced map-side before their text is shuffled, so a blob that a third of all rows
 share travels once a task. The join back is salted, so that such a blob's paths don't meet in one task.
 
@@ -19,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Workspace, read_table
 
 #: Tasks that the paths of one blob are dealt to.
 SALTS = 32
@@ -103,6 +107,27 @@ def scan_blobs(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule,
     return scanned.select("blob", pairs.alias("p")).select("blob", "p.rule", "p.found").filter("found is not null")
 
 
+class Ledger:
+    """The stored ledger: rows (blob, rule, found) below a path that the driver and all executors reach."""
+
+    SCHEMA = f"blob string, rule string, found {SPAN}"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame | None:
+        """What has been committed, or None for a new ledger."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            return None
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def update(self, versions: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
+        """Scans the pairs that the ledger lacks, commits them and returns the ledger."""
+        scan_blobs(versions, self.rows(), rules, text).write.mode("append").parquet(self.path)
+        return self.rows()
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], keys: list[str], text: str = "text") -> DataFrame:
     """keys, blob and `found` (all spans of the rules, by start and then kind) of every version."""
     wanted = ledger.filter(F.col("rule").isin([r.version for r in rules]) & (F.size("found") > 0))
@@ -119,11 +144,10 @@ def written(found: Column) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import read_table
-
     rules = BASE_RULES + MORE_RULES
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings_by_path(docs, scan_blobs(docs, None, rules), rules, ["doc_id"])
+    ledger = Ledger(spark, Workspace(spark, "secrets").path("ledger"))
+    found = findings_by_path(docs, ledger.update(docs, rules), rules, ["doc_id"])
     base = F.filter("found", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))

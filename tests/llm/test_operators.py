@@ -214,6 +214,16 @@ def test_secret_spans_and_ledger(spark):
     assert secret_scan.scan_blobs(more, ledger, rules).count() == 3
     assert secret_scan.scan_blobs(versions, ledger, (*rules, secret_scan.Rule("long", "[a-z]{9,}", 0, 0))).select("rule").distinct().count() == 1
     assert secret_scan.scan_blobs(docs(spark, []), None, rules).count() == 0
+    # a stored ledger: a second run adds nothing, a new text and a new rule add their pairs
+    store = secret_scan.Ledger(spark, Workspace(spark, "test").path("ledger"))
+    assert store.rows() is None
+    first = store.update(versions, rules)
+    assert sorted(map(str, first.collect())) == sorted(map(str, ledger.select(*first.columns).collect()))
+    assert secret_scan.Ledger(spark, store.path).update(versions, rules).count() == 5 * 3
+    assert store.update(more, rules).count() == 6 * 3
+    assert store.update(more, (*rules, secret_scan.Rule("long", "[a-z]{9,}", 0, 0))).count() == 6 * 4
+    again = secret_scan.findings_by_path(versions, store.rows(), rules, ["doc_id"]).collect()
+    assert {r["doc_id"]: [(s["kind"], s["start"], s["stop"]) for s in r["found"]] for r in again} == plain
 
 
 # --- 5 near-duplicates
