@@ -1,7 +1,13 @@
 """Corpus pipeline: language ID, near-duplicates, decontamination, mixing, token files.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as
-the next stage's docs. All stages but the last return the columns of documents.
+the next stage's docs. All stages but the last return the columns of documents, extra ones with any name included.
+
+Edge cases. Null and empty texts: language ID drops them, as no language is recognised; given to a later stage,
+near-dedup keeps one of each repeated row, decontamination keeps them, mixing takes nothing of them, and token output
+writes their end id. Null ids, languages and sources are values like others. Very long texts are read whole. Repeated rows:
+near-dedup keeps one, the other stages treat each alike. Ties go to the smaller doc_id or name. An empty table gives an
+empty table of the same columns.
 """
 
 from __future__ import annotations
@@ -20,9 +26,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without a recognisable language; lang becomes the language found. Learns from docs' labels."""
     columns = docs.columns
     model = language_id.Model.fit(docs.filter(F.col("lang").isNotNull() & ~language_id.held_out()))
-    found = language_id.predict(docs.withColumn("__text", F.col("text")), model, *[c for c in columns if c != "text"], "__text")
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).withColumnRenamed("__text", "text").select(*columns)
+    # columns lie in a struct, so that none of theirs can clash with those of the prediction
+    held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"))
+    kept = language_id.predict(held, model, "doc").filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col("lang_pred" if c == "lang" else f"doc.`{c}`").alias(c) for c in columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
