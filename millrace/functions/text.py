@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,7 +112,7 @@ def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
 TERMS = {"the": "<T1>", "with": "<T2>", "and": "<T3>"}
 
 
-@query("str10_term_replacement", r"SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', '<T1>', 'g'), '\bwith\b', '<T2>', 'g'), '\band\b', '<T3>', 'g') AS text FROM benchmark WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@query("str10_term_replacement", r"SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', '<T1>', 'g'), '\bwith\b', '<T2>', 'g'), '\band\b', '<T3>', 'g') AS text FROM benchmark")
 def str10(spark: SparkSession, sf: str) -> DataFrame:
     pattern = re.compile(r"\b(the|with|and)\b", re.A)
 
@@ -119,7 +120,7 @@ def str10(spark: SparkSession, sf: str) -> DataFrame:
     def swapped(values: pd.Series) -> pd.Series:
         return values.map(lambda v: v and replace_spans(v, [(m.start(), m.end(), TERMS[m[0]]) for m in pattern.finditer(v)]))
 
-    return table(spark, sf, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", swapped("text").alias("text"))
+    return table(spark, sf, "benchmark").select("item_id", swapped("text").alias("text"))
 
 
 @query("str11_protect_restore", "SELECT doc_id, text AS restored, len(regexp_extract_all(text, '[0-9]+')) AS n_protected FROM documents")
@@ -132,18 +133,84 @@ def str11(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", masked.alias("masked"), kept.alias("kept")).select("doc_id", F.array_join(again, "").alias("restored"), F.size("kept").cast("long").alias("n_protected"))
 
 
-@query("str12_number_multiset", "SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS token FROM benchmark) GROUP BY ALL")
+# English number words, scales, months and currencies.
+NUMBER_WORDS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(20)))
+TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10)))
+SCALES = {"hundred": 100, "thousand": 1_000, "million": 10**6, "billion": 10**9, "万": 10**4, "億": 10**8, "亿": 10**8}
+MONTHS = {m: k for k, m in enumerate("january february march april may june july august september october november december".split(), 1)} | {m: k for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "円": "JPY", "usd": "USD", "eur": "EUR", "gbp": "GBP", "jpy": "JPY", "dollars": "USD", "euros": "EUR", "pounds": "GBP", "yen": "JPY"}
+_WORDS = "|".join([*NUMBER_WORDS, *TENS])
+_SCALE = "|".join(SCALES)
+QUANTITY = re.compile(
+    rf"(?P<clock>\b(?:[01]?\d|2[0-3]):[0-5]\d\b(?:\s*[ap]m\b)?)"
+    rf"|(?P<cjk_month>\b(?:1[0-2]|[1-9])月)"
+    rf"|(?P<sign>[$€£¥])?\s*(?P<digits>\d+(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(?P<percent>%)?(?P<scale>(?:\s*(?:{_SCALE})\b|[万億亿])*)\s*(?P<unit>円|\b(?:usd|eur|gbp|jpy|dollars|euros|pounds|yen)\b)?"
+    rf"|\b(?P<words>(?:{_WORDS})(?:[\s-]+(?:{_WORDS}|hundred|thousand|million|billion|and(?=[\s-]+(?:{_WORDS}))))*)\b(?:\s+(?P<word_unit>usd|eur|gbp|jpy|dollars|euros|pounds|yen)\b)?"
+    rf"|\b(?P<month>{'|'.join(sorted(MONTHS, key=len, reverse=True))})\.?(?=\s+\d)"
+)
+
+
+def spelled(words: list[str]) -> int:
+    """The value of spelled-out number words."""
+    total = part = 0
+    for w in words:
+        if w in NUMBER_WORDS or w in TENS:
+            part += NUMBER_WORDS.get(w, TENS.get(w, 0))
+        elif w == "hundred":
+            part = max(1, part) * 100
+        elif w in SCALES:
+            total, part = total + max(1, part) * SCALES[w], 0
+    return total + part
+
+
+def quantities(text: str | None) -> list[str]:
+    """Canonical tokens of a text's quantities: numbers with scales, money, clock times, months and percentages.
+
+    Full-width forms are folded, thousands separators dropped; equal quantities give equal tokens however they are written.
+    """
+    out = []
+    for m in QUANTITY.finditer(unicodedata.normalize("NFKC", text or "").lower()):
+        g = m.groupdict()
+        if g["clock"]:
+            hour, minute = (int(x) for x in re.findall(r"\d+", g["clock"]))
+            if g["clock"].endswith("m") and 1 <= hour <= 12:
+                hour = hour % 12 + (12 if g["clock"].endswith("pm") else 0)
+            out.append(f"clock:{hour:02}:{minute:02}")
+        elif g["cjk_month"]:
+            out.append(f"month:{int(g['cjk_month'][:-1])}")
+        elif g["month"]:
+            out.append(f"month:{MONTHS[g['month']]}")
+        else:
+            value = Decimal(spelled(re.split(r"[\s-]+", g["words"]))) if g["words"] else Decimal(g["digits"].replace(",", ""))
+            for scale in re.findall(_SCALE, g["scale"] or ""):
+                value *= SCALES[scale]
+            money = CURRENCIES.get(g["sign"] or g["unit"] or g["word_unit"] or "")
+            kind = f"money:{money}" if money else "percent" if g["percent"] else "number"
+            out.append(f"{kind}:{value.normalize():f}")
+    return out
+
+
+@query("str12_number_multiset")
 def str12(spark: SparkSession, sf: str) -> DataFrame:
-    """Token multisets for equivalence checks: exploded and counted."""
-    t = table(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("token"))
-    return t.groupBy("item_id", "token").agg(F.count("*").alias("n"))
+    """Multisets of canonical quantities, as equivalence checks compare them."""
+
+    @F.pandas_udf("array<string>")
+    def found(values: pd.Series) -> pd.Series:
+        return values.map(quantities)
+
+    # most texts have no quantity: what can't hold one doesn't go to Python
+    maybe = F.col("text").rlike(rf"(?i)[\p{{Nd}}\p{{No}}]|\b({_WORDS})\b")
+    t = docs(spark, sf).filter(maybe).select("doc_id", F.explode(found("text")).alias("token"))
+    return t.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("str13_lost_numbers", "SELECT d.doc_id, len(list_filter(list_distinct(regexp_extract_all(d.text, '[0-9]{3,}')), lambda v: NOT contains(substr(d.text, 1, 1000), v))) AS n_lost FROM documents d")
+@query("str13_lost_numbers", """SELECT a.conv_id, a.turn, len(list_filter(list_distinct(regexp_extract_all(a.text, '[0-9]{2,}')), lambda v: NOT contains(b.text, v))) AS n_numbers, len(list_filter(list_distinct(regexp_extract_all(a.text, '"([^"]{2,})"', 1)), lambda v: NOT contains(b.text, v))) AS n_quotes FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
 def str13(spark: SparkSession, sf: str) -> DataFrame:
-    """Important numbers of a text that a shortened version lacks."""
-    lost = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0))), lambda v: ~F.substring("text", 1, 1000).contains(v))
-    return docs(spark, sf).select("doc_id", F.size(lost).cast("long").alias("n_lost"))
+    """Numbers and quoted fragments of a turn that the next one doesn't keep."""
+    c = table(spark, sf, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    lost = lambda pattern, group: F.size(F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))), lambda v: ~F.col("reply").contains(v))).cast("long")
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", lost("[0-9]{2,}", 0).alias("n_numbers"), lost('"([^"]{2,})"', 1).alias("n_quotes"))
 
 
 @query("str14_lengths", "SELECT doc_id, length(text) AS chars, strlen(text) AS octets, length(trim(text)) = 0 AS blank FROM documents")

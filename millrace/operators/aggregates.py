@@ -163,11 +163,14 @@ def agg20(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min_by("event_id", "ts").alias("first_id"), F.max_by("event_id", "ts").alias("last_id"), count_if(F.col("ts").between(at("2024-01-30 10:00:00"), now)).alias("short_n"), count_if(F.col("ts").between(at("2024-01-29 12:00:00"), now)).alias("long_n"))
 
 
-@query("agg21_set_fingerprint", "SELECT source, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS fp FROM documents GROUP BY 1")
+@query("agg21_set_fingerprint", "SELECT source, sha256(string_agg(fp, ',' ORDER BY cell)) AS fp FROM (SELECT source, doc_id // 1000 AS cell, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS fp FROM documents GROUP BY 1, 2) GROUP BY 1")
 def agg21(spark: SparkSession, sf: str) -> DataFrame:
-    """sha256 over each group's sorted ids. Ids travel as numbers; the list is the value that is fingerprinted."""
+    """sha256 over the digests of each group's id ranges, in order: ranges of 1,000 ids are fingerprinted first, by all
+    tasks, so that no task lists all ids of a group. Two sets are equal if their fingerprints are."""
     ids = F.sort_array(F.collect_list("doc_id"))
-    return table(spark, sf, "documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256).alias("fp"))
+    cells = table(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("cell")).agg(F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256).alias("fp"))
+    digests = F.sort_array(F.collect_list(F.struct("cell", "fp")))
+    return cells.groupBy("source").agg(F.sha2(F.array_join(F.transform(digests, lambda x: x["fp"]), ","), 256).alias("fp"))
 
 
 @query("agg22_regression_diff", "SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'regressed' WHEN b THEN 'fixed' ELSE 'neither' END AS change, count(*) AS n FROM (SELECT coalesce(x.p, false) AS a, coalesce(y.p, false) AS b FROM (SELECT doc_id, quality = 1 AS p FROM labels WHERE doc_id % 10 <> 0) x FULL JOIN (SELECT doc_id, toxic = 0 AS p FROM labels WHERE doc_id % 10 <> 1) y USING (doc_id)) GROUP BY 1")

@@ -136,38 +136,67 @@ def join14(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("last_value", seen).filter("event_type = 'purchase'").select("event_id", "last_value")
 
 
-def occurrences(texts: DataFrame, surfaces: list[str]) -> DataFrame:
+#: Surfaces that one pass over the texts matches; a larger term base takes several passes.
+SURFACES = 200_000
+
+
+def occurrences(texts: DataFrame, surfaces: DataFrame, most: int = SURFACES) -> DataFrame:
     """texts (id, text) with `spans`: longest surfaces first, overlapping ones skipped, by start.
 
-    Surfaces are a term base of checked size; longer lists are matched block by block.
+    surfaces: one column of strings, compared in lower case. They go to the tasks in blocks of at most `most`, one pass
+    over the texts a block, each as an automaton that finds all its surfaces in one run over a text. Passes send on the
+    spans they find, and the choice among overlapping spans is made on those of all blocks. Ids are unique.
     """
-    ordered = sorted({s.lower() for s in surfaces if s}, key=lambda s: (-len(s), s))
-    if len(ordered) > 100_000:
-        raise ValueError("more surfaces than one pass matches: split the term base")
-
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for text in frame["text"].fillna("").str.lower():
-                taken: list[tuple[int, int, str]] = []
-                for s in ordered:
-                    at = text.find(s)
-                    while at >= 0:
-                        if all(at >= e or at + len(s) <= b for b, e, _ in taken):
-                            taken.append((at, at + len(s), s))
-                        at = text.find(s, at + len(s))
-                out.append([{"start": b, "stop": e, "surface": s} for b, e, s in sorted(taken)])
-            yield pd.DataFrame({"id": frame["id"], "spans": out})
-
-    return texts.select("id", "text").mapInPandas(find, "id long, spans array<struct<start:int,stop:int,surface:string>>")
+    names = surfaces.toDF("s").filter("s <> ''").select(F.lower("s").alias("s")).distinct()
+    blocks = -(-names.count() // most) or 1
+    field = "array<struct<start:int,stop:int,surface:string>>"
+    passes = []
+    for block in range(blocks):
+        own = [r[0] for r in names.filter(F.pmod(F.xxhash64("s"), F.lit(blocks)) == block).toLocalIterator()]  # about `most` strings
+        sent = texts.sparkSession.sparkContext.broadcast(own)
+
+        def find(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for s in sent.value:
+                automaton.add_word(s, s)
+            if len(automaton):
+                automaton.make_automaton()
+            for frame in frames:
+                out = [[{"start": end + 1 - len(s), "stop": end + 1, "surface": s} for end, s in automaton.iter(text)] if len(automaton) else [] for text in frame["text"].fillna("").str.lower()]
+                yield pd.DataFrame({"id": frame["id"], "found": out})
+
+        passes.append(texts.select("id", "text").mapInPandas(find, f"id long, found {field}"))
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionByName(more)
+    if blocks > 1:
+        found = found.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("found"))  # one row a block
+    return found.mapInPandas(_chosen, f"id long, spans {field}")
+
+
+def _chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of all spans the longest first, those that overlap none taken before."""
+    for frame in frames:
+        out = []
+        for found in frame["found"]:
+            spans = sorted(((x["stop"] - x["start"], x["surface"], x["start"]) for x in found), key=lambda x: (-x[0], x[1], x[2]))
+            covered, taken = bytearray(max((x["stop"] for x in found), default=0)), []
+            for size, s, at in spans:
+                if covered.find(1, at, at + size) < 0:
+                    covered[at : at + size] = b"\1" * size
+                    taken.append({"start": at, "stop": at + size, "surface": s})
+            out.append(sorted(taken, key=lambda x: x["start"]))
+        yield pd.DataFrame({"id": frame["id"], "spans": out})
 
 
 @query("join15_term_occurrences")
 def join15(spark: SparkSession, sf: str) -> DataFrame:
-    names = [r[0] for r in table(spark, sf, "part").select("p_name").distinct().limit(100_001).collect()]
-    words = sorted({w for n in names for w in n.split()} | set(names))
+    names = table(spark, sf, "part").select(F.col("p_name").alias("s")).distinct()
+    surfaces = names.unionByName(names.select(F.explode(F.split("s", " ")).alias("s")))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return occurrences(docs, words).select(F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_spans"), F.transform("spans", lambda s: s["surface"]).alias("surfaces"))
+    return occurrences(docs, surfaces).select(F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_spans"), F.transform("spans", lambda s: s["surface"]).alias("surfaces"))
 
 
 @query("join16_fuzzy_best", "WITH c AS (SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b, 1 - levenshtein(a.s_name, b.s_name)::DOUBLE / greatest(length(a.s_name), length(b.s_name)) AS sim FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) SELECT id_a, id_b, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY sim DESC, id_b) AS k FROM c WHERE sim >= 0.88) WHERE k = 1")
@@ -186,14 +215,42 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 1))
 
 
-@query("join17_jaccard_probe", r"WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1)) AS t FROM benchmark) SELECT x.item_id AS id_a, y.item_id AS id_b, round(len(list_intersect(x.t, y.t))::DOUBLE / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 6) AS sim FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.t, y.t))::DOUBLE / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.08")
+TOKENS = r"list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 1200)), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1))"
+
+
+@query(
+    "join17_jaccard_probe",
+    f"""
+WITH d AS (SELECT doc_id, ts, {TOKENS} AS t FROM documents JOIN events ON event_id = doc_id),
+c AS (SELECT * FROM d ORDER BY ts DESC, doc_id DESC LIMIT 81),
+p AS (SELECT d.doc_id, d.t, c.doc_id AS other, c.t AS u, row_number() OVER (PARTITION BY d.doc_id ORDER BY c.ts DESC, c.doc_id DESC) AS k
+      FROM d JOIN c ON c.doc_id <> d.doc_id AND c.ts >= d.ts - INTERVAL 7 DAY),
+s AS (SELECT doc_id, other, k, len(list_intersect(t, u))::DOUBLE / (len(t) + len(u) - len(list_intersect(t, u))) AS score FROM p WHERE k <= 80 AND len(list_intersect(t, u)) > 0)
+SELECT doc_id, other AS best, round(score, 6) AS score, CASE WHEN score >= 0.86 THEN 'duplicate' WHEN score >= 0.72 THEN 'manual' ELSE 'new' END AS verdict
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS r FROM s) WHERE r = 1
+""",
+)
 def join17(spark: SparkSession, sf: str) -> DataFrame:
-    """Token Jaccard above a threshold, by an inverted index on tokens rather than all pairs."""
-    b = table(spark, sf, "benchmark").select("item_id", token_set(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    words = b.select("item_id", "n", F.explode("t").alias("w"))
-    pairs = words.alias("x").join(words.alias("y"), F.expr("x.w = y.w and x.item_id < y.item_id")).groupBy(F.col("x.item_id").alias("id_a"), F.col("y.item_id").alias("id_b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("both"))
-    sim = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return pairs.filter(sim >= 0.08).select("id_a", "id_b", F.round(sim, 6).alias("sim"))
+    """The best of each text's candidates by token Jaccard; candidates are the newest 80 others of the last 7 days.
+
+    The newest 80 from any day on are a prefix of the newest of all, so 81 rows can be candidates. Those go to all
+    tasks as an inverted index of tokens, and each text meets only candidates that share a token with it.
+    """
+    when = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    d = table(spark, sf, "documents").select("doc_id", token_set(F.substring("text", 1, 1200)).alias("t")).join(when, "doc_id")
+    newest = d.orderBy(F.desc("ts"), F.desc("doc_id")).limit(81)
+    newest = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("doc_id"))))  # 81 rows
+    index = newest.select(F.col("doc_id").alias("other"), F.col("ts").alias("at"), F.size("t").alias("m"), "place", F.explode("t").alias("w"))
+    own = d.select("doc_id", "ts", F.size("t").alias("n"), F.explode("t").alias("w"))
+    both = own.join(F.broadcast(index), "w").filter((F.col("other") != F.col("doc_id")) & (F.col("at") >= F.col("ts") - F.expr("INTERVAL 7 DAY")))
+    both = both.groupBy("doc_id", "n", "other", "m", "place").agg(F.count("*").alias("both"))
+    # one of the 81 has the 80 others as candidates, the rest the first 80 of the 81
+    inside = newest.select(F.col("doc_id"), F.lit(True).alias("inside"))
+    both = both.join(F.broadcast(inside), "doc_id", "left").filter((F.col("place") <= 80) | F.col("inside"))
+    scored = both.withColumn("score", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
+    best = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("place")).alias("near"), "other")).alias("b"))
+    verdict = F.when(F.col("b.score") >= 0.86, "duplicate").when(F.col("b.score") >= 0.72, "manual").otherwise("new")
+    return best.select("doc_id", F.col("b.other").alias("best"), F.round("b.score", 6).alias("score"), verdict.alias("verdict"))
 
 
 @query("join18_multi_key_identity", "WITH k1 AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS a FROM customer GROUP BY ALL), k2 AS (SELECT cast(floor(c_acctbal / 100) AS BIGINT) AS b, min(c_custkey) AS c FROM customer GROUP BY 1) SELECT c_custkey, len(list_distinct([a, c])) AS n_ids, CASE WHEN len(list_distinct([a, c])) = 1 THEN 'exact' ELSE 'conflict' END AS state FROM customer u JOIN k1 ON k1.c_nationkey = u.c_nationkey AND k1.c_mktsegment = u.c_mktsegment JOIN k2 ON k2.b = cast(floor(u.c_acctbal / 100) AS BIGINT)")
@@ -299,12 +356,24 @@ def join25(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('doc_id'), ('text'), ('region') AS v(name)").join(found, "name", "left").fillna(False, ["present"])
 
 
-@query("join26_blocked_match", "SELECT DISTINCT p.p_partkey, q.s_suppkey FROM part p JOIN supplier q ON substr(p.p_name, 1, 1) = lower(substr(q.s_name, 1, 1)) AND contains(lower(q.s_name), substr(p.p_name, 1, 1)) WHERE p.p_size = 7")
+@query(
+    "join26_blocked_match",
+    """
+WITH p AS (SELECT item_id, array_to_string(string_split(lower(text), ' ')[1:5], ' ') AS phrase FROM benchmark WHERE len(string_split(text, ' ')) >= 5)
+SELECT DISTINCT doc_id, item_id FROM documents JOIN p ON contains(lower(text), phrase)
+""",
+)
 def join26(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates by block key first, then the text predicate."""
-    p = table(spark, sf, "part").filter("p_size = 7").select("p_partkey", F.substring("p_name", 1, 1).alias("b"))
-    s = table(spark, sf, "supplier").select("s_suppkey", F.lower("s_name").alias("n"), F.lower(F.substring("s_name", 1, 1)).alias("b"))
-    return p.join(s, "b").filter(F.col("n").contains(F.col("b"))).select("p_partkey", "s_suppkey").distinct()
+    """Which texts contain which terms: a bucket key names the candidates, then the text is tested.
+
+    A term's key is the longest of its inner words, which stand whole in any text that holds the term.
+    """
+    words = F.split(F.lower("text"), " ", -1)
+    p = table(spark, sf, "benchmark").select("item_id", words.alias("w")).filter(F.size("w") >= 5)
+    inner = F.array_max(F.transform(F.slice("w", 2, 3), lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    p = p.select("item_id", F.array_join(F.slice("w", 1, 5), " ").alias("phrase"), inner.alias("key"))
+    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"), F.explode(F.array_distinct(words)).alias("key"))
+    return d.join(p, "key").filter(F.col("t").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
 
 
 @query("join27_nearest_year", "SELECT c.c_custkey, arg_min(o_orderkey, (abs(year(o_orderdate) - 1998) * 10000 + year(o_orderdate)) * 100000000 + o_orderkey) AS nearest FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1")

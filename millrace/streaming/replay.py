@@ -70,8 +70,9 @@ def s2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("str_s3_idempotent_append", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, props FROM events) GROUP BY 1, 2")
 def s3(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream that drops repeats of a dedupe key, then counted."""
-    e = event_stream(spark, sf).select("user_id", "event_type", "props").dropDuplicates(["user_id", "event_type", "props"])
+    """A stream that drops repeats of a dedupe key, then counted. Keys are forgotten 400 days after their event, so the state is bounded."""
+    e = event_stream(spark, sf).select("at", "user_id", "event_type", "props").withWatermark("at", "400 days")
+    e = e.dropDuplicatesWithinWatermark(["user_id", "event_type", "props"]).select("user_id", "event_type", "props")
     return run_to_end(e).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 

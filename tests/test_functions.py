@@ -43,8 +43,48 @@ def test_lifecycle_needs_its_order():
 
 def test_occurrences_take_longest_first(spark):
     df = spark.createDataFrame([(1, "Red widget red wid"), (2, None), (3, "")], "id long, text string")
-    got = {r["id"]: [s["surface"] for s in r["spans"]] for r in joins.occurrences(df, ["red", "red widget", "wid"]).collect()}
-    assert got == {1: ["red widget", "red", "wid"], 2: [], 3: []}
+    surfaces = spark.createDataFrame([("red",), ("red widget",), ("wid",), ("",), (None,)], "s string")
+    for most in (100, 1):  # in one pass and in several
+        got = {r["id"]: [s["surface"] for s in r["spans"]] for r in joins.occurrences(df, surfaces, most).collect()}
+        assert got == {1: ["red widget", "red", "wid"], 2: [], 3: []}
+    assert {len(r["spans"]) for r in joins.occurrences(df, surfaces.limit(0)).collect()} == {0}
+
+
+def test_occurrences_match_brute_force(spark):
+    rng = random.Random(15)
+    make = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    surfaces, texts = sorted({make(rng.randrange(1, 5)) for _ in range(30)}), [make(60) for _ in range(20)]
+    got = {r["id"]: [(s["start"], s["surface"]) for s in r["spans"]] for r in joins.occurrences(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(s,) for s in surfaces], "s string"), 7).collect()}
+    for i, t in enumerate(texts):
+        taken = []
+        for s in sorted(surfaces, key=lambda s: (-len(s), s)):
+            taken += [(k, s) for k in range(len(t)) if t.startswith(s, k) and not any(k < a + len(x) and a < k + len(s) for a, x in taken)][:1]
+            while more := [(k, s) for k in range(len(t)) if t.startswith(s, k) and not any(k < a + len(x) and a < k + len(s) for a, x in taken)]:
+                taken.append(more[0])
+        assert got[i] == sorted(taken)
+
+
+@pytest.mark.parametrize(
+    "written",
+    [
+        ("$1,250,000", "1.25 million dollars", "USD 1"),
+        ("３０ million yen", "30,000,000円", "3000万円", "¥30 million"),
+        ("two hundred and five", "205"),
+        ("twenty-five thousand", "25,000", "2.5万"),
+        ("3:05 pm", "15:05"),
+        ("12:00 am", "0:00"),
+        ("May 3", "5月 3"),
+        ("7.50%", "7.5 %"),
+    ],
+)
+def test_equal_quantities_have_equal_tokens(written):
+    first, *others = (text.quantities(w) for w in written if w != "USD 1")
+    assert first and all(x == first for x in others)
+
+
+def test_quantities_leave_words_alone():
+    assert text.quantities("someone may march often") == [] and text.quantities(None) == []
+    assert text.quantities("1,2 and 3") == ["number:1", "number:2", "number:3"]
 
 
 def test_matching_augments(spark):
