@@ -149,15 +149,16 @@ class Bitmap:
         self.bits, self.size = bits, 8 * len(bits)
 
     @staticmethod
-    def places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
-        for k in range(Bitmap.PROBES):
-            yield (mix64(hashes.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(size - 1)).astype(np.int64)
+    def place(hashes: np.ndarray, probe: int, size: int) -> np.ndarray:
+        return (mix64(hashes.view(np.uint64) + np.uint64((probe + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(size - 1)).astype(np.int64)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for at in self.places(hashes, self.size):
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return out
+        """Places of the hashes that it may hold; each probe looks at what the ones before left."""
+        left = np.arange(len(hashes))
+        for k in range(self.PROBES):
+            at = self.place(hashes[left] if k else hashes, k, self.size)
+            left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        return left
 
     @staticmethod
     def of(hashes: DataFrame, each: int = 32, most: int = 1 << 27) -> "Bitmap":
@@ -169,7 +170,8 @@ class Bitmap:
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(size // 8, np.uint8)
             for batch in batches:
-                for at in Bitmap.places(batch.column(0).to_numpy(), size):
+                for k in range(Bitmap.PROBES):
+                    at = Bitmap.place(batch.column(0).to_numpy(), k, size)
                     np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
             words = bits.view(np.int64)
             used = np.flatnonzero(words)
@@ -177,7 +179,7 @@ class Bitmap:
                 own = used[a : a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words[own])], ["word", "bits"])
 
-        found = hashes.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        found = hashes.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         words = np.zeros(size // 64, np.int64)
-        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
         return Bitmap(words.view(np.uint8))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Workspace, mix64, read_table, row_key
+from .common import Bitmap, Workspace, as_strings, mix64, read_table, row_key, text_slices
 
 # Fixed masks: 6 of 11 tokens; any two substitutions at least 4 tokens apart leave one of them a hit in a
 # passage of 15 tokens (tested by brute force in tests/llm).
@@ -195,15 +195,25 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = LE
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bitmap = Hashes(), sent.value
         for batch in batches:
-            rows, found = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = hashes.of(tokens(text))
-                own = [h[bitmap.holds(h)] for m in masks if len(h := windows(ids, m))]
-                if own and len(own := np.unique(np.concatenate(own))):
-                    rows.append(i)
-                    found.append(own.view(np.int64))
-            kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.list_(pa.int64()))], ["key", "text", "seeds"])
+            texts = as_strings(batch.column(1))
+            for a, b in text_slices(texts):
+                # the texts of a slice are hashed in a row; windows that reach over an end are left out
+                own = [tokens(t) for t in texts.slice(a, b - a).to_pylist()]
+                ends = np.cumsum([len(x) for x in own])
+                ids = hashes.of([w for x in own for w in x])
+                row, seed = [], []
+                for m in masks:
+                    h = windows(ids, m)
+                    at = bitmap.holds(h)
+                    of = np.searchsorted(ends, at, "right")
+                    inside = at + len(m) <= ends[of] if len(at) else np.zeros(0, bool)
+                    row.append(of[inside])
+                    seed.append(h[at[inside]].view(np.int64))
+                found = np.unique(np.stack([np.concatenate(row), np.concatenate(seed)], axis=1), axis=0)
+                hit, n = np.unique(found[:, 0], return_counts=True)
+                kept = batch.slice(a, b - a).take(pa.array(hit))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(found[:, 1]))
+                yield pa.RecordBatch.from_arrays([*kept.columns, lists], ["key", "text", "seeds"])
 
     keyed = docs.select(row_key("doc_id", "text").alias("key"), "text").filter("text is not null")
     hit = keyed.mapInArrow(scan, "key binary, text string, seeds array<long>") if masks else keyed.limit(0).withColumn("seeds", F.array().cast("array<long>"))

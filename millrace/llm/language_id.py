@@ -95,17 +95,23 @@ class Model:
         sums = {(r["n"], r["lang"]): (r["tokens"], r["types"]) for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()}
         languages = sorted({lang for _, lang in sums})
         tokens = lambda n: np.array([sums.get((n, x), (0, 0))[0] for x in languages], float)
-        each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("count"))), F.lit(0)).alias(f"c{k}") for k, x in enumerate(languages)]
+        each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("count"))), F.lit(0)).cast("float").alias(f"c{k}") for k, x in enumerate(languages)]
         # the sample's words and n-grams as hashes: their number is bounded by the sample
-        found = counts.groupBy("n", F.xxhash64("gram").alias("h")).agg(*each).toPandas() if languages else None
+        found = counts.groupBy("n", F.xxhash64("gram").alias("h")).agg(*each).toArrow() if languages else None
         work.drop(counts)
         keys, rows = [], []
         for n in range(LONGEST + 1):
-            own = found[found["n"] == n].sort_values("h") if languages else None
             types = sum(t for (m, _), (_, t) in sums.items() if m == n)
-            keys.append(own["h"].to_numpy(np.int64) if languages else np.zeros(0, np.int64))
-            of = own[[f"c{k}" for k in range(len(languages))]].to_numpy(float) if languages else np.zeros((0, 0))
-            rows.append((np.log(of + 0.5) - np.log(tokens(n) + 0.5 * types + 1)).astype(np.float32))
+            if not languages:
+                keys.append(np.zeros(0, np.int64))
+                rows.append(np.zeros((0, 0), np.float32))
+                continue
+            at = np.flatnonzero(found.column("n").to_numpy() == n)
+            h = found.column("h").to_numpy()[at]
+            order = np.argsort(h)
+            keys.append(h[order])
+            below = np.log(tokens(n) + 0.5 * types + 1)
+            rows.append(np.stack([np.log(found.column(f"c{k}").to_numpy()[at][order] + np.float32(0.5)) - np.float32(below[k]) for k in range(len(languages))], axis=1))
         shares = tokens(0) / max(1.0, tokens(0).sum())
         return Model(languages, shares, keys, rows)
 

@@ -368,9 +368,9 @@ def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     n = wanted.count()
     size = min(MOST_BITS, max(1 << 10, 1 << math.ceil(math.log2(BITS_A_CLASS * n + 1))))
     bit = F.pmod(F.xxhash64("doc_key"), F.lit(size))
-    words = asked.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # MOST_BITS / 64 rows at most
+    words = asked.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
     marks = np.zeros(size // 64, np.int64)
-    marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(marks.view(np.uint8), bitorder="little"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
