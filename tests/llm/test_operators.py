@@ -551,18 +551,45 @@ def test_nearest_edges_are_exact(spark):
     assert nearest.search(table.limit(0), lambda k: k % 20 == 0).count() == 0
 
 
-def test_forest_recall():
+def test_nearest_recall_against_brute_force(spark):
+    """Vectors in clusters, with ties, repeats, deeper levels than the sample gives and cells cut to parts."""
     rng = np.random.default_rng(11)
-    x = rng.normal(size=(4000, 32))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    forest = nearest.Forest(x)
-    routes = [forest.route(x, t) for t in range(nearest.TREES)]
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(60, size=5200)] + 0.4 * rng.normal(size=(5200, 24))
+    x[5000:5100] = x[0]
+    x[5100:] = x[np.arange(100) * 20]  # copies of queries
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    found = nearest.search(table, lambda k: F.pmod(k, F.lit(20)) == 0, leaf=40, cell=300, fit_vectors=512).collect()
+    got: dict = {}
+    for r in found:
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == set(range(0, len(x), 20)) and all(sorted(g) == list(range(1, 21)) for g in got.values())
     hit = 0
-    for q in range(40):
-        seen = np.zeros(len(x), bool)
-        for t, leaf in forest.leaves(x[q], nearest.SHARE):
-            seen |= routes[t] == leaf
-        s = x @ x[q]
-        s[q] = -9
-        hit += seen[np.argsort(-s)[:20]].sum()
-    assert hit / 800 >= 0.9
+    for q, near in got.items():
+        s = (x * x[q]).sum(axis=1)
+        assert all(abs(s[v] - score) < 1e-9 for v, score in near.values()) and q not in {v for v, _ in near.values()}
+        listed = [(-score, v) for _, (v, score) in sorted(near.items())]
+        assert listed == sorted(listed)
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), -s))[:20]) & {v for v, _ in near.values()})
+    assert hit / (20 * len(got)) >= 0.9
+
+
+def test_shards_draw_multinomial_counts(spark):
+    """Draws of shards vary as multinomial counts do; only the last shards of a source are settled; slots are filled once."""
+    rows = [(i, sentence(random.Random(i), 400), None, "abc"[min(2, i % 7)]) for i in range(700)]
+    mix = mixing.Mix(mixing.sized_documents(docs(spark, rows), Workspace(spark, "test")), block=2)
+    slots = mix.slots.collect()
+    total = len(slots)
+    assert sorted(r["slot"] for r in slots) == list(range(total)) and all(r["slot"] // mixing.SLOTS == r["shard"] for r in slots)
+    assert len({(r["source"], r["copy"], r["index"]) for r in slots}) == total
+    share = {s: sum(r["source"] == s for r in slots) / total for s in "abc"}
+    drawn = {(r["shard"], r["k"]): r["n"] for r in mix.drawn.collect()}
+    settled = {(r["shard"], r["source"]): r["n"] for r in mix.shard_counts().collect()}
+    whole = range(total // mixing.SLOTS)
+    for k, s in enumerate("abc"):
+        n = np.array([drawn.get((i, k), 0) for i in whole])
+        spread = (mixing.SLOTS * share[s] * (1 - share[s])) ** 0.5
+        assert abs(n.mean() - mixing.SLOTS * share[s]) < 5 * spread / len(n) ** 0.5 and 0.7 * spread < n.std() < 1.3 * spread
+    changed = [i for i in whole if any(drawn.get((i, k), 0) != settled.get((i, s), 0) for k, s in enumerate("abc"))]
+    assert len(changed) <= 0.2 * len(whole)
