@@ -136,7 +136,8 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule,
     salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS))
     by_blob = by_blob.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     paths = address(versions, text).select(*keys, "blob").withColumn("salt", salt)
-    return paths.join(by_blob, ["blob", "salt"], "left").drop("salt").withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
+    # a join by shuffle at every size: findings repeated by salt are larger than Spark guesses before it broadcasts them
+    return paths.join(by_blob.hint("merge"), ["blob", "salt"], "left").drop("salt").withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
 
 
 def written(found: Column) -> Column:
