@@ -87,13 +87,24 @@ def agg13(spark: SparkSession, sf: str) -> DataFrame:
     return by.withColumn("conserved", sum((F.col(t) for t in tiers), F.lit(0)) == F.col("total"))
 
 
-@query("agg14_issue_summary", "WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500), i AS (SELECT event_id, event_type AS code, value > 50 AS blocker FROM r UNION ALL SELECT event_id, 'odd', true FROM r WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 1) SELECT code, count(*) AS n, count(*) FILTER (WHERE blocker) AS blockers FROM i GROUP BY 1")
-def agg14(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues of the 500 newest rows (a top-k report) by code."""
+def newest_issues(spark: SparkSession, sf: str) -> DataFrame:
     newest = table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500)
     odd = F.get_json_object("props", "$.k").cast("long") % 2 == 1
     issues = F.array_compact(F.array(F.struct(F.col("event_type").alias("code"), (F.col("value") > 50).alias("blocker")), F.when(odd, F.struct(F.lit("odd").alias("code"), F.lit(True).alias("blocker")))))
-    return newest.select(F.explode(issues).alias("i")).groupBy("i.code").agg(F.count("*").alias("n"), count_if(F.col("i.blocker")).alias("blockers"))
+    return newest.select("ts", "event_id", issues.alias("issues"))
+
+
+@query("agg14_issue_examples", "WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500), i AS (SELECT ts, event_id, 0 AS pos, event_type AS code, value > 50 AS blocker FROM r UNION ALL SELECT ts, event_id, 1, 'odd', true FROM r WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 1) SELECT event_id, code, blocker FROM i WHERE code IN ('error', 'odd') ORDER BY ts DESC, event_id DESC, pos LIMIT 20")
+def agg14_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 20 issues of two codes, of the newest rows first and in each row's own order."""
+    i = newest_issues(spark, sf).select("ts", "event_id", F.posexplode("issues").alias("pos", "i")).filter(F.col("i.code").isin("error", "odd"))
+    return i.orderBy(F.desc("ts"), F.desc("event_id"), "pos").limit(20).select("event_id", "i.code", "i.blocker")
+
+
+@query("agg14_issue_summary", "WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500), i AS (SELECT event_id, event_type AS code, value > 50 AS blocker FROM r UNION ALL SELECT event_id, 'odd', true FROM r WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 1) SELECT code, count(*) AS n, count(*) FILTER (WHERE blocker) AS blockers FROM i GROUP BY 1")
+def agg14(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of the 500 newest rows (a top-k report) by code."""
+    return newest_issues(spark, sf).select(F.explode("issues").alias("i")).groupBy("i.code").agg(F.count("*").alias("n"), count_if(F.col("i.blocker")).alias("blockers"))
 
 
 @query("agg15_time_weighted", "WITH s AS (SELECT user_id, ts, least(coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '2024-01-31'), ts + INTERVAL 1 DAY, TIMESTAMP '2024-01-28') AS stop, value FROM events) SELECT user_id, round(sum(greatest(0, date_diff('microsecond', greatest(ts, TIMESTAMP '2024-01-21'), stop)) / 1e6 * value), 3) AS served FROM s GROUP BY 1")

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from millrace.functions import domain, text, timeops, udfs, values  # noqa: F401
+from millrace.functions import domain, measures, text, timeops, udfs, values  # noqa: F401
 from millrace.operators import aggregates, filters, joins, sets, windows  # noqa: F401
 from millrace.sources import files  # noqa: F401
 from millrace.streaming import replay  # noqa: F401

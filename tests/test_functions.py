@@ -135,3 +135,32 @@ def test_upsert_keeps_values_over_blanks(spark):
 
 def test_nfkc_folds(spark):
     assert spark.createDataFrame([("  ＡＢＣ ß ",)], "t string").select(text.nfkc_casefold(F.col("t"))).first()[0] == "abc ss"
+
+
+def test_exact_measures(spark):
+    from millrace.functions import measures
+
+    weights = [("57", "kg", "57", "parsed"), ("１２６ｌｂ", "", "57.2", "parsed"), ("9-4", "stone_lb", "59", "parsed"), ("9-14", "stone_lb", None, "unresolved"), ("57", "", None, "unresolved"), ("1000kg", "", None, "unresolved"), ("0kg", "", None, "unresolved"), (" ", "kg", None, "missing"), (None, "kg", None, "missing"), ("57.5公斤", "", "57.5", "parsed")]
+    df = spark.createDataFrame([(i, *w[:2]) for i, w in enumerate(weights)], "i int, raw string, unit string").select("i", measures.weight(F.col("raw"), F.col("unit")).alias("w"))
+    for r in df.collect():
+        kilos = None if r.w.kilos is None else f"{r.w.kilos.normalize():f}"
+        assert (kilos, r.w.state) == weights[r.i][2:], weights[r.i]
+    margins = [("1½L", "", None, 3, 2), ("½ length", "", None, 1, 2), ("1.1/2", "length", None, 3, 2), ("2/6", "length", None, 1, 3), ("2.50l", "", None, 5, 2), ("Hd", "", "头差", None, None), ("1/0l", "", None, None, None), ("3", "", None, None, None), ("0l", "", None, 0, 1), ("2 lengths more", "", None, None, None)]
+    df = spark.createDataFrame([(i, *m[:2]) for i, m in enumerate(margins)], "i int, raw string, unit string").select("i", measures.margin(F.col("raw"), F.col("unit")).alias("m"))
+    for r in df.collect():
+        assert (r.m.label, r.m.num, r.m.den) == margins[r.i][2:], margins[r.i]
+    prices = [("5/2", "fractional", 5, 2, "parsed"), ("5/0", "fractional", None, None, "unresolved"), ("0.9", "decimal", None, None, "unresolved"), ("1.0", "decimal", 1, 1, "parsed"), ("0.9", "hong_kong", 9, 10, "parsed"), ("3", "moneyline", None, None, "unresolved"), (None, "decimal", None, None, "missing")]
+    df = spark.createDataFrame([(i, *p[:2]) for i, p in enumerate(prices)], "i int, raw string, form string").select("i", measures.odds(F.col("raw"), F.col("form")).alias("o"))
+    for r in df.collect():
+        assert (r.o.num, r.o.den, r.o.state) == prices[r.i][2:], prices[r.i]
+
+
+def test_strict_documents():
+    from millrace.functions.measures import refusal
+
+    assert refusal('{"a": [1, {"a": null}]}') is None
+    assert refusal('{"a": {"b": 1, "b": 1}}') == "duplicate_json_key"
+    assert refusal("[NaN]") == refusal("[1e999]") == "nonfinite_value"
+    assert refusal("[" * 65 + "]" * 65) is None and refusal("[" * 66 + "]" * 66) == "document_limit"
+    assert refusal("[" + "1," * 99_999 + "1]") == "document_limit"
+    assert refusal("{") == refusal("") == refusal(None) == refusal("[" * 100_000) == "invalid_json"
