@@ -263,6 +263,43 @@ def join18(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(one, ["c_nationkey", "c_mktsegment"], "left").join(two, "b", "left").select("c_custkey", F.size(ids).cast("long").alias("n_ids"), F.when(F.size(ids) == 1, "exact").otherwise("conflict").alias("state"))
 
 
+def resolved(incoming: DataFrame, records: DataFrame, row: str, record: str, keys: list[str]) -> DataFrame:
+    """Each incoming row's record under several candidate keys (columns of both sides; a null key finds nothing).
+
+    (row, record, n_ids, state): exact where all keys that find a record find the same one, none where no key does,
+    ambiguous where one key alone finds several records, conflict where keys disagree. One aggregation and join a key.
+    """
+    out = incoming.select(row, *keys)
+    for k in keys:
+        found = records.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(record).alias(f"{k}_id"), (F.min(record) != F.max(record)).alias(f"{k}_many"))
+        out = out.join(found, k, "left")
+    ids = F.array_distinct(F.array_compact(F.array(*[f"{k}_id" for k in keys])))
+    many = F.coalesce(F.greatest(*[F.coalesce(f"{k}_many", F.lit(False)) for k in keys]), F.lit(False))
+    out = out.select(row, ids.alias("ids"), many.alias("many"))
+    state = F.when(F.col("many"), "ambiguous").when(F.size("ids") > 1, "conflict").when(F.size("ids") == 1, "exact").otherwise("none")
+    return out.select(row, F.when(state == "exact", F.element_at("ids", 1)).alias(record), F.size("ids").cast("long").alias("n_ids"), state.alias("state"))
+
+
+FOUR_KEYS = ["idempotent", "evidence", "canonical", "equivalent"]
+RESOLVED = "WITH {keys} SELECT s.s_suppkey, CASE WHEN NOT many AND len(ids) = 1 THEN ids[1] END AS c_custkey, CAST(len(ids) AS BIGINT) AS n_ids, CASE WHEN many THEN 'ambiguous' WHEN len(ids) > 1 THEN 'conflict' WHEN len(ids) = 1 THEN 'exact' ELSE 'none' END AS state FROM (SELECT s_suppkey, list_distinct([x1.id, x2.id, x3.id, x4.id]) AS ids, coalesce(x1.many, false) OR coalesce(x2.many, false) OR coalesce(x3.many, false) OR coalesce(x4.many, false) AS many FROM supplier s {joins}) s"
+_SQL_KEYS = ["CASE WHEN {a} > 0 THEN {k} END", "{n} * 1000000 + CAST(floor({a} / 50) AS BIGINT)", "CAST(floor({a} / 5) AS BIGINT)", "{n} * 1000000 + CAST(floor({a} / 20) AS BIGINT)"]
+RESOLVED = RESOLVED.format(keys=", ".join(f"k{i} AS (SELECT {e.format(k='c_custkey', n='c_nationkey', a='c_acctbal')} AS k, min(c_custkey) AS id, min(c_custkey) <> max(c_custkey) AS many FROM customer GROUP BY 1)" for i, e in enumerate(_SQL_KEYS, 1)), joins=" ".join(f"LEFT JOIN k{i} x{i} ON x{i}.k = {e.format(k='s_suppkey', n='s_nationkey', a='s_acctbal')}" for i, e in enumerate(_SQL_KEYS, 1)))
+
+
+@query("join18_four_keys", RESOLVED)
+def join18_four_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers resolved to customers under four keys: number, nation with coarse balance, balance, nation with fine balance."""
+
+    def keyed(df: DataFrame, number: str, nation: str, balance: str) -> DataFrame:
+        part = lambda width: F.floor(F.col(balance) / width)
+        keys = [F.when(F.col(balance) > 0, F.col(number)), F.col(nation) * 1_000_000 + part(50), part(5), F.col(nation) * 1_000_000 + part(20)]
+        return df.select(number, *[c.cast("long").alias(k) for k, c in zip(FOUR_KEYS, keys, strict=True)])
+
+    suppliers = keyed(table(spark, sf, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
+    customers = keyed(table(spark, sf, "customer"), "c_custkey", "c_nationkey", "c_acctbal")
+    return resolved(suppliers, customers, "s_suppkey", "c_custkey", FOUR_KEYS)
+
+
 @query("join19_cross_source", "SELECT a.l_orderkey AS k, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_shipdate::DATE = b.l_shipdate::DATE AND a.l_suppkey <> b.l_suppkey AND a.l_linenumber < b.l_linenumber AND (a.l_tax = b.l_tax OR a.l_tax = 0 OR b.l_tax = 0)")
 def join19(spark: SparkSession, sf: str) -> DataFrame:
     """The same fact under two sources; an unknown value (tax 0 here) agrees with any."""

@@ -164,3 +164,56 @@ def test_strict_documents():
     assert refusal("[" * 65 + "]" * 65) is None and refusal("[" * 66 + "]" * 66) == "document_limit"
     assert refusal("[" + "1," * 99_999 + "1]") == "document_limit"
     assert refusal("{") == refusal("") == refusal(None) == refusal("[" * 100_000) == "invalid_json"
+
+
+def test_ledgers_equal_a_plain_loop(spark):
+    import pyarrow.parquet as pq
+
+    from millrace.plans import catalog
+    from millrace.streaming import ledgers  # noqa: F401
+
+    sf = "/root/testdata/sf0.001"
+    events = sorted(pq.read_table(f"{sf}/events.parquet").to_pylist(), key=lambda e: (e["ts"], e["event_id"]))
+    caps, breaks = {}, {}
+    users: dict = {}
+    for e in events:
+        u = users.setdefault(e["user_id"], {"open": False, "spent": {}, "failures": 0, "since": None})
+        u["open"] = u["open"] and e["event_type"] != "purchase"
+        amount = round(e["value"] * 100)
+        slots = [("article_budget_exhausted", ("a", e["event_type"]), 40_000), ("budget_exhausted_month", ("m", e["ts"].year, e["ts"].month), 60_000), ("budget_exhausted_day", ("d", e["ts"].date()), 7_500)]
+        over = [name for name, slot, cap in slots if u["spent"].get(slot, 0) + amount > cap]
+        caps[e["event_id"]] = "unreconciled_bill" if u["open"] else over[0] if over else "reserved"
+        if caps[e["event_id"]] == "reserved":
+            for _, slot, _ in slots:
+                u["spent"][slot] = u["spent"].get(slot, 0) + amount
+            u["open"] = e["event_type"] == "error"
+        tripped = u["failures"] >= 2
+        if tripped and int(e["ts"].timestamp()) < int(u["since"].timestamp()) + 6 * 3600:
+            breaks[e["event_id"]] = "denied"
+            continue
+        breaks[e["event_id"]] = "probe" if tripped else "admitted"
+        u["failures"], u["since"] = (u["failures"] + 1 if e["event_type"] == "error" else 0), e["ts"]
+    assert {r.event_id: r.verdict for r in catalog.QUERIES["str_s14_period_caps"](spark, sf).collect()} == caps
+    assert {r.event_id: r.verdict for r in catalog.QUERIES["str_s9_circuit_breaker"](spark, sf).collect()} == breaks
+    assert {"reserved", "unreconciled_bill"} < set(caps.values()) and set(breaks.values()) == {"admitted", "probe", "denied"}
+
+
+def test_ledger_steps():
+    from types import SimpleNamespace as Row
+
+    from millrace.streaming import ledgers
+
+    def verdicts(step, state, rows):
+        out = []
+        for r in rows:
+            state, v = step(state, r)
+            out.append(v)
+        return out
+
+    spend = lambda kind, day, amount: Row(event_type=kind, day=day, month=day[:7], amount=amount)
+    start = (False, "", 0, "", 0, "{}")
+    assert verdicts(ledgers.reserve, start, [spend("view", "2024-01-01", 7_000), spend("view", "2024-01-01", 501), spend("view", "2024-01-01", 500), spend("view", "2024-01-02", 7_500)]) == ["reserved", "budget_exhausted_day", "reserved", "reserved"]
+    days = [spend("ab"[i % 2], f"2024-01-{i + 1:02d}", 7_500) for i in range(9)]
+    assert verdicts(ledgers.reserve, start, [*days, spend("c", "2024-02-01", 7_500)]) == ["reserved"] * 8 + ["budget_exhausted_month", "reserved"]
+    assert verdicts(ledgers.reserve, start, [spend("a", f"2024-{i + 1:02d}-01", 7_500) for i in range(6)])[-1] == "article_budget_exhausted"
+    assert verdicts(ledgers.observe, ("", -1), [Row(digest="x", instant=5), Row(digest="y", instant=4), Row(digest="x", instant=6), Row(digest="y", instant=6)]) == ["changed", "stale", "unchanged", "changed"]
