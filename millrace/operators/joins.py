@@ -263,7 +263,7 @@ def join18(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(one, ["c_nationkey", "c_mktsegment"], "left").join(two, "b", "left").select("c_custkey", F.size(ids).cast("long").alias("n_ids"), F.when(F.size(ids) == 1, "exact").otherwise("conflict").alias("state"))
 
 
-def resolved(incoming: DataFrame, records: DataFrame, row: str, record: str, keys: list[str]) -> DataFrame:
+def resolved_by_keys(incoming: DataFrame, records: DataFrame, row: str, record: str, keys: list[str]) -> DataFrame:
     """Each incoming row's record under several candidate keys (columns of both sides; a null key finds nothing).
 
     (row, record, n_ids, state): exact where all keys that find a record find the same one, none where no key does,
@@ -297,7 +297,7 @@ def join18_four_keys(spark: SparkSession, sf: str) -> DataFrame:
 
     suppliers = keyed(table(spark, sf, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
     customers = keyed(table(spark, sf, "customer"), "c_custkey", "c_nationkey", "c_acctbal")
-    return resolved(suppliers, customers, "s_suppkey", "c_custkey", FOUR_KEYS)
+    return resolved_by_keys(suppliers, customers, "s_suppkey", "c_custkey", FOUR_KEYS)
 
 
 @query("join19_cross_source", "SELECT a.l_orderkey AS k, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_shipdate::DATE = b.l_shipdate::DATE AND a.l_suppkey <> b.l_suppkey AND a.l_linenumber < b.l_linenumber AND (a.l_tax = b.l_tax OR a.l_tax = 0 OR b.l_tax = 0)")
