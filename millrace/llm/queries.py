@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, mixing, near_duplicates, nearest, secret_scan, token_files, toxicity, url_filter
+from . import centroids, decontaminate, html_text, language_id, mixing, near_duplicates, nearest, secret_scan, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_html_text": html_text.op9_html_text,
         "op10_nearest": nearest.op10_nearest,
+        "op11_centroids": centroids.op11_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE}
+    return {"op3_url_filter": url_filter.ORACLE, "op11_centroids": centroids.ORACLE}
