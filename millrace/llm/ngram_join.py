@@ -14,8 +14,8 @@ c(a, b) = ceil(num * (a + b) / (num + den)).
 
 A list is never expanded into pairs. Lists of the same sets are scanned once. Long ones are dealt to blocks, each with the
 list's pivot; a block sends a spanning forest of the pairs that may link, and those are verified on full sets. Lists that
-then hold several components are compared again, across components only, on full sets inside the tasks, block by block:
-classes outside the pivot's component meet the whole list. So all links are found or implied. Before sets
+then hold several components are compared again, across components only, block by block: classes outside the pivot's component
+meet the whole list. A few pairs for each set are sent on; where there are more, the full sets are compared inside the task. So all links are found or implied. Before sets
 travel, signatures of 2 to 4 bits a shingle refuse pairs: bits that only one set has count shingles that only it has, so no link
 is refused. Blocks are sized by the sets' length, so that a task holds a bounded number of shingles.
 
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Bitmap, Workspace, as_strings, mix64, read_table, row_key, text_slices
-from .near_duplicates import _forest, _overlaps, by_group, components, sets_of, shingle_sets, verify
+from .near_duplicates import _forest, _overlaps, components, sets_of, shingle_sets, verify
 
 #: Frequent shingles that come last in the order of prefixes, the most frequent ones.
 MOST_FREQUENT = 1 << 16
@@ -56,6 +56,10 @@ SUBSET_COST = 1.0
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 #: Lists of up to so many sets send all pairs that may link at once.
 FEW = 3
+#: Groups of up to so many sets are compared in plain Python, larger ones in numpy.
+FEW_ROWS = 12
+#: Up to so many pairs across components for each set of a list are sent on; a list with more is compared inside one task.
+PAIRS_A_SET = 2
 LEAST_BITS = 1_024
 
 
@@ -228,23 +232,70 @@ def block_size() -> F.Column:
     return F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
 
 
-def may_link(table: pa.Table, lo: int, hi: int, num: int, den: int, signatures: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which pairs of rows lo to hi with all rows their sizes and signatures allow to link."""
-    need = -(-num * (sizes[lo:hi, None] + sizes[None, :]) // (num + den))
-    fits = np.minimum(sizes[lo:hi, None], sizes[None, :]) >= need
-    only = np.zeros((2, hi - lo, len(sizes)), np.int32)
-    for word in range(signatures.shape[1]):
-        mine, theirs = signatures[lo:hi, word, None], signatures[None, :, word]
-        only[0] += np.bitwise_count(mine & ~theirs)
-        only[1] += np.bitwise_count(theirs & ~mine)
-    return fits & (sizes[lo:hi, None] - only[0] >= need) & (sizes[None, :] - only[1] >= need)
-
-
-def _signatures(table: pa.Table) -> np.ndarray:
-    """One row a set, all folded to the shortest one's length."""
-    rows = [np.frombuffer(x, np.uint64) for x in table.column("signature").to_pylist()]
-    width = min(len(r) for r in rows)
-    return np.stack([np.bitwise_or.reduce(r.reshape(-1, width), axis=0) for r in rows])
+def groups_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    """(grp, column, ...) of every run of rows with one grp, rows being sorted by it and each column a list; a group's rows are of bounded number."""
+    now, held = None, [[] for _ in columns]
+    for batch in batches:
+        grp = batch.column("grp").to_pylist()
+        values = [batch.column(c).to_pylist() for c in columns]
+        start = 0
+        for end in [*(np.flatnonzero(np.diff(np.array(grp, np.int64))) + 1).tolist(), len(grp)]:
+            if start == end:
+                continue
+            if grp[start] != now:
+                if now is not None:
+                    yield (now, *held)
+                now, held = grp[start], [[] for _ in columns]
+            for own, all_values in zip(held, values, strict=True):
+                own += all_values[start:end]
+            start = end
+    if now is not None:
+        yield (now, *held)
+
+
+def _folded(signatures: list[bytes]) -> list[int]:
+    """Signatures as integers, all folded to the shortest one's length."""
+    width, out = min(map(len, signatures)), []
+    for s in signatures:
+        bits, n = int.from_bytes(s, "little"), len(s)
+        while n > width:
+            n //= 2
+            bits = bits >> 8 * n | bits & (1 << 8 * n) - 1
+        out.append(bits)
+    return out
+
+
+def may_link(sizes: list[int], signatures: list[bytes], num: int, den: int, apart=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of a group that sizes and signatures allow to link, with the bits both have; in strips of rows.
+
+    apart(i, j), for arrays of rows, refuses pairs that needn't be compared.
+    """
+    n, bits = len(sizes), _folded(signatures)
+    if n <= FEW_ROWS:
+        found = []
+        for i in range(n):
+            for j in range(i + 1, n):
+                need = -(-num * (sizes[i] + sizes[j]) // (num + den))
+                both = bits[i] & bits[j]
+                if min(sizes[i], sizes[j]) >= need and sizes[i] - (bits[i] ^ both).bit_count() >= need and sizes[j] - (bits[j] ^ both).bit_count() >= need:
+                    found.append((i, j, both.bit_count()))
+        i, j, both = np.array(found, np.int64).reshape(-1, 3).T
+        good = slice(None) if apart is None else apart(i, j)
+        yield i[good], j[good], both[good]
+        return
+    width = min(map(len, signatures))
+    words = np.stack([np.frombuffer(b.to_bytes(width, "little"), np.uint64) for b in bits])
+    size, own = np.array(sizes), np.bitwise_count(words).sum(axis=1, dtype=np.int32)
+    for lo in range(0, n, 128):
+        hi = min(lo + 128, n)
+        both = np.zeros((hi - lo, n), np.int32)
+        for w in range(words.shape[1]):
+            both += np.bitwise_count(words[lo:hi, w, None] & words[None, :, w])
+        need = -(-num * (size[lo:hi, None] + size[None, :]) // (num + den))
+        good = (np.minimum(size[lo:hi, None], size[None, :]) >= need) & ((size - own)[lo:hi, None] + both >= need) & ((size - own)[None, :] + both >= need)
+        i, j = np.nonzero(np.triu(good, lo + 1))
+        kept = slice(None) if apart is None else apart(i + lo, j)
+        yield i[kept] + lo, j[kept], both[i[kept], j[kept]]
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -252,25 +303,30 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], ["a", "b"])
 
 
+def _in_parts(rows: Iterator, most: int = 1 << 14) -> Iterator[list]:
+    held: list = []
+    for found in rows:
+        held += found
+        if len(held) >= most:
+            yield held
+            held = []
+    yield held
+
+
 def first_pairs(held: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): of each list, or block of a long one with its pivot, a spanning forest of the pairs that may link; all of a few sets."""
 
-    def one(table: pa.Table) -> list[tuple[int, int]]:
-        ids, sizes = table.column("set_id").to_pylist(), table.column("n_shingles").to_numpy()
-        if len(ids) < 2:
-            return []
-        signatures = _signatures(table)
-        good = may_link(table, 0, len(ids), num, den, signatures, sizes)
-        np.fill_diagonal(good, False)
-        if len(ids) > FEW:
-            both = sum(np.bitwise_count(signatures[:, w, None] & signatures[None, :, w]).astype(np.float64) for w in range(signatures.shape[1]))
-            found = _forest(np.where(good, 1 + both, 0.0))
-        else:
-            found = list(zip(*np.nonzero(np.triu(good)), strict=True))
-        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found]
+    def one(ids: list[int], sizes: list[int], signatures: list[bytes]) -> list[tuple[int, int]]:
+        parts = list(may_link(sizes, signatures, num, den))
+        i, j, both = (np.concatenate([p[x] for p in parts]) for x in range(3))
+        if len(ids) > FEW and len(i):
+            weight = np.zeros((len(ids), len(ids)))
+            weight[i, j] = weight[j, i] = 1 + both
+            i, j = zip(*_forest(weight), strict=True)
+        return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(i, j, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in by_group(batches, one):
+        for found in _in_parts(one(*rest) for _, *rest in groups_of(batches, ["set_id", "n_shingles", "signature"])):
             yield _pairs(found)
 
     blocks = F.ceil(F.col("n") / block_size())
@@ -305,40 +361,40 @@ def left_open(held: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
     return short.unionByName(outer.unionByName(rest).groupBy("grp", "set_id", "label").agg(F.min("side").alias("side")))
 
 
-def _across(table: pa.Table, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j, of a group that may link across components, in strips of rows."""
-    sizes, label, side = (table.column(c).to_numpy() for c in ("n_shingles", "label", "side"))
-    signatures = _signatures(table)
-    for lo in range(0, len(sizes), 128):
-        hi = min(lo + 128, len(sizes))
-        good = may_link(table, lo, hi, num, den, signatures, sizes) & (label[lo:hi, None] != label[None, :]) & (side[lo:hi, None] + side[None, :] < 2)
-        i, j = np.nonzero(good)
-        yield i[i + lo < j] + lo, j[i + lo < j]
+def _across(label: list[int], side: list[int]):
+    label, side = np.array(label), np.array(side)
+    return lambda i, j: (label[i] != label[j]) & (side[i] + side[j] < 2)
 
 
 def across(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Those rows of groups (grp, set_id, label, side, n_shingles, signature) with a pair that may link across components."""
+    """What may link across components in groups (grp, set_id, label, side, n_shingles, signature).
+
+    Rows (a, b) are pairs, where a group has few; else rows (a, null, grp, label, side) name the sets that are in one.
+    """
 
-    def one(table: pa.Table) -> list[tuple]:
-        hit = np.zeros(table.num_rows, bool)
-        for i, j in _across(table, num, den):
+    def one(grp: int, ids: list[int], label: list[int], side: list[int], sizes: list[int], signatures: list[bytes]) -> list[tuple]:
+        hit, pairs = np.zeros(len(ids), bool), []
+        for i, j, _ in may_link(sizes, signatures, num, den, _across(label, side)):
             hit[i] = hit[j] = True
-        return table.select(["grp", "set_id", "label", "side"]).filter(pa.array(hit)).to_pylist()
+            if len(pairs) <= PAIRS_A_SET * len(ids):
+                pairs += [(min(ids[x], ids[y]), max(ids[x], ids[y]), None, None, None) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        return pairs if len(pairs) <= PAIRS_A_SET * len(ids) else [(ids[i], None, grp, label[i], side[i]) for i in np.flatnonzero(hit)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in by_group(batches, one):
-            yield pa.RecordBatch.from_pylist(found, pa.schema([("grp", pa.int64()), ("set_id", pa.int64()), ("label", pa.int64()), ("side", pa.int32())]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        for found in _in_parts(one(*group) for group in groups_of(batches, ["set_id", "label", "side", "n_shingles", "signature"])):
+            found = list(dict.fromkeys(found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], ["a", "b", "grp", "label", "side"])
 
-    return groups.select("grp", "set_id", "label", "side", "n_shingles", "signature").repartition("grp").sortWithinPartitions("grp", "set_id").mapInArrow(run, "grp long, set_id long, label long, side int")
+    dealt = groups.select("grp", "set_id", "label", "side", "n_shingles", "signature").repartition("grp").sortWithinPartitions("grp", "set_id")
+    return dealt.mapInArrow(run, "a long, b long, grp long, label long, side int")
 
 
 def links_across(groups: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links on full sets (shingles) across the components of each group, without those that others of the group imply."""
 
-    def one(table: pa.Table) -> list[tuple[int, int]]:
-        ids, sizes = table.column("set_id").to_pylist(), table.column("n_shingles").to_numpy()
-        parent = {x: x for x in table.column("label").to_pylist()}
-        label = table.column("label").to_pylist()
+    def one(ids: list[int], label: list[int], side: list[int], sizes: list[int], signatures: list[bytes], shingles: list[bytes]) -> list[tuple[int, int]]:
+        parent = {x: x for x in label}
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -346,13 +402,13 @@ def links_across(groups: DataFrame, num: int, den: int) -> DataFrame:
                 x = parent[x]
             return x
 
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        out = []
-        for i, j in _across(table, num, den):
+        sets = [np.frombuffer(x, np.uint64) for x in shingles]
+        size, out = np.array(sizes), []
+        for i, j, _ in may_link(sizes, signatures, num, den, _across(label, side)):
             if len(i) > 4 * len(ids):
                 rows, at = np.unique(np.concatenate((i, j)), return_inverse=True)
                 both = _overlaps([sets[r] for r in rows])[at[: len(i)], at[len(i) :]].astype(np.int64)
-                good = den * both >= num * (sizes[i] + sizes[j] - both)
+                good = den * both >= num * (size[i] + size[j] - both)
                 i, j = i[good], j[good]
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 a, b = root(label[x]), root(label[y])
@@ -363,12 +419,13 @@ def links_across(groups: DataFrame, num: int, den: int) -> DataFrame:
                         out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return out
 
+    columns = ["set_id", "label", "side", "n_shingles", "signature", "shingles"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in by_group(batches, one):
+        for found in _in_parts(one(*rest) for _, *rest in groups_of(batches, columns)):
             yield _pairs(found)
 
-    dealt = groups.select("grp", "set_id", "label", "side", "n_shingles", "signature", "shingles").repartition("grp").sortWithinPartitions("grp", "set_id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return groups.select("grp", *columns).repartition("grp").sortWithinPartitions("grp", "set_id").mapInArrow(run, "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -390,9 +447,13 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     labels = work.save(components(links, work), "labels")
     again = work.save(across(left_open(held, labels, work).join(sketch, "set_id"), num, den), "across")
     if not again.isEmpty():
-        full = sets_of(work.save(again.select("set_id").distinct(), "asked"), classes, docs, k)
-        more = work.save(links_across(again.join(sketch, "set_id").join(full, "set_id"), num, den), "more")
-        labels = work.save(components(links.unionByName(more), work), "labels2")
+        second = work.save(again.filter("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "second")
+        links = links.unionByName(work.save(verify(second, classes, docs, k, num, den, work), "links2"))
+        crowded = again.filter("b is null").select("grp", F.col("a").alias("set_id"), "label", "side")
+        if not crowded.isEmpty():
+            full = sets_of(work.save(crowded.select("set_id").distinct(), "asked"), classes, docs, k)
+            links = links.unionByName(work.save(links_across(crowded.join(sketch, "set_id").join(full, "set_id"), num, den), "more"))
+        labels = work.save(components(links, work), "labels2")
     work.drop(held, pairs, again)
     named = work.save(classes.select("set_id", "digest", "least").join(labels, F.col("set_id") == F.col("node"), "left").select("digest", "least", F.coalesce("label", "set_id").alias("label")), "named")
     least = work.save(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")

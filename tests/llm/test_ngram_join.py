@@ -65,9 +65,11 @@ def test_join_matches_all_pairs(spark, monkeypatch, k, num, den, light):
     assert got(ngram_join.ngram_components(table(spark, rows), k, num, den)) == plain(rows, k, num, den)
 
 
-def test_long_lists_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("pairs", [2, 0])
+def test_long_lists_in_blocks(spark, monkeypatch, pairs):
     """One large family: chains of texts that don't link with its least member, in lists of many blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_SET", pairs)
     monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 4)
     rng = random.Random(7)
     base = [f"w{i}" for i in range(60)]
