@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, html_text, language_id, mixing, near_duplicates, nearest, ngram_join, secret_scan, token_files, toxicity, url_filter
+from . import centroids, decontaminate, html_text, language_id, mixing, near_duplicates, nearest, ngram_join, secret_scan, spelling, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_nearest": nearest.op10_nearest,
         "op11_centroids": centroids.op11_centroids,
         "op12_ngram_join": ngram_join.op12_ngram_join,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE, "op11_centroids": centroids.ORACLE, "op12_ngram_join": ngram_join.ORACLE}
+    return {"op3_url_filter": url_filter.ORACLE, "op11_centroids": centroids.ORACLE, "op12_ngram_join": ngram_join.ORACLE, "op13_spelling": spelling.ORACLE}
