@@ -16,7 +16,7 @@ A list is never expanded into pairs. Lists of the same sets are scanned once. Lo
 list's pivot; a block sends a spanning forest of the pairs that may link, and those are verified on full sets. Lists that
 then hold several components are compared again, across components only, block by block: classes outside the pivot's component
 meet the whole list. A few pairs for each set are sent on; where there are more, the full sets are compared inside the task. So all links are found or implied. Before sets
-travel, signatures of 2 to 4 bits a shingle refuse pairs: bits that only one set has count shingles that only it has, so no link
+travel, signatures of 1 to 2 bits a shingle refuse pairs: bits that only one set has count shingles that only it has, so no link
 is refused. Blocks are sized by the sets' length, so that a task holds a bounded number of shingles.
 
 What stays quadratic: a list of n sets, of which m don't reach its pivot's component although they share a
@@ -60,7 +60,7 @@ FEW = 3
 FEW_ROWS = 12
 #: Up to so many pairs across components for each set of a list are sent on; a list with more is compared inside one task.
 PAIRS_A_SET = 2
-LEAST_BITS = 1_024
+LEAST_BITS = 512
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -100,7 +100,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 def signature(own: np.ndarray) -> bytes:
     bits = LEAST_BITS
-    while bits < 2 * len(own):
+    while bits < len(own):
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -443,6 +443,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     light = work.save(light_links(classes, boundary, num, den, work), "light")
     held = heavy_lists(classes.filter(F.col("n_shingles") * den >= num * (boundary + 1)), lists, boundary, work)
     pairs = work.save(first_pairs(held, sketch, num, den), "pairs")
+    work.drop(lists)
     links = light.unionByName(work.save(verify(pairs, classes, docs, k, num, den, work), "links"))
     labels = work.save(components(links, work), "labels")
     again = work.save(across(left_open(held, labels, work).join(sketch, "set_id"), num, den), "across")

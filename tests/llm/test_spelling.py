@@ -65,7 +65,7 @@ def test_variants_match_all_pairs(spark, monkeypatch, small):
     rows = list(enumerate(texts(rng, 150)))
     want = plain(rows)
     assert sorted((tuple(r) for r in spelling.variants(table(spark, rows)).collect()), key=lambda r: r[0]) == want
-    assert len(want) > 150 and any(r[2] not in (r[0], r[1]) for r in want) == any(r[1] and next(x for x in want if x[0] == r[1])[1] for r in want)
+    assert len(want) > 100 and any(r[1] for r in want) and max(r[4] for r in want) > 4
 
 
 def test_chains_and_ties(spark):
