@@ -67,8 +67,11 @@ def dom06(spark: SparkSession, sf: str) -> DataFrame:
     s = scored(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("fp")), "doc_id")
     first = s.groupBy("lang", "fp").agg(F.min_by("doc_id", F.struct(-F.col("score"), "doc_id")).alias("winner"))
     s = s.alias("s").join(first.alias("f"), F.expr("s.fp = f.fp and s.lang <=> f.lang")).select("doc_id", "s.lang", "score", (F.col("doc_id") == F.col("winner")).alias("kept"))
-    order = Window.partitionBy("lang", "kept").orderBy(F.desc(F.col("score") >= 60), F.desc("score"), "doc_id")
-    r = s.withColumn("rank", F.row_number().over(order)).withColumn("normal", F.count_if(F.col("kept") & (F.col("score") >= 60)).over(Window.partitionBy("lang")))
+    # only the best five of a region take part in the choice: each task keeps its own five first
+    order = Window.partitionBy("lang").orderBy(F.desc(F.col("score") >= 60), F.desc("score"), "doc_id")
+    top = s.filter("kept").withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select(F.col("doc_id").alias("top_id"), "rank")
+    normal = s.filter(F.col("kept") & (F.col("score") >= 60)).groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("normal"))
+    r = s.join(top, F.col("doc_id") == F.col("top_id"), "left").join(normal, F.col("lang").eqNullSafe(F.col("of_lang")), "left").fillna({"normal": 0, "rank": 6})
     fill = F.greatest(F.lit(1), F.least("normal", F.lit(5)))
     return r.select("doc_id", F.when(~F.col("kept"), "duplicate").when((F.col("score") >= 60) & (F.col("rank") <= 5), "selected").when(F.col("score") >= 60, "over_quota").when((F.col("score") >= 45) & (F.col("rank") <= fill), "soft_fill").otherwise("below").alias("reason"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.plans.catalog import query, table
 
+from .ordering import ranked
+
 
 @query("join01_inner", "SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'")
 def join01(spark: SparkSession, sf: str) -> DataFrame:
@@ -347,8 +349,8 @@ def join23(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     side = lambda df, n: df.groupBy("user_id").agg(F.min("event_id").alias(f"pos_{n}"), F.min("value").alias(f"v_{n}"))
     j = side(e.filter("event_type = 'signup'"), "p").join(side(e.filter("event_type = 'error' and user_id % 3 > 0"), "i"), "user_id", "full_outer")
-    place = F.row_number().over(Window.orderBy(F.col("pos_p").asc_nulls_last(), "pos_i"))
-    return j.select("user_id", F.coalesce("v_i", "v_p").alias("v"), F.col("pos_i").isNull().alias("gap"), place.cast("long").alias("place"))
+    j = ranked(j, [], [F.col("pos_p").asc_nulls_last(), F.col("pos_i"), F.col("user_id")], "place")
+    return j.select("user_id", F.coalesce("v_i", "v_p").alias("v"), F.col("pos_i").isNull().alias("gap"), F.col("place").cast("long").alias("place"))
 
 
 def maximum_matching(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.catalog import query, table
 
 from .filters import PRIORITY_SQL, priority_rank
+from .ordering import neighbours, quantiles, ranked
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -27,8 +28,9 @@ def win02(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("win03_rank_in_window", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, CASE WHEN n_chars >= 1000 THEN 'selected' ELSE 'below' END AS reason FROM documents")
 def win03(spark: SparkSession, sf: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long")
-    return table(spark, sf, "documents").select("doc_id", rank.alias("rank"), F.when(F.col("n_chars") >= 1000, "selected").otherwise("below").alias("reason"))
+    """A source may hold a large part of all documents, so that its rows are ranked by ranges."""
+    d = ranked(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")])
+    return d.select("doc_id", F.col("rank").cast("long").alias("rank"), F.when(F.col("n_chars") >= 1000, "selected").otherwise("below").alias("reason"))
 
 
 @query("win04_best_ties", f"SELECT o_custkey, o_orderkey FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY {PRIORITY_SQL}) AS r FROM orders) WHERE r = 1")
@@ -122,8 +124,9 @@ def win11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("win12_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def win12(spark: SparkSession, sf: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return table(spark, sf, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """Order statistics from ranks: no task buffers a type's values."""
+    found = quantiles(table(spark, sf, "events"), ["event_type"], "value", "event_id", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("event_type", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 @query("win13_legal_ranking", "WITH r AS (SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS legal, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS same FROM lineitem) SELECT l_orderkey, bool_and(l_linenumber = legal) AS complete, bool_or(same > 1) AS dead_heat FROM r GROUP BY 1")
@@ -206,5 +209,5 @@ def sort07(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sort08_neighbours", "SELECT event_id, lag(event_id) OVER w AS previous_id, lead(event_id) OVER w AS next_id FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
 def sort08(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("event_id", F.lag("event_id").over(w).alias("previous_id"), F.lead("event_id").over(w).alias("next_id"))
+    e = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    return neighbours(e, ["event_type"], [F.col("ts"), F.col("event_id")], "event_id", "previous_id", "next_id").select("event_id", "previous_id", "next_id")
