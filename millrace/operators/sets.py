@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.plans.catalog import query, table
 
+from .ordering import stored
+
 
 @query("set01_union", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
 def set01(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,17 +57,45 @@ def descendants(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 @query("graph02_cycle_paths", "WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 50 AS b FROM part WHERE p_partkey < 50), w(start, k, path, n) AS (SELECT a, b, a::VARCHAR || '>' || b::VARCHAR, 1 FROM e UNION ALL SELECT w.start, e.b, path || '>' || e.b::VARCHAR, n + 1 FROM w JOIN e ON e.a = w.k WHERE w.k <> w.start AND n < 12) SELECT start, min(path) AS path FROM w WHERE k = start GROUP BY 1")
 def graph02(spark: SparkSession, sf: str) -> DataFrame:
     """Ways back over the edges of all parts; as no edge leads to a part from 50 on, the SQL's cut has the same rows."""
-    return cycle_paths(table(spark, sf, "part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 50).alias("b")), 12)
-
-
-def cycle_paths(e: DataFrame, most: int) -> DataFrame:
-    """(start, path): the least way by edges (a, b) from each node back to itself, of at most so many edges; a walk stops at its first return."""
-    walk = e.select(F.col("a").alias("start"), F.col("b").alias("k"), F.concat_ws(">", F.col("a").cast("string"), F.col("b").cast("string")).alias("path"))
-    back = walk.filter("k = start")
-    for _ in range(most - 1):
-        walk = walk.filter("k <> start").join(e, F.col("k") == F.col("a")).select("start", F.col("b").alias("k"), F.concat_ws(">", "path", F.col("b").cast("string")).alias("path"))
-        back = back.unionByName(walk.filter("k = start"))
-    return back.groupBy("start").agg(F.min("path").alias("path"))
+    found = shortest_cycles(table(spark, sf, "part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 50).alias("b")))
+    return found.select("start", F.array_join(F.transform("path", lambda k: k.cast("string")), ">").alias("path"))
+
+
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """(start, path): the shortest way by edges (a, b) from each node back to itself, as an array from start to start.
+
+    All starts are searched at once, a level of edges in each step, until none has new nodes. Each start's nodes are visited
+    once, with the node they were reached from, the least of several; a start that has closed isn't searched further. Paths
+    are put together backwards from those predecessors. An edge from a node to itself is the path [a, a].
+    """
+    e = stored(edges.filter("a is not null and b is not null").distinct())
+    levels: list[DataFrame] = []
+    level = e.filter("a <> b").select(F.col("a").alias("start"), F.col("b").alias("node"), F.col("a").alias("before"))
+    closed = e.filter("a = b").select(F.col("a").alias("start"), F.col("a").alias("last"))
+    level = stored(level.join(closed.select("start"), "start", "left_anti"))
+    while not level.isEmpty():
+        levels.append(level)
+        back = level.join(e, (F.col("node") == F.col("a")) & (F.col("start") == F.col("b"))).groupBy("start").agg(F.min("node").alias("last"))
+        closed = stored(closed.unionByName(back))
+        ahead = level.join(closed.select("start"), "start", "left_anti").join(e, F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg(F.min("a").alias("before"))
+        for seen in levels:
+            ahead = ahead.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        level = stored(ahead)
+    reached = closed.select("start", F.col("last").alias("node"), F.array("start").alias("path"))
+    for seen in reversed(levels):  # a node's predecessor lies one level before; shorter cycles end at an earlier level
+        step = reached.join(seen, ["start", "node"], "left")
+        reached = stored(step.select("start", F.coalesce("before", "node").alias("node"), F.when(F.col("before").isNotNull(), F.concat(F.array("node"), "path")).otherwise(F.col("path")).alias("path")))
+    return reached.select("start", F.concat(F.array("start"), "path").alias("path"))
+
+
+@query("graph02_relation_cycles")
+def graph02_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Shortest cycles among all parts, each with two relations into its block of 50 keys."""
+    k, block = F.col("p_partkey"), F.floor(F.col("p_partkey") / 50) * 50
+    p = table(spark, sf, "part")
+    edges = p.select(k.alias("a"), ((k * 7 + 3) % 50 + block).alias("b")).unionByName(p.select(k.alias("a"), ((k * 3 + F.col("p_size")) % 50 + block).alias("b")))
+    found = shortest_cycles(edges)
+    return found.select("start", (F.size("path") - 1).cast("long").alias("n_edges"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("graph03_follow_expansion", "WITH RECURSIVE f AS (SELECT c_custkey AS who, c_custkey % 100 + 1 AS k FROM customer), d(who, k, n) AS (SELECT who, k, 0 FROM f UNION ALL SELECT who, p.p_partkey, n + 1 FROM d JOIN part p ON p.p_partkey // 2 = d.k AND p.p_partkey <> d.k WHERE n < 2) SELECT who, count(DISTINCT l.l_orderkey) AS n_items FROM d JOIN lineitem l ON l.l_partkey = d.k GROUP BY 1")
