@@ -3,6 +3,6 @@
 from millrace.functions import domain, measures, text, timeops, udfs, values  # noqa: F401
 from millrace.operators import aggregates, filters, fuzzy, joins, sets, windows  # noqa: F401
 from millrace.sources import files  # noqa: F401
-from millrace.streaming import ledgers, replay  # noqa: F401
+from millrace.streaming import leases, ledgers, replay  # noqa: F401
 
 from .catalog import ORACLES, QUERIES  # noqa: F401
