@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,10 +121,24 @@ def src12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, most: int) -> DataFrame:
-    """df, refused if it has more than `most` rows; reads most + 1 rows at the most to find out."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows")
-    return df
+    """df, written once and read again, refused if it has more than `most` rows.
+
+    One scan: the rows are counted while they are written. A task that meets more rows than allowed fails at once, so that no
+    task writes more than `most`; what several tasks have together is known at the end.
+    """
+    message = f"more than {most} rows"
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    checked = df.filter(F.when(place >= most, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
+    seen, path = Observation(), f"{scratch(df.sparkSession)}/bounded"
+    try:
+        checked.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    except PySparkException as e:
+        if message in str(e):
+            raise ValueError(message) from None
+        raise
+    if seen.get["n"] > most:
+        raise ValueError(message)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @query("src13_bounded_scan", "SELECT s_suppkey FROM supplier WHERE s_nationkey = 3")
