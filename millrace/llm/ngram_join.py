@@ -16,7 +16,7 @@ A list is never expanded into pairs. Lists of the same sets are scanned once. Lo
 list's pivot; a block sends a spanning forest of the pairs that may link, and those are verified on full sets. Lists that
 then hold several components are compared again, across components only, block by block: classes outside the pivot's component
 meet the whole list. A few pairs for each set are sent on; where there are more, the full sets are compared inside the task. So all links are found or implied. Before sets
-travel, signatures of 1 to 2 bits a shingle refuse pairs: bits that only one set has count shingles that only it has, so no link
+travel, signatures of 2 to 4 bits a shingle refuse pairs: bits that only one set has count shingles that only it has, so no link
 is refused. Blocks are sized by the sets' length, so that a task holds a bounded number of shingles.
 
 What stays quadratic: a list of n sets, of which m don't reach its pivot's component although they share a
@@ -60,7 +60,7 @@ FEW = 3
 FEW_ROWS = 12
 #: Up to so many pairs across components for each set of a list are sent on; a list with more is compared inside one task.
 PAIRS_A_SET = 2
-LEAST_BITS = 512
+LEAST_BITS = 1_024
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -100,7 +100,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 def signature(own: np.ndarray) -> bytes:
     bits = LEAST_BITS
-    while bits < len(own):
+    while bits < 2 * len(own):
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -199,7 +199,7 @@ def light_links(classes: DataFrame, boundary: int, num: int, den: int, work: Wor
     return keys.join(ties, ["one", "two"]).filter("set_id <> least").select(F.least("least", "set_id").alias("a"), F.greatest("least", "set_id").alias("b")).distinct()
 
 
-def heavy_lists(classes: DataFrame, lists: DataFrame, boundary: int, work: Workspace) -> DataFrame:
+def heavy_lists(classes: DataFrame, lists: DataFrame, boundary: int, num: int, den: int, work: Workspace) -> DataFrame:
     """(grp, set_id, n, pivot, most): the inverted lists of shingles that several sets have in their prefix, by size class.
 
     grp is a list's part of one size class and the next; most, the size of its largest set, is beyond the boundary. Of
@@ -220,11 +220,13 @@ def heavy_lists(classes: DataFrame, lists: DataFrame, boundary: int, work: Works
     low = F.explode(F.array(F.col("cls"), F.col("cls") - 1))
     parts = postings.join(lists.select("token"), "token").select("set_id", "size", "cls", "token", low.alias("low")).select("set_id", "size", (F.col("low") == F.col("cls")).alias("is_low"), F.xxhash64("token", "low").alias("grp"))
     parts = work.save(parts, "lists")
-    sums = parts.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.min("set_id").alias("pivot"), F.max("size").alias("most"), F.bool_or("is_low").alias("low"))
-    once = sums.filter((F.col("n") > 1) & F.col("low") & (F.col("most") > boundary)).groupBy("n", "mark", "pivot", "most").agg(F.min("grp").alias("grp"))
+    sums = parts.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.min("set_id").alias("pivot"), F.max("size").alias("most"), F.min("size").alias("least"), F.bool_or("is_low").alias("low"))
+    # two sets of a list are a pair, whose sizes tell already whether it can link
+    fits = (F.col("n") > 2) | (F.col("least") * den >= F.col("most") * num)
+    once = sums.filter((F.col("n") > 1) & F.col("low") & (F.col("most") > boundary) & fits).groupBy("n", "mark", "pivot", "most").agg(F.min("grp").alias("grp"))
     once = work.save(once.drop("mark"), "once")
     held = work.save(parts.select("grp", "set_id").join(once, "grp"), "held")
-    work.drop(parts)
+    work.drop(parts, once)
     return held
 
 
@@ -441,7 +443,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     sizes = dict(classes.filter(F.col("n_shingles") <= MOST_LIGHT).groupBy("n_shingles").count().collect())  # MOST_LIGHT rows at most
     boundary = boundary_of(sizes, mean, num, den)
     light = work.save(light_links(classes, boundary, num, den, work), "light")
-    held = heavy_lists(classes.filter(F.col("n_shingles") * den >= num * (boundary + 1)), lists, boundary, work)
+    held = heavy_lists(classes.filter(F.col("n_shingles") * den >= num * (boundary + 1)), lists, boundary, num, den, work)
     pairs = work.save(first_pairs(held, sketch, num, den), "pairs")
     work.drop(lists)
     links = light.unionByName(work.save(verify(pairs, classes, docs, k, num, den, work), "links"))
