@@ -61,6 +61,8 @@ FEW_ROWS = 12
 #: Up to so many pairs across components for each set of a list are sent on; a list with more is compared inside one task.
 PAIRS_A_SET = 2
 LEAST_BITS = 1_024
+#: Bytes of text handed to numpy at once.
+SLICE = 4 << 20
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -82,7 +84,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
         names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             texts = as_strings(batch.column(0))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE):
                 sets = {s.tobytes(): s for s in shingle_sets(texts.slice(a, b - a), k)}
                 own, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 names, at = np.unique(np.concatenate((names, own)), return_inverse=True)
@@ -118,7 +120,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         names, ranks = held.value
         for batch in batches:
             texts = as_strings(batch.column(2))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE):
                 sets = list(shingle_sets(texts.slice(a, b - a), k))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 tokens = np.concatenate(sets)
@@ -437,6 +439,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     base = work.save(prefixes(docs, k, num, den), "prefixes")
     kinds = base.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("doc_key").alias("doc_key"), *[F.first(c).alias(c) for c in ("n_shingles", "prefix", "signature", "cls", "tokens")])
     classes = work.save(kinds.withColumn("set_id", F.monotonically_increasing_id()), "classes")  # a number is given once, when it is written
+    rows = work.save(base.select("doc_id", "n_shingles", "digest"), "rows")
+    work.drop(base)  # prefixes and signatures are in classes
     sketch = classes.select("set_id", "n_shingles", "signature")
     lists = work.save(classes.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1"), "tokens")
     mean = lists.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).cast("double")).first()[0] or 1.0
@@ -461,7 +465,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     named = work.save(classes.select("set_id", "digest", "least").join(labels, F.col("set_id") == F.col("node"), "left").select("digest", "least", F.coalesce("label", "set_id").alias("label")), "named")
     least = work.save(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     by_class = work.save(named.join(least, "label").select("digest", "component_id"), "components")
-    out = base.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    out = rows.join(by_class, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
