@@ -12,7 +12,8 @@ Copies: blobs are reduced map-side before their text is shuffled, so a blob that
 share travels once a task. The join back is salted, so that such a blob's paths don't meet in one task.
 
 Edge cases: null text counts as empty; a row without findings keeps zero counts and empty span strings;
-repeated rows each get their findings; extra columns are ignored.
+repeated rows each get their findings; extra columns are ignored. Texts are scanned whole, and no rule reads a
+character more than a few times, however long the text and whatever it repeats.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SALTS = 32
 class Rule:
     """Leftmost non-overlapping matches of `pattern` whose `group` has `at_least` characters.
 
-    kind orders spans that start together (the place in the rule list); base rules feed the digest columns.
+    The place of the kind in the rule list orders spans that start together; base rules feed the digest columns.
     """
 
     kind: str
@@ -55,12 +56,38 @@ BASE_RULES = (
 #: Further public credential formats, added to the base spans.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, base=False),
+    # starts where a word starts and gives nothing back: a text is read once, whatever it repeats
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 0, base=False),
 )
-SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
+SPAN = "array<struct<start:int,kind:string,stop:int>>"
+#: Numbers that running sums are folded over at a time.
+RUN = 128
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
+def running(numbers: Column) -> Column:
+    """Running sums of an array: within runs of RUN numbers, then over the runs, so that no array grows by one number a step."""
+    none = F.array().cast("array<int>")
+
+    def sums(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), none.alias("list"))
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["list"], F.array(acc["sum"] + x)).alias("list"))
+        return F.aggregate(values, start, step, lambda acc: acc["list"])
+
+    def shifted(runs: Column) -> Column:
+        ends = F.transform(runs, F.array_max)  # no number is below 0: the largest sum is the last
+        before = F.zip_with(sums(ends), ends, lambda through, own: through - own)
+        return F.flatten(F.zip_with(runs, before, lambda run, b: F.transform(run, lambda v: v + b)))
+
+    def of(a: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUN).cast("int")), lambda i: sums(F.slice(a, i * RUN + 1, RUN)))
+        return bound(runs, shifted)
+
+    # a lambda's parameter is computed once, an expression inside a lambda once an element
+    bound = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    return F.when(F.size(numbers) == 0, none).otherwise(bound(numbers, of))
+
+
+def spans(text: Column, rule: Rule) -> Column:
     """The rule's spans in code points, end exclusive.
 
     `split` and `regexp_extract_all` walk the same matches, so the gaps that split leaves and the matches
@@ -70,17 +97,12 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.length(g))
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.length(m))
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda m: F.length(m)) if rule.group else whole
-    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("size"), kept.alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(acc: Column, m: Column) -> Column:
-        at = acc["at"] + m["gap"]
-        stop = at + F.coalesce(m["size"], F.lit(0))
-        one = F.struct(at.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
-        found = F.when(F.coalesce(m["kept"] >= rule.at_least, F.lit(False)), F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
-        return F.struct(stop.alias("at"), found.alias("found"))
-
-    return F.when(F.regexp_like(text, pattern), F.aggregate(zipped, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+    # the last gap has no match after it
+    steps = F.zip_with(gaps, whole, lambda gap, size: gap + F.coalesce(size, F.lit(0)))
+    zipped = F.arrays_zip(running(steps).alias("stop"), whole.alias("size"), kept.alias("kept"))
+    held = F.filter(zipped, lambda m: F.coalesce(m["kept"] >= rule.at_least, F.lit(False)))
+    found = F.transform(held, lambda m: F.struct((m["stop"] - m["size"]).alias("start"), F.lit(rule.kind).alias("kind"), m["stop"].alias("stop")))
+    return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def address(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -99,9 +121,9 @@ def scan_blobs(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule,
         blobs = blobs.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
         blobs = blobs.filter(~F.forall(F.array(*[F.lit(r.version) for r in rules]), lambda v: F.array_contains(F.col("done"), v)))
     columns = []
-    for rank, rule in enumerate(rules):
-        found = spans(F.col("text"), rule, rank)
-        columns.append((found if ledger is None else F.when(~F.array_contains("done", rule.version), found)).alias(f"f{rank}"))
+    for k, rule in enumerate(rules):
+        found = spans(F.col("text"), rule)
+        columns.append((found if ledger is None else F.when(~F.array_contains("done", rule.version), found)).alias(f"f{k}"))
     scanned = blobs.select("blob", *columns)
     pairs = F.explode(F.array(*[F.struct(F.lit(r.version).alias("rule"), F.col(f"f{k}").alias("found")) for k, r in enumerate(rules)]))
     return scanned.select("blob", pairs.alias("p")).select("blob", "p.rule", "p.found").filter("found is not null")
@@ -131,7 +153,10 @@ class Ledger:
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], keys: list[str], text: str = "text") -> DataFrame:
     """keys, blob and `found` (all spans of the rules, by start and then kind) of every version."""
     wanted = ledger.filter(F.col("rule").isin([r.version for r in rules]) & (F.size("found") > 0))
-    by_blob = wanted.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))  # one row a rule at most
+    # the order of kinds is that of the rules asked for now, not of those that some run scanned with
+    ranked = F.transform("found", lambda s: F.struct(s["start"], F.array_position(F.array(*[F.lit(r.kind) for r in rules]), s["kind"]).alias("rank"), s["kind"], s["stop"]))
+    by_blob = wanted.select("blob", ranked.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))  # one row a rule at most
+    by_blob = by_blob.withColumn("found", F.transform("found", lambda s: F.struct(s["start"], s["kind"], s["stop"])))
     # salted: paths of one blob, however many, are dealt to SALTS tasks; only blobs with findings are repeated
     salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS))
     by_blob = by_blob.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
