@@ -10,7 +10,7 @@ fitting rule string wins; between equal lengths the longer host, then `block`.
 
 Edge cases: a null url, or one without `://`, has empty host and path and no rule. Extra columns are
 kept out of the result. An empty rule list allows everything. Repeated rules count once; a rule string
-given with both verdicts blocks.
+given with both verdicts blocks. A url of any length is judged whole, in time and memory that grow with its length.
 """
 
 from __future__ import annotations
@@ -42,18 +42,18 @@ class Ranges:
 
 
 class DigestArray:
-    """The rules as one flat byte string: counts, path lengths, digests, offsets, hosts' lengths, verdicts, strings."""
+    """The rules as one flat byte string: counts, path lengths, hosts' label counts, digests, offsets, hosts' lengths, verdicts, strings."""
 
     def __init__(self, raw: np.ndarray | Ranges):
-        n, n_lengths = raw[0:16].view("<i8").tolist()
-        at = 16
+        n, n_lengths, n_labels = raw[0:24].view("<i8").tolist()
+        at = 24
 
         def part(size: int, kind: str) -> np.ndarray:
             nonlocal at
             at += size
             return raw[at - size : at].view(kind)
 
-        self.lengths = part(8 * n_lengths, "<i8").tolist()
+        self.lengths, self.labels = part(8 * n_lengths, "<i8").tolist(), part(8 * n_labels, "<i8").tolist()
         self.digests, self.offsets, self.hosts, self.block = part(8 * n, "<u8"), part(8 * (n + 1), "<i8"), part(8 * n, "<i8"), part(n, "u1")
         self.raw, self.start = raw, at
 
@@ -67,10 +67,10 @@ class DigestArray:
             kept[host, path] = kept.get((host, path), False) or verdict == "block"
         rows = sorted((xxhash.xxh64_intdigest((h + p).encode()), (h + p).encode(), len(h.encode()), b) for (h, p), b in kept.items())
         strings = [r[1] for r in rows]
-        lengths = sorted({len(p) for _, p in kept})
+        lengths, labels = sorted({len(p) for _, p in kept}), sorted({h.count(".") + 1 for h, _ in kept})
         return b"".join((
-            np.array([len(rows), len(lengths)], "<i8").tobytes(),
-            np.array(lengths, "<i8").tobytes(),
+            np.array([len(rows), len(lengths), len(labels)], "<i8").tobytes(),
+            np.array(lengths + labels, "<i8").tobytes(),
             np.array([r[0] for r in rows], "<u8").tobytes(),
             np.concatenate(([0], np.cumsum([len(s) for s in strings]))).astype("<i8").tobytes(),
             np.array([r[2] for r in rows], "<i8").tobytes(),
@@ -106,11 +106,22 @@ class DigestArray:
         return found
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[bytes, int]]:
-    """Rule keys that could fit: each domain suffix with each path prefix of a length that rules have."""
-    parts = host.split(".")
-    suffixes = [".".join(parts[i:]) for i in range(len(parts))]
-    return [((s + path[:n]).encode(), len(s.encode())) for s in suffixes for n in lengths if n <= len(path)]
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[tuple[bytes, int]]:
+    """Rule keys that could fit: each domain suffix of as many labels as rules have with each path prefix of a length that rules have.
+
+    Labels are counted from the end, so that a host costs no more than the longest rule, however many dots it has.
+    """
+    out, at, k = [], len(host), 0
+    prefixes = [path[:n] for n in lengths if n <= len(path)]
+    for n in labels:
+        while k < n and at >= 0:
+            at, k = host.rfind(".", 0, at), k + 1
+        if k < n:
+            break  # fewer labels than that
+        suffix = host[at + 1 :]
+        size = len(suffix.encode())
+        out += [((suffix + p).encode(), size) for p in prefixes]
+    return out
 
 
 def _split(url: str | None) -> tuple[str, str]:
@@ -146,7 +157,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
             keys, owner = [], []
             for i, (h, p) in enumerate(split):
                 if h or p:
-                    own = candidates(h, p, array.lengths)
+                    own = candidates(h, p, array.lengths, array.labels)
                     keys += own
                     owner += [i] * len(own)
             best: dict[int, tuple] = {}
@@ -182,8 +193,11 @@ def filter_urls_by_join(pages: DataFrame, rules: DataFrame, default: str = "allo
     lengths = F.array(*[F.lit(r["n"]) for r in rules.select(F.length("path").alias("n")).distinct().collect()]).cast("array<int>")
     urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("uid"))
     urls = work.save(urls, "urls")
-    parts = F.split("host", r"\.", -1)
-    suffixed = urls.filter("host <> '' or path <> ''").select("uid", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("sub"))
+    # and of hosts' labels: a url has no more suffixes than rules have label counts
+    dots = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
+    labels = F.array(*[F.lit(r["n"]) for r in rules.select((dots("host") + 1).alias("n")).distinct().collect()]).cast("array<int>")
+    suffixes = F.transform(F.filter(labels, lambda n: n <= dots("host") + 1), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
+    suffixed = urls.filter("host <> '' or path <> ''").select("uid", "path", F.explode(suffixes).alias("sub"))
     keyed = suffixed.select("uid", F.col("sub").alias("host"), "path", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("n")).select("uid", "host", F.expr("substr(path, 1, n)").alias("path"))
     best = keyed.join(rules, ["host", "path"]).groupBy("uid").agg(F.max(F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"), (1 - F.col("open")).alias("block"), F.concat("host", "path").alias("rule"))).alias("best"))
     out = urls.join(best, "uid", "left")

@@ -57,3 +57,46 @@ def test_classes_inside_an_article_drop_only_what_the_text_is_without():
 def test_empty_table_of_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string, text int")
     assert html_text.extract(empty).count() == 0
+
+
+# --- secrets
+
+
+def test_running_sums(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 127, 128, 129, 700):
+        values = [rng.randrange(9) for _ in range(n)]
+        got = spark.createDataFrame([(values,)], "a array<int>").select(secret_scan.running(F.col("a")).alias("s")).first()["s"]
+        assert got == [sum(values[: i + 1]) for i in range(n)]
+
+
+def test_long_texts_are_scanned_whole(spark):
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    texts = ["eyJ" * 1_000_000, "token=abcdef " * 300_000, "eyJaaaaaaaaa." * 200_000, "password" + " " * 1_000_000, "AKIA" * 300_000]
+    versions = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with within(60):
+        rows = secret_scan.findings_by_path(versions, secret_scan.scan_blobs(versions, None, rules), rules, ["doc_id"]).select("doc_id", F.size("found").alias("n"), F.slice("found", -1, 1).alias("last")).collect()
+    found = {r["doc_id"]: r for r in rows}
+    assert [found[i]["n"] for i in range(5)] == [0, 300_000, 66_666, 0, 1]
+    assert [(s["start"], s["stop"]) for s in found[1]["last"]] == [(13 * 299_999, 13 * 299_999 + 12)]
+
+
+def test_order_of_kinds_is_that_of_the_rules_asked_for(spark):
+    versions = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
+    rules = (secret_scan.Rule("one", "a", 0, 0), secret_scan.Rule("two", "ab", 0, 0))
+    ledger = secret_scan.scan_blobs(versions, None, rules)
+    for asked in (rules, rules[::-1]):
+        assert [s["kind"] for s in secret_scan.findings_by_path(versions, ledger, asked, ["doc_id"]).first()["found"]] == [r.kind for r in asked]
+
+
+# --- urls
+
+
+def test_hosts_of_many_dots(spark):
+    rules = [("block", "a.b", "/"), ("allow", "x.a.b", "/"), ("block", "", "/z"), ("block", "c", "")]
+    urls = ["http://" + "." * 200_000 + "x.a.b/", "http://" + "q." * 100_000 + "a.b/y", "http://" + "." * 100_000 + "/z", "http://b/", "http://a.b", "http://c?" + "." * 100_000]
+    want = ["x.a.b/", "a.b/", "/z", None, None, "c"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    with within(30):
+        for got in (url_filter.filter_urls(pages, rules), url_filter.filter_urls_by_join(pages, spark.createDataFrame(rules, "verdict string, host string, path string"))):
+            assert [r["rule"] for r in got.orderBy("page_id").collect()] == want
