@@ -79,6 +79,9 @@ def running(numbers: Column) -> Column:
         return F.flatten(F.zip_with(runs, before, lambda run, b: F.transform(run, lambda v: v + b)))
 
     def of(a: Column) -> Column:
+        return F.when(F.size(a) <= RUN, sums(a)).otherwise(long(a))
+
+    def long(a: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUN).cast("int")), lambda i: sums(F.slice(a, i * RUN + 1, RUN)))
         return bound(runs, shifted)
 
