@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A text slice handed to numpy at once, in bytes: bounds a Python worker's memory.
@@ -79,6 +81,24 @@ class Workspace:
             pass
 
 
+def letters_only() -> re.Pattern:
+    """Runs of letters. Python's word characters take in numerals such as superscripts, which are no letters."""
+    numerals = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+    return re.compile(rf"[^\W\d_{numerals}]+")
+
+
+def bounded_sample(rows: DataFrame, work: Workspace, key: str, text: str, most: int) -> DataFrame:
+    """The rows, in the order of their keys' hashes, whose texts have `most` characters in all; whole texts only.
+
+    A text of more than a sixteenth of `most` is left out, and those after it count. rows: a bounded sample.
+    """
+    saved = work.save(rows.withColumn("sample_row", F.monotonically_increasing_id()), "sample")
+    order = Window.orderBy(F.xxhash64(key), key, "sample_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = saved.select(key, "sample_row", F.coalesce(F.length(text), F.lit(0)).alias("size")).filter(F.col("size") <= most // 16)
+    held = sized.withColumn("through", F.sum("size").over(order)).filter(F.col("through") <= most)  # a bounded sample's ids and sizes
+    return saved.join(held.select("sample_row"), "sample_row").drop("sample_row")
+
+
 def row_key(*columns: str) -> Column:
     """128 bits that name a row by these columns."""
     part = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")

@@ -1,7 +1,7 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
 Fitting counts words by language over a bounded, hash-chosen sample of the labelled training rows
-(FIT_DOCS rows expected) and, from the distinct words and their counts, character n-grams of lengths 1 to 5. Everything
+(FIT_DOCS rows expected, whole texts, FIT_CHARS characters at most) and, from the distinct words and their counts, character n-grams of lengths 1 to 5. Everything
 is counted on the executors. The model has an entry for every word and n-gram of the sample, however rare: a
 64-bit hash and a number a language, sorted by hash.
 
@@ -13,12 +13,12 @@ the score is the posterior over languages of that mean times min(words, EVIDENCE
 Edge cases: null text and text without a letter give `und` and score 0. A text with letters that no n-gram
 knows gets the most frequent training language and that language's share of the training words. Ties go to
 the smaller language name. Without any training row every text is `und`. Rows repeated in training count
-as often as they occur; extra columns are ignored.
+as often as they occur; extra columns are ignored. Letters are Unicode's: numerals such as a superscript two are none.
+Texts and words of any length are read whole: an unknown word of n letters takes n steps a length of n-grams.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,15 +29,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Workspace, as_strings, read_table, segment_sums, text_slices, white_space_chunks
+from .common import Workspace, as_strings, bounded_sample, letters_only, read_table, segment_sums, text_slices, white_space_chunks
 
 FIT_DOCS = 20_000
+#: Characters of the sample's texts at most: they bound the model that the driver gathers and broadcasts.
+FIT_CHARS = 1 << 28
 LONGEST = 5
 EVIDENCE = 40
 REMEMBERED = 200_000
+REMEMBERED_CHARS = 1 << 24
 #: Distinct words that a fitting task counts before it sends its counts on.
 COUNTED = 40_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = letters_only()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -68,11 +71,29 @@ def _words(labelled: DataFrame) -> DataFrame:
 
 
 def _counts(words: DataFrame) -> DataFrame:
-    """(lang, n, gram, count): words with n 0, and their n-grams."""
-    marked = F.concat(F.lit("<"), "gram", F.lit(">"))
-    none = F.array().cast("array<struct<n:int,gram:string>>")
-    each = [F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.substring(marked, i, F.lit(n)).alias("gram")))).otherwise(none) for n in range(1, LONGEST + 1)]
-    grams = words.select("lang", "count", F.explode(F.concat(*each)).alias("g")).groupBy("lang", "g.n", "g.gram").agg(F.sum("count").alias("count"))
+    """(lang, n, gram, count): words with n 0, and their n-grams, cut from each word once and counted in the task first."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            for lang, word, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                marked = f"<{word}>"
+                for n in range(1, LONGEST + 1):
+                    for a in range(0, len(marked) - n + 1, COUNTED):
+                        for i in range(a, min(a + COUNTED, len(marked) - n + 1)):
+                            held[lang, n, marked[i : i + n]] += count
+                        if len(held) > COUNTED:
+                            yield flush(held)
+                            held = Counter()
+        if held:
+            yield flush(held)
+
+    def flush(held: Counter) -> pa.RecordBatch:
+        lang, n, gram = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(gram, pa.string()), pa.array(held.values(), pa.int64())], ["lang", "n", "gram", "count"])
+
+    cut_up = words.select("lang", "gram", "count").mapInArrow(cut, "lang string, n int, gram string, count long")
+    grams = cut_up.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     return words.select("lang", F.lit(0).alias("n"), "gram", "count").unionByName(grams)
 
 
@@ -82,15 +103,17 @@ class Model:
     def __init__(self, languages: list[str], shares: np.ndarray, keys: list[np.ndarray], rows: list[np.ndarray]):
         self.languages, self.shares, self.keys, self.rows = languages, shares, keys, rows
         self.known: dict[str, int] = {}
+        self.known_chars = 0
         self.sums = np.zeros((0, len(languages) + 2), np.float32)
 
     @staticmethod
-    def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, key: str = "doc_id") -> "Model":
+    def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, key: str = "doc_id", fit_chars: int = FIT_CHARS) -> "Model":
         """labelled: key, text, lang (not null). The sample is chosen by a hash of the key alone."""
         work = Workspace(labelled.sparkSession, "language")
         total = labelled.count()
         if total > fit_docs:
             labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 30)) < int(fit_docs / total * (1 << 30)))
+        labelled = bounded_sample(labelled.select(key, "text", "lang").filter("text <> ''"), work, key, "text", fit_chars)
         counts = work.save(_counts(work.save(_words(labelled), "words")), "counts")
         sums = {(r["n"], r["lang"]): (r["tokens"], r["types"]) for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()}
         languages = sorted({lang for _, lang in sums})
@@ -156,12 +179,14 @@ class Model:
 
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         uniq, at, offsets = white_space_chunks(texts)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known_chars > REMEMBERED_CHARS:
             self.known.clear()
+            self.known_chars = 0
             self.sums = self.sums[:0]
         known = self.known
         if new := [c for c in uniq if c not in known]:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.known_chars += sum(map(len, new))
             self.sums = np.concatenate([self.sums, self.chunks(new)])
         number = np.fromiter((known[c] for c in uniq), np.int64, len(uniq))
         width = len(self.languages) + 2

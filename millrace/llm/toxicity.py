@@ -31,10 +31,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_strings, read_table, text_slices, white_space_chunks
+from .common import Workspace, as_strings, bounded_sample, read_table, text_slices, white_space_chunks
 from .language_id import held_out
 
 FIT_DOCS = 8_000
@@ -204,10 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars:
         marked = marked.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < int(fit_docs / total * (1 << 30)))
     chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * fit_docs))  # at most 2 * FIT_DOCS rows of 12 bytes
     # of rows that share a doc_id one counts
-    rows = work.save(docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "sample")
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = rows.select("doc_id", F.sum(F.length("text")).over(order).alias("chars"))  # 2 * FIT_DOCS rows at most
-    held = rows.join(F.broadcast(sized.filter(F.col("chars") <= fit_chars).select("doc_id")), "doc_id").toPandas().sort_values("doc_id")  # fit_chars characters at most
+    rows = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    held = bounded_sample(rows, work, "doc_id", "text", fit_chars).toPandas().sort_values("doc_id")  # fit_chars characters at most
     return Model.fit(held["text"].tolist(), held["toxic"].to_numpy() > 0)
 
 

@@ -1,14 +1,14 @@
 """Very long and broken input: every operator reads it whole, in time that grows with its length."""
 
 import random
-import re
 import time
 from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import html_text, language_id, secret_scan, url_filter
+from millrace.llm import html_text, language_id, secret_scan, toxicity, url_filter
+from millrace.llm.common import Workspace, bounded_sample
 
 
 @contextmanager
@@ -100,3 +100,57 @@ def test_hosts_of_many_dots(spark):
     with within(30):
         for got in (url_filter.filter_urls(pages, rules), url_filter.filter_urls_by_join(pages, spark.createDataFrame(rules, "verdict string, host string, path string"))):
             assert [r["rule"] for r in got.orderBy("page_id").collect()] == want
+
+
+# --- languages and toxicity
+
+
+def test_one_word_of_a_million_letters(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghij") for _ in range(1_000_000))
+    rows = [(1, long, "xx"), (2, "the cat and the dog", "en"), (3, "der hund und die katze", "de")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with within(60):
+        model = language_id.Model.fit(labelled)
+        asked = spark.createDataFrame([(1, long[:500_000] + "zz"), (2, "the dog"), (3, "die und")], "doc_id long, text string")
+        assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(asked, model, "doc_id").collect()} == {1: "xx", 2: "en", 3: "de"}
+
+
+def test_ngrams_are_counted_as_one_by_one(spark):
+    words = [("en", "abcab", 3), ("en", "b", 1), ("de", "\U0001d4b3y", 2), ("de", "abcab", 5)]
+    want = {}
+    for lang, word, n in words:
+        want[lang, 0, word] = n
+        for k in range(1, language_id.LONGEST + 1):
+            for g in language_id.grams(word, k):
+                want[lang, k, g] = want.get((lang, k, g), 0) + n
+    got = language_id._counts(spark.createDataFrame(words, "lang string, gram string, count long")).collect()
+    assert {(r["lang"], r["n"], r["gram"]): r["count"] for r in got} == want and len(got) == len(want)
+
+
+def test_numerals_are_no_letters(spark):
+    model = language_id.Model.fit(spark.createDataFrame([(1, "one two", "en")], "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "²½ Ⅷ ① ٣ 12_"), (2, "²a½")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language_id.predict(asked, model, "doc_id").collect()} == {1: ("und", False), 2: ("en", True)}
+    assert language_id.LETTERS.findall("x²日本Ⅷé") == ["x", "日本", "é"]
+
+
+def test_sample_leaves_out_only_the_text_that_is_too_long(spark):
+    rows = [(i, "x" * (1000 if i == 7 else 10)) for i in range(40)] + [(None, "x" * 10), (3, "x" * 10)]
+    held = bounded_sample(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "test"), "doc_id", "text", 1600)
+    assert sorted(r["doc_id"] for r in held.collect() if r["doc_id"] is not None) == sorted([*[i for i in range(40) if i != 7], 3])
+    few = bounded_sample(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "test"), "doc_id", "text", 200)
+    assert few.count() == 20
+
+
+def test_toxicity_fits_beside_a_text_that_is_too_long(spark):
+    rng = random.Random(4)
+    plain, bad = ["calm", "river", "stone", "light", "green"], ["vileness", "scumbag", "hateful"]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(30)) + (" " + " ".join(bad) * 3 if i % 2 else "")) for i in range(200)] + [(200, "z " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(201)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, fit_chars=1 << 20)
+    got = toxicity.score_documents(docs.filter("doc_id < 200").unionByName(spark.createDataFrame([(None, None), (300, "")], docs.schema)), model).collect()
+    assert len(got) == 202 and all(0 <= r["score"] <= 1 for r in got)
+    mean = lambda k: sum(r["score"] for r in got if r["doc_id"] is not None and r["doc_id"] < 200 and r["doc_id"] % 2 == k) / 100
+    assert mean(1) > mean(0)
