@@ -6,6 +6,7 @@ import difflib
 import re
 import unicodedata
 from decimal import Decimal
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,6 +124,68 @@ def str10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", swapped("text").alias("text"))
 
 
+def normal_offsets(text: str) -> tuple[str, list[int], list[int]]:
+    """The text in NFKC, and for each of its characters where the piece of the original that it comes from starts and stops.
+
+    A piece is a character with what may combine with it: marks, the vowels and finals of Hangul, and half-width voice marks, which
+    only become marks by normalisation. Pieces are normalised alone, and their results are the whole text's NFKC; starts and
+    stops never fall. Where pieces give another text (none is known), the whole text is one piece.
+    """
+    if text.isascii():
+        return text, list(range(len(text))), list(range(1, len(text) + 1))
+    normal = unicodedata.normalize("NFKC", text)
+    cuts = [i for i, c in enumerate(text) if i == 0 or not _joins(c)] + [len(text)]
+    out, starts, stops = [], [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        piece = unicodedata.normalize("NFKC", text[a:b])
+        out.append(piece)
+        starts += [a] * len(piece)
+        stops += [b] * len(piece)
+    if "".join(out) != normal:
+        return normal, [0] * len(normal), [len(text)] * len(normal)
+    return normal, starts, stops
+
+
+def _joins(c: str) -> bool:
+    """Whether a character can become one with what stands before it."""
+    if c < "\u0300":
+        return False
+    first = unicodedata.normalize("NFKD", c)[0]
+    return unicodedata.combining(first) != 0 or "\u1161" <= first <= "\u1175" or "\u11a8" <= first <= "\u11c2" or unicodedata.category(first) == "Mc"
+
+
+def replace_normalised(text: str, pattern: re.Pattern, values: dict[str, str]) -> str:
+    """Replaces what the pattern finds in the case-folded NFKC text, in the text as it was written.
+
+    Characters whose folded form is longer keep their own form, so that offsets hold. A match that ends within a piece takes the whole piece.
+    """
+    normal, starts, stops = normal_offsets(text)
+    folded = "".join(f if len(f := c.casefold()) == 1 else c for c in normal)
+    spans, end = [], 0
+    for m in pattern.finditer(folded):
+        if m.end() > m.start() and starts[m.start()] >= end:
+            end = stops[m.end() - 1]
+            spans.append((starts[m.start()], end, values[m[0]]))
+    parts, at = [], 0
+    for start, stop, value in spans:
+        parts += [text[at:start], value]
+        at = stop
+    return "".join([*parts, text[at:]])
+
+
+@query("str10_normalised_replacement")
+def str10_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms replaced however they are written: full-width, composed or in other case; all else stays as it was."""
+    pattern = re.compile(r"\b(the|with|and|für|été)\b")
+    values = TERMS | {"für": "<T4>", "été": "<T5>"}
+
+    @F.pandas_udf("string")
+    def swapped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda v: v and replace_normalised(v, pattern, values))
+
+    return docs(spark, sf).select("doc_id", swapped("text").alias("text"))
+
+
 @query("str11_protect_restore", "SELECT doc_id, text AS restored, len(regexp_extract_all(text, '[0-9]+')) AS n_protected FROM documents")
 def str11(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers become placeholders in order and come back: parts between and parts protected, zipped again."""
@@ -136,16 +199,20 @@ def str11(spark: SparkSession, sf: str) -> DataFrame:
 # English number words, scales, months and currencies.
 NUMBER_WORDS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(20)))
 TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10)))
-SCALES = {"hundred": 100, "thousand": 1_000, "million": 10**6, "billion": 10**9, "万": 10**4, "億": 10**8, "亿": 10**8}
+SCALES = {"hundred": 100, "thousand": 1_000, "million": 10**6, "billion": 10**9, "trillion": 10**12, "dozen": 12, "万": 10**4, "億": 10**8, "亿": 10**8}
 MONTHS = {m: k for k, m in enumerate("january february march april may june july august september october november december".split(), 1)} | {m: k for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "円": "JPY", "usd": "USD", "eur": "EUR", "gbp": "GBP", "jpy": "JPY", "dollars": "USD", "euros": "EUR", "pounds": "GBP", "yen": "JPY"}
+PARTS = {"half": 2, "halves": 2, "third": 3, "thirds": 3, "quarter": 4, "quarters": 4, "fifth": 5, "fifths": 5, "sixth": 6, "sixths": 6, "eighth": 8, "eighths": 8, "tenth": 10, "tenths": 10}
 _WORDS = "|".join([*NUMBER_WORDS, *TENS])
+_PARTS = "|".join(sorted(PARTS, key=len, reverse=True))
 _SCALE = "|".join(SCALES)
 QUANTITY = re.compile(
     rf"(?P<clock>\b(?:[01]?\d|2[0-3]):[0-5]\d\b(?:\s*[ap]m\b)?)"
     rf"|(?P<cjk_month>\b(?:1[0-2]|[1-9])月)"
-    rf"|(?P<sign>[$€£¥])?\s*(?P<digits>\d+(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(?P<percent>%)?(?P<scale>(?:\s*(?:{_SCALE})\b|[万億亿])*)\s*(?P<unit>円|\b(?:usd|eur|gbp|jpy|dollars|euros|pounds|yen)\b)?"
-    rf"|\b(?P<words>(?:{_WORDS})(?:[\s-]+(?:{_WORDS}|hundred|thousand|million|billion|and(?=[\s-]+(?:{_WORDS}))))*)\b(?:\s+(?P<word_unit>usd|eur|gbp|jpy|dollars|euros|pounds|yen)\b)?"
+    rf"|(?P<slashed>(?:\b\d+\s+)?\d+⁄\d+)"
+    rf"|\b(?:(?P<whole>{_WORDS})\s+and\s+)?(?P<share>a|{_WORDS})[\s-]+(?P<part>{_PARTS})\b"
+    rf"|(?:(?P<minus>(?<![\w.,%)])[-−+](?=[\d$€£¥])|\b(?:minus|negative)\s)\s*)?(?:(?P<sign>[$€£¥])\s*)?(?P<digits>\d+(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(?P<percent>%)?(?P<scale>(?:\s*(?:{_SCALE})\b|[万億亿])*)\s*(?P<unit>円|\b(?:usd|eur|gbp|jpy|dollars|euros|pounds|yen)\b)?"
+    rf"|\b(?:(?P<negative>minus|negative)\s+)?(?P<words>(?:{_WORDS}|dozen)(?:[\s-]+(?:{_WORDS}|hundred|thousand|million|billion|trillion|dozen|and(?=[\s-]+(?:{_WORDS}))))*)\b(?:\s+(?P<word_unit>usd|eur|gbp|jpy|dollars|euros|pounds|yen)\b)?"
     rf"|\b(?P<month>{'|'.join(sorted(MONTHS, key=len, reverse=True))})\.?(?=\s+\d)"
 )
 
@@ -167,9 +234,11 @@ def quantities(text: str | None) -> list[str]:
     """Canonical tokens of a text's quantities: numbers with scales, money, clock times, months and percentages.
 
     Full-width forms are folded, thousands separators dropped; equal quantities give equal tokens however they are written.
+    Signs count where no word or number stands before them. A fraction is a number where decimals can write it, else `fraction:n/d`.
     """
     out = []
-    for m in QUANTITY.finditer(unicodedata.normalize("NFKC", text or "").lower()):
+    apart = re.sub(r"(?<=\d)(?=[¼½¾⅐-⅞])", " ", text or "")  # NFKC would join 2½ to 21⁄2
+    for m in QUANTITY.finditer(unicodedata.normalize("NFKC", apart).lower()):
         g = m.groupdict()
         if g["clock"]:
             hour, minute = (int(x) for x in re.findall(r"\d+", g["clock"]))
@@ -180,16 +249,38 @@ def quantities(text: str | None) -> list[str]:
             out.append(f"month:{int(g['cjk_month'][:-1])}")
         elif g["month"]:
             out.append(f"month:{MONTHS[g['month']]}")
+        elif g["slashed"] or g["part"]:
+            out += _fraction(g)
         else:
             value = Decimal(spelled(re.split(r"[\s-]+", g["words"]))) if g["words"] else Decimal(g["digits"].replace(",", ""))
             for scale in re.findall(_SCALE, g["scale"] or ""):
                 value *= SCALES[scale]
+            if g["negative"] or (g["minus"] or "+") != "+":
+                value = -value
             money = CURRENCIES.get(g["sign"] or g["unit"] or g["word_unit"] or "")
             kind = f"money:{money}" if money else "percent" if g["percent"] else "number"
             out.append(f"{kind}:{value.normalize():f}")
     return out
 
 
+def _fraction(g: dict[str, str | None]) -> list[str]:
+    if g["slashed"]:
+        *whole, ratio = g["slashed"].split()
+        top, bottom = (int(x) for x in ratio.split("⁄"))
+        if not bottom:
+            return [f"number:{w}" for w in (*whole, str(top), "0")]
+        value = Fraction(top, bottom) + (int(whole[0]) if whole else 0)
+    else:
+        value = Fraction(1 if g["share"] == "a" else spelled([g["share"]]), PARTS[g["part"]]) + (spelled([g["whole"]]) if g["whole"] else 0)
+    rest = value.denominator
+    for prime in (2, 5):
+        while rest % prime == 0:
+            rest //= prime
+    if rest > 1:
+        return [f"fraction:{value.numerator}/{value.denominator}"]
+    return [f"number:{(Decimal(value.numerator) / Decimal(value.denominator)).normalize():f}"]
+
+
 @query("str12_number_multiset")
 def str12(spark: SparkSession, sf: str) -> DataFrame:
     """Multisets of canonical quantities, as equivalence checks compare them."""
@@ -198,8 +289,8 @@ def str12(spark: SparkSession, sf: str) -> DataFrame:
     def found(values: pd.Series) -> pd.Series:
         return values.map(quantities)
 
-    # most texts have no quantity: what can't hold one doesn't go to Python
-    maybe = F.col("text").rlike(rf"(?i)[\p{{Nd}}\p{{No}}]|\b({_WORDS})\b")
+    # most texts have no quantity: what can't hold one doesn't go to Python; letters of compatibility forms may spell one
+    maybe = F.col("text").rlike(rf"(?i)[\p{{Nd}}\p{{No}}\x{{FF21}}-\x{{FF5A}}\x{{2100}}-\x{{214F}}\x{{24B6}}-\x{{24E9}}\x{{1D400}}-\x{{1D7CB}}]|\b({_WORDS}|dozen|a[\s-]+({_PARTS}))\b")
     t = docs(spark, sf).filter(maybe).select("doc_id", F.explode(found("text")).alias("token"))
     return t.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 

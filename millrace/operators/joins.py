@@ -201,6 +201,47 @@ def join15(spark: SparkSession, sf: str) -> DataFrame:
     return occurrences(docs, surfaces).select(F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_spans"), F.transform("spans", lambda s: s["surface"]).alias("surfaces"))
 
 
+def term_states(texts: DataFrame, terms: DataFrame, evidence: DataFrame, common: list[str]) -> DataFrame:
+    """(id, start, stop, surface, term_id, state) of every surface found in the texts, once all evidence is weighed.
+
+    texts: id, text. terms: surface, term_id, registry (a formal entry; else an alias), reviewed. evidence: id, term_id of terms
+    that the text is known to be about. A surface that registry entries have is read as one of those, aliases of the same surface aside.
+    What is left decides, in this order: several terms conflict, unless evidence names exactly one of them; a term with evidence
+    is confirmed; a common word without evidence and an alias that nobody reviewed are uncertain; anything else is confirmed.
+    A conflict has no term_id. Surfaces are compared in lower case; null and empty ones are found nowhere.
+    """
+    own = terms.filter("surface <> '' and term_id is not null").select(F.lower("surface").alias("surface"), "term_id", F.coalesce("registry", F.lit(False)).alias("registry"), F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
+    own = own.groupBy("surface", "term_id").agg(F.bool_or("registry").alias("registry"), F.bool_or("reviewed").alias("reviewed"))
+    formal = F.bool_or("registry").over(Window.partitionBy("surface"))
+    own = own.withColumn("formal", formal).filter(F.col("registry") | ~F.col("formal"))
+    found = occurrences(texts, own.select("surface")).select("id", F.explode("spans").alias("s")).select("id", "s.start", "s.stop", "s.surface")
+    # one row a text and surface: a surface's terms meet its texts, not each of its places
+    pairs = found.select("id", "surface").distinct().join(own, "surface").join(evidence.select("id", "term_id").distinct().withColumn("backed", F.lit(True)), ["id", "term_id"], "left")
+    backed = F.coalesce("backed", F.lit(False))
+    one = pairs.groupBy("id", "surface").agg(F.count("*").alias("n"), F.count_if(backed).alias("n_backed"), F.min("term_id").alias("only"), F.min(F.when(backed, F.col("term_id"))).alias("named"), F.bool_and("reviewed").alias("reviewed"), F.bool_or("registry").alias("registry"))
+    state = (
+        F.when((F.col("n") > 1) & (F.col("n_backed") != 1), "conflict")
+        .when(F.col("n_backed") == 1, "confirmed")
+        .when(F.col("surface").isin([c.lower() for c in common]), "uncertain")
+        .when(~F.col("registry") & ~F.col("reviewed"), "uncertain")
+        .otherwise("confirmed")
+    )
+    judged = one.select("id", "surface", F.when(state != "conflict", F.coalesce("named", "only")).alias("term_id"), state.alias("state"))
+    return found.join(judged, ["id", "surface"]).select("id", "start", "stop", "surface", "term_id", "state")
+
+
+@query("join15_term_states")
+def join15_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names as registry entries, their words as aliases (reviewed from size 25 on), the part of a text's number as its evidence."""
+    part = table(spark, sf, "part")
+    entries = part.select(F.col("p_name").alias("surface"), F.col("p_partkey").alias("term_id"), F.lit(True).alias("registry"), F.lit(True).alias("reviewed"))
+    aliases = part.select(F.explode(F.split("p_name", " ")).alias("surface"), F.col("p_partkey").alias("term_id"), F.lit(False).alias("registry"), (F.col("p_size") >= 25).alias("reviewed"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    evidence = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("term_id"))
+    found = term_states(texts, entries.unionByName(aliases), evidence, ["small", "large", "the", "with"])
+    return found.groupBy(F.col("id").alias("doc_id"), "surface", "term_id", "state").agg(F.count("*").alias("n"))
+
+
 @query("join16_fuzzy_best", "WITH c AS (SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b, 1 - levenshtein(a.s_name, b.s_name)::DOUBLE / greatest(length(a.s_name), length(b.s_name)) AS sim FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) SELECT id_a, id_b, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY sim DESC, id_b) AS k FROM c WHERE sim >= 0.88) WHERE k = 1")
 def join16(spark: SparkSession, sf: str) -> DataFrame:
     """Best match by similarity within a block key; the length bound prunes before the distance is computed."""

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,17 +76,41 @@ def src07(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and broken ones with their text."""
-    held = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return held.filter("_bad is null").drop("_bad"), held.filter("_bad is not null").select("_bad")
+    """Good rows, and broken lines as (file, line, _bad): the file's name, the line's number from 1 and its text.
 
-
-@query("src08_json_lines", "SELECT event_id, event_type, value FROM events WHERE event_id % 3 = 0")
+    A blank line is no row and not broken. A line's number is its place in its split, which the task knows, and the lines of
+    the file's splits before, one count a split: no file is numbered by one task.
+    """
+    parsed = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    held = lines.withColumn("row", F.when(F.trim("value") != "", parsed))
+    broken = held.filter("row._bad is not null").select("file", "split", "place", "value")
+    splits = lines.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
+    numbered = broken.join(splits.withColumn("before", before), ["file", "split"])
+    bad = numbered.select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), F.col("value").alias("_bad"))
+    return held.filter("row is not null and row._bad is null").select("row.*").drop("_bad"), bad
+
+
+def _event_lines(spark: SparkSession, sf: str, broken: Column) -> str:
+    """The events as JSON lines, those that `broken` marks cut off before their end."""
+    path = scratch(spark) + "/lines"
+    line = F.to_json(F.struct("event_id", "event_type", "value"))
+    table(spark, sf, "events").select(F.when(broken, F.regexp_replace(line, "}$", "")).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query("src08_json_lines", "SELECT event_id, event_type, value FROM events WHERE event_type IS DISTINCT FROM 'error'")
 def src08(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark)
-    rows = table(spark, sf, "events").filter("event_id % 3 = 0").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value"))
-    rows.unionByName(spark.createDataFrame([("{broken",)], "value string")).write.text(path + "/lines")
-    return read_json_lines(spark, path + "/lines", "event_id long, event_type string, value double")[0]
+    return read_json_lines(spark, _event_lines(spark, sf, F.col("event_type") == "error"), "event_id long, event_type string, value double")[0]
+
+
+@query("src08_broken_lines", "SELECT event_id, CAST(1 AS BIGINT) AS n FROM events WHERE event_type = 'error'")
+def src08_broken(spark: SparkSession, sf: str) -> DataFrame:
+    """Each broken line once, under a number of its own within its file."""
+    bad = read_json_lines(spark, _event_lines(spark, sf, F.col("event_type") == "error"), "event_id long, event_type string, value double")[1]
+    event = F.regexp_extract("_bad", '"event_id":([0-9]+)', 1).cast("long")
+    return bad.groupBy(event.alias("event_id")).agg(F.count_distinct("file", "line").alias("n"))
 
 
 def decode(raw: bytes) -> tuple[str, str]:
