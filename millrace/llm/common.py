@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import re
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,10 +80,15 @@ class Workspace:
             pass
 
 
-def letters_only() -> re.Pattern:
-    """Runs of letters. Python's word characters take in numerals such as superscripts, which are no letters."""
-    numerals = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-    return re.compile(rf"[^\W\d_{numerals}]+")
+WORD_CHARACTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters. Python's word characters take in numerals such as superscripts, which are no letters and end a run."""
+    runs = WORD_CHARACTERS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [x for run in runs for x in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def bounded_sample(rows: DataFrame, work: Workspace, key: str, text: str, most: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Workspace, as_strings, bounded_sample, letters_only, read_table, segment_sums, text_slices, white_space_chunks
+from .common import Workspace, as_strings, bounded_sample, letter_runs, read_table, segment_sums, text_slices, white_space_chunks
 
 FIT_DOCS = 20_000
 #: Characters of the sample's texts at most: they bound the model that the driver gathers and broadcasts.
@@ -40,7 +40,6 @@ REMEMBERED = 200_000
 REMEMBERED_CHARS = 1 << 24
 #: Distinct words that a fitting task counts before it sends its counts on.
 COUNTED = 40_000
-LETTERS = letters_only()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -55,7 +54,7 @@ def _words(labelled: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
+                held.setdefault(lang, Counter()).update(letter_runs((text or "").lower()))
             if sum(map(len, held.values())) > COUNTED:
                 yield from flush(held)
                 held = {}
@@ -169,7 +168,7 @@ class Model:
 
     def chunks(self, chunks: list[str]) -> np.ndarray:
         """A row a chunk: sums by language over its words, then the numbers of scored words and of words."""
-        found = [LETTERS.findall(c.lower()) for c in chunks]
+        found = [letter_runs(c.lower()) for c in chunks]
         uniq = {w: i for i, w in enumerate(dict.fromkeys(w for x in found for w in x))}
         value, scored = self.words(list(uniq))
         owner = np.repeat(np.arange(len(chunks)), [len(x) for x in found])

@@ -132,7 +132,7 @@ def test_numerals_are_no_letters(spark):
     model = language_id.Model.fit(spark.createDataFrame([(1, "one two", "en")], "doc_id long, text string, lang string"))
     asked = spark.createDataFrame([(1, "²½ Ⅷ ① ٣ 12_"), (2, "²a½")], "doc_id long, text string")
     assert {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language_id.predict(asked, model, "doc_id").collect()} == {1: ("und", False), 2: ("en", True)}
-    assert language_id.LETTERS.findall("x²日本Ⅷé") == ["x", "日本", "é"]
+    assert language_id.letter_runs("x²日本Ⅷé") == ["x", "日本", "é"]
 
 
 def test_sample_leaves_out_only_the_text_that_is_too_long(spark):
