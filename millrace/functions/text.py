@@ -389,14 +389,6 @@ def str18(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.posexplode(html_blocks("html")).alias("pos", "block"))
 
 
-@query("str19_body_selection")
-def str19(spark: SparkSession, sf: str) -> DataFrame:
-    """The first of several containers that a page has, cut out natively, then its blocks and a status."""
-    body = F.coalesce(*[F.nullif(F.regexp_extract("html", rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit("")) for tag in ("article", "main", "body")])
-    b = table(spark, sf, "pages").select("page_id", html_blocks(F.coalesce(body, F.lit(""))).alias("blocks"))
-    return b.select("page_id", F.array_join("blocks", "\n").alias("text"), F.when(F.size("blocks") == 0, "empty").otherwise("ok").alias("status"))
-
-
 @query("str20_paragraph_rules", "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), k AS (SELECT *, pos = 1 AND length(line) < 60 AS lead, contains(line, 'http') AND NOT contains(line, ' ') AS url FROM p) SELECT doc_id, count(*) FILTER (WHERE lead) AS dropped_lead, count(*) FILTER (WHERE url AND NOT lead) AS dropped_url, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lead AND NOT url), '') AS text FROM k GROUP BY 1")
 def str20(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraph rules in place, without exploding: short first lines and bare links go, counted by rule."""

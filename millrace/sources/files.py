@@ -60,13 +60,6 @@ def src05(spark: SparkSession, sf: str) -> DataFrame:
     return c.filter(F.greatest(*[F.col("text").contains(k) for k in ("the", "de ", "und")])).select("conv_id", "turn").distinct()
 
 
-@query("src06_outer_merge", "SELECT coalesce(a.k, b.k) AS k, a.q, b.p FROM (SELECT l_orderkey AS k, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) a FULL JOIN (SELECT l_orderkey AS k, count(*) AS p FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) b ON a.k = b.k")
-def src06(spark: SparkSession, sf: str) -> DataFrame:
-    i = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k")
-    a = i.filter("l_linenumber <= 3").groupBy("k").agg(F.sum("l_quantity").cast("long").alias("q"))
-    return a.join(i.filter("l_linenumber > 3").groupBy("k").agg(F.count("*").alias("p")), "k", "full_outer")
-
-
 @query("src07_observation_struct", "SELECT l_orderkey, count(*) AS runners, sha256(string_agg(l_linenumber || '-' || l_partkey, ',' ORDER BY l_linenumber, l_partkey)) AS digest FROM lineitem GROUP BY 1")
 def src07(spark: SparkSession, sf: str) -> DataFrame:
     """Normalised observation: an ordered array of runner structs and its digest."""
