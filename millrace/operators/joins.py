@@ -430,10 +430,15 @@ def join24(spark: SparkSession, sf: str) -> DataFrame:
     return maximum_matching(e)
 
 
-@query("join25_expected_columns", "SELECT v.name AS name, v.name IN ('doc_id','text','lang','source','n_chars') AS present FROM (VALUES ('doc_id'), ('text'), ('region')) v(name)")
+@query("join25_expected_columns", "SELECT v.name AS name, f.n IS NOT NULL AS present, coalesce(f.n, 0) AS n_filled FROM (VALUES ('doc_id'), ('text'), ('lang'), ('region')) v(name) LEFT JOIN (SELECT 'doc_id' AS name, count(doc_id) AS n FROM documents UNION ALL SELECT 'text', count(nullif(trim(text), '')) FROM documents UNION ALL SELECT 'lang', count(nullif(trim(lang), '')) FROM documents) f ON f.name = v.name")
 def join25(spark: SparkSession, sf: str) -> DataFrame:
-    found = spark.createDataFrame([(c,) for c in table(spark, sf, "documents").columns], "name string").withColumn("present", F.lit(True))
-    return spark.sql("SELECT * FROM VALUES ('doc_id'), ('text'), ('region') AS v(name)").join(found, "name", "left").fillna(False, ["present"])
+    """Expected columns against those of a table: whether each is there, and its rows with a value, in one scan of the columns asked for."""
+    d, expected = table(spark, sf, "documents"), ("doc_id", "text", "lang", "region")
+    found = [c for c in d.columns if c in expected]
+    filled = d.agg(*[F.count(F.nullif(F.trim(c), F.lit("")) if d.schema[c].dataType.simpleString() == "string" else F.col(c)).alias(c) for c in found])
+    counts = filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in found])).alias("f")).select("f.*")
+    wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, expected))).alias("name"))
+    return wanted.join(counts, "name", "left").select("name", F.col("n").isNotNull().alias("present"), F.coalesce("n", F.lit(0)).alias("n_filled"))
 
 
 @query(

@@ -268,18 +268,22 @@ def workbook(rows: list[list[str]]) -> bytes:
     return held.getvalue()
 
 
-@query("src10_review_sheet", "SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation WHERE n_regionkey = 1")
+@query("src10_review_sheet", "SELECT p_partkey::VARCHAR AS key, p_name AS name FROM part WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL")
 def src10(spark: SparkSession, sf: str) -> DataFrame:
-    """A review sheet written and read again; one file is one row of a binary scan."""
-    rows = [[str(r[0]), r[1]] for r in table(spark, sf, "nation").filter("n_regionkey = 1").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(1000).collect()]
-    files = spark.createDataFrame([(bytearray(workbook([["key", "name"], *rows])),)], "content binary")
+    """Review sheets of a thousand keys each, written by the tasks and read again; one sheet is one row, as in a binary scan."""
+    cells = F.sort_array(F.collect_list(F.struct("p_partkey", "p_name")))
+    keyed = table(spark, sf, "part").filter("p_partkey is not null and p_name is not null").groupBy(F.floor(F.col("p_partkey") / 1000).alias("sheet")).agg(cells.alias("cells"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"content": [workbook([["key", "name"], *[[str(c["p_partkey"]), c["p_name"]] for c in cells]]) for cells in f["cells"]]})
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for content in f["content"]:
                 yield pd.DataFrame(sheet_rows(bytes(content))[1:], columns=["key", "name"])
 
-    return files.mapInPandas(run, "key string, name string")
+    return keyed.select("cells").mapInPandas(write, "content binary").mapInPandas(read, "key string, name string")
 
 
 def pdf_text(content: bytes) -> str:
@@ -296,20 +300,31 @@ def pdf_text(content: bytes) -> str:
     return "\n".join(out)
 
 
-@query("src11_pdf_text", "SELECT * FROM (VALUES ('First line' || chr(10) || 'Second (line)')) v(text)")
-def src11(spark: SparkSession, sf: str) -> DataFrame:
-    """Text lines of a PDF given as bytes."""
+def pdf(line: str) -> bytes:
+    """A page that shows one line of Latin-1 text, in two pieces."""
+    import re
     import zlib
 
-    stream = zlib.compress(rb"BT (First line) Tj ET BT [(Second ) -20 (\(line\))] TJ ET")
-    page = b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode /Length " + str(len(stream)).encode() + b" >>\nstream\n" + stream + b"\nendstream endobj"
-    files = spark.createDataFrame([(bytearray(page),)], "content binary")
+    half = len(line) // 2
+    first, second = (re.sub(rb"([\\()])", rb"\\\1", x.encode("latin-1")) for x in (line[:half], line[half:]))
+    stream = zlib.compress(b"BT [(" + first + b") -20 (" + second + b")] TJ ET")
+    return b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode /Length " + str(len(stream)).encode() + b" >>\nstream\n" + stream + b"\nendstream endobj"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"text": [pdf_text(bytes(b)) for b in f["content"]]})
 
-    return files.mapInPandas(run, "text string")
+@query("src11_pdf_text", "SELECT c_custkey, c_name || ' (' || c_mktsegment || ')' AS text FROM customer")
+def src11(spark: SparkSession, sf: str) -> DataFrame:
+    """Text of a PDF for each customer, whose name and segment it shows."""
+
+    @F.pandas_udf("binary")
+    def shown(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda v: None if v is None else pdf(v))
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda v: None if v is None else pdf_text(bytes(v)))
+
+    line = F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))
+    return table(spark, sf, "customer").select("c_custkey", read(shown(line)).alias("text"))
 
 
 @query("src21_delivery_ledger", "SELECT event_id, 'mail' AS channel, 'sent' AS status FROM events WHERE event_type = 'error' AND user_id % 5 = 0")
