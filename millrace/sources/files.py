@@ -120,16 +120,21 @@ def decode(raw: bytes) -> tuple[str, str]:
     return best[0], best[1]
 
 
-@query("src09_charset_csv", "SELECT * FROM (VALUES ('id,name', 0), ('1,東京', 1), ('2,大阪', 2)) v(line, pos)")
+@query("src09_charset_csv", "SELECT s_suppkey, s_suppkey::VARCHAR AS id, '競馬のニュース、東京 ' || s_name AS name FROM supplier")
 def src09(spark: SparkSession, sf: str) -> DataFrame:
-    """CSV of unknown charset, decoded in Arrow batches; the split is native."""
-    raw = spark.createDataFrame([(bytearray("id,name\n1,東京\n2,大阪".encode("shift_jis")),)], "content binary")
+    """A CSV file's bytes for each supplier, in one of two charsets that the reader isn't told: decoded in Arrow batches, parsed natively."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"text": [decode(bytes(b))[1] for b in f["content"]]})
+    @F.pandas_udf("binary")
+    def written(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([t.encode("shift_jis" if k % 2 else "utf-8-sig") for t, k in zip(texts, keys, strict=True)])
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda v: decode(bytes(v))[1])
 
-    return raw.mapInPandas(run, "text string").select(F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("line", "pos")
+    text = F.concat(F.lit("id,name\n"), F.col("s_suppkey").cast("string"), F.lit(",競馬のニュース、東京 "), "s_name")
+    lines = table(spark, sf, "supplier").filter("s_suppkey is not null and s_name is not null").select("s_suppkey", F.explode(F.slice(F.split(read(written(text, "s_suppkey")), "\n"), 2, 1 << 30)).alias("line"))
+    return lines.select("s_suppkey", F.from_csv("line", "id string, name string").alias("r")).select("s_suppkey", "r.id", "r.name")
 
 
 @query("src12_table_scan", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders")
