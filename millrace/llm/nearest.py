@@ -18,6 +18,11 @@ are asked in few leaves, and vectors without structure in as many as the recall
 Neighbouring leaves of a tree lie together in cells of about CELL vectors, cut by a hash where a cell is larger;
 a task holds the vectors of one cell part and streams the queries that chose leaves of it. Scores are computed in
 double precision on the original vectors, each keeps its `top` + 1 best ids, and lists are merged by query.
+Cells are asked in rounds, and a query brings to each the worst score of its full list, its floor; a cell names only ids
+that reach it. The first tree's rounds take layers of the vectors, chosen by a hash: CELL vectors, then each three times as
+many as all before, so that about 3 * `top` of a layer reach the floor whatever its size; the other trees, which mostly find
+the same vectors again, follow in one round. So the rows that cells make grow with the queries and the logarithm of the
+vectors, and lists are the same as if every cell had sent its best.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part; fewer candidates than `top` gives them all; rows that repeat a vec_id count as one neighbour, at their
@@ -156,43 +161,69 @@ def search(table: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
         _split_on(classes, forest, lift)
     sent = spark.sparkContext.broadcast(forest)  # TREES * 2^MOST_LEVELS numbers at most
     budget = _budget(classes, part_of(queries, MEASURED, n_queries), sent, lift, top, target)
-    shift = max(0, int(math.log2(max(1, cell / (n / (1 << forest.levels))))))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lifted = lift(_matrix(batch.column(0)))
-            for t in range(TREES):
-                at = sent.value.route(lifted, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at >> shift), pa.array(at), *batch.columns], ["tree", "cell", "leaf", "v", "ids"])
+    v = f"array<{v_type(queries)}>"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each tree of which the query takes leaves."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 own = batch.slice(lo, 256)
-                row, tree, cells, leaves = [], [], [], []
+                row, tree, leaves = [], [], []
                 for i, x in enumerate(_matrix(own.column(1))):
-                    chosen: dict[tuple[int, int], list[int]] = {}
+                    chosen: dict[int, list[int]] = {}
                     for k, (t, at) in enumerate(sent.value.order(np.append(x, 0.0))):
                         if k == budget:
                             break
-                        chosen.setdefault((t, at >> shift), []).append(at)
+                        chosen.setdefault(t, []).append(at)
                     row += [i] * len(chosen)
-                    tree += [t for t, _ in chosen]
-                    cells += [c for _, c in chosen]
+                    tree += chosen
                     leaves += chosen.values()
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(cells, pa.int64()), own.column(0).take(pa.array(row, pa.int64())), own.column(1).take(pa.array(row, pa.int64())), pa.array(leaves, pa.list_(pa.int64()))], ["tree", "cell", "q", "v", "leaves"])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), own.column(0).take(at), own.column(1).take(at), pa.array(leaves, pa.list_(pa.int64()))], ["tree", "q", "v", "leaves"])
 
-    v = f"array<{v_type(queries)}>"
-    vectors = classes.select("v", "ids").mapInArrow(index, f"tree int, cell long, leaf long, v {v}, ids array<long>")
-    # cells that ties or thin medians made larger than a task should hold are cut by a hash
-    large = vectors.groupBy("tree", "cell").count().filter(F.col("count") > 2 * cell).select("tree", "cell", F.ceil(F.col("count") / cell).alias("parts"))
-    large = work.save(large, "large")
-    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    taken = work.save(queries.mapInArrow(ask, f"tree int, q long, v {v}, leaves array<long>"), "taken")
     none = lambda kind: F.lit(None).cast(kind)
-    held = vectors.join(large, ["tree", "cell"], "left").select("tree", "cell", F.pmod(F.xxhash64("v"), parts).alias("part"), F.lit(0).alias("kind"), "leaf", none("long").alias("q"), "v", "ids")
-    sought = queries.mapInArrow(ask, f"tree int, cell long, q long, v {v}, leaves array<long>").join(large, ["tree", "cell"], "left")
-    sought = sought.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("tree", "cell", "part", F.lit(1).alias("kind"), none("long").alias("leaf"), "q", "v", F.col("leaves").alias("ids"))
-    dealt = held.unionByName(sought).repartition("tree", "cell", "part").sortWithinPartitions("tree", "cell", "part", "kind", "leaf")
+
+    def dealt(members: DataFrame, trees: list[int], size: float, best: DataFrame | None) -> DataFrame:
+        """The cells of these members (v, ids; about `size`) in these trees, each with the queries that ask it."""
+        shift = min(forest.levels, max(0, int(math.log2(max(1, cell / (size / (1 << forest.levels)))))))
+
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lifted = lift(_matrix(batch.column(0)))
+                for t in trees:
+                    at = sent.value.route(lifted, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at >> shift), pa.array(at), *batch.columns], ["tree", "cell", "leaf", "v", "ids"])
+
+        def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    own = batch.slice(lo, 256)
+                    row, cells, leaves = [], [], []
+                    for i, found in enumerate(own.column(3).to_pylist()):
+                        found = np.sort(np.array(found, np.int64))
+                        first = np.append(0, np.flatnonzero(np.diff(found >> shift)) + 1)
+                        row += [i] * len(first)
+                        cells += (found[first] >> shift).tolist()
+                        leaves += np.split(found, first[1:])
+                    at = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_arrays([own.column(0).take(at), pa.array(cells, pa.int64()), own.column(1).take(at), own.column(2).take(at), own.column(4).take(at), pa.array(leaves, pa.list_(pa.int64()))], ["tree", "cell", "q", "v", "floor", "leaves"])
+
+        vectors = members.select("v", "ids").mapInArrow(index, f"tree int, cell long, leaf long, v {v}, ids array<long>")
+        # cells that ties or thin medians made larger than a task should hold are cut by a hash
+        large = vectors.groupBy("tree", "cell").count().filter(F.col("count") > 2 * cell).select("tree", "cell", F.ceil(F.col("count") / cell).alias("parts"))
+        large = work.save(large, "large")
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        held = vectors.join(large, ["tree", "cell"], "left").select("tree", "cell", F.pmod(F.xxhash64("v"), parts).alias("part"), F.lit(0).alias("kind"), "leaf", none("long").alias("q"), "v", "ids", none("double").alias("floor"))
+        asking = taken.filter(F.col("tree").isin(trees))
+        if best is None:
+            asking = asking.withColumn("floor", F.lit(float("-inf")))
+        else:
+            full = best.groupBy("q").agg(F.min("score").alias("floor"), F.count("*").alias("found")).filter(F.col("found") > top).select("q", "floor")
+            asking = asking.join(full, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        sought = asking.select("tree", "q", "v", "leaves", "floor").mapInArrow(by_cell, f"tree int, cell long, q long, v {v}, floor double, leaves array<long>").join(large, ["tree", "cell"], "left")
+        sought = sought.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("tree", "cell", "part", F.lit(1).alias("kind"), none("long").alias("leaf"), "q", "v", F.col("leaves").alias("ids"), "floor")
+        return held.unionByName(sought).repartition("tree", "cell", "part").sortWithinPartitions("tree", "cell", "part", "kind", "leaf")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a cell part lie together, its vectors (by leaf) before its queries."""
@@ -213,9 +244,20 @@ def search(table: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
                 for lo in range(0, b - a, 256):
                     yield ready.best(own.slice(lo, 256), top + 1)
 
-    found = dealt.mapInArrow(rank, "q long, id long, score double")
-    best = found.groupBy("q", "id").agg(F.max("score").alias("score"))
-    best = best.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("k") <= top + 1)
+    # where the layers of the first tree end, as shares of all vectors
+    ends = [0.0, *[share for k in range(MOST_LEVELS) if (share := cell * 4**k / n) < 1], 1.0]
+    place = F.pmod(F.xxhash64(F.lit("layer"), "v"), F.lit(1 << 30)) / (1 << 30)
+    rounds = [(classes.filter((place >= a) & (place < b)), [0], (b - a) * n) for a, b in zip(ends[:-1], ends[1:], strict=True)] + [(classes, list(range(1, TREES)), n)]
+    best = None
+    for members, trees, size in rounds:
+        found = dealt(members, trees, size, best).mapInArrow(rank, "q long, id long, score double")
+        both = found if best is None else found.unionByName(best)
+        scored = both.groupBy("q", "id").agg(F.max("score").alias("score"))
+        now = work.save(scored.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("k") <= top + 1).drop("k"), "best")
+        if best is not None:
+            work.drop(best)
+        best = now
+    work.drop(taken)
     listed = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "id"))).alias("near"))
     named = queries.join(listed, "q").select("v", "near")
     out = asked.join(named, "v").select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, top).alias("near"))
@@ -232,7 +274,7 @@ class _Cell:
         self.ids, self.first = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
 
     def best(self, queries: pa.RecordBatch, most: int) -> pa.RecordBatch:
-        """(q, id, score) of each query's best ids in the leaves it chose, ties by id."""
+        """(q, id, score) of each query's best ids in the leaves it chose, ties by id; none that its floor exceeds."""
         q = _matrix(queries.column("v"))
         chosen = queries.column("ids")
         owner = np.repeat(np.arange(len(q)), chosen.value_lengths().to_numpy())
@@ -243,7 +285,7 @@ class _Cell:
         mask[owner[hit], at[hit]] = True
         scores = np.where(mask[:, self.column], q @ self.x.T, -np.inf)
         k = min(most, scores.shape[1])
-        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        least = np.maximum(-np.partition(-scores, k - 1, axis=1)[:, k - 1], queries.column("floor").to_numpy())
         names = queries.column("q").to_pylist()
         out: list[list[np.ndarray]] = [[], [], []]
         for i in range(len(q)):
