@@ -150,7 +150,9 @@ def grow(classes: DataFrame, threshold: float, trees: int, work: Workspace) -> D
         chosen = lambda j: F.element_at("tokens", (F.pmod(F.xxhash64(F.lit(j), "node"), F.lit(COORDS)) + 1).cast("int"))
         two = F.pmod(F.xxhash64(F.lit("two"), "node"), F.lit(1000)) < extra
         children = F.when(two, F.array(F.xxhash64(F.lit(0), "node", chosen(0)), F.xxhash64(F.lit(1), "node", chosen(1)))).otherwise(F.array(F.xxhash64(F.lit(0), "node", chosen(0))))
-        nodes = large.select("node", "set_id", "n").join(classes.select("set_id", "tokens"), "set_id").select("set_id", F.explode(children).alias("node"), F.col("n").alias("parent_n"))
+        children = large.select("node", "set_id", "n").join(classes.select("set_id", "tokens"), "set_id").select("set_id", F.explode(children).alias("node"), F.col("n").alias("parent_n"))
+        nodes = work.save(children, f"children{level}")  # the next level reads them twice: they are joined and made once
+        saved.append(nodes)
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
