@@ -9,12 +9,13 @@
    the class goes for all its pages. Classes of a host are sorted by path. A class's partner is, among the AROUND
    classes before and after it, the one with the longest common path prefix (then the nearer path length, then the
    nearer place) that isn't mostly the same text: near copies of a page say nothing about its template.
-4. The block lines of a page and its partner are aligned by longest common subsequence; lines they share are
-   template and are deleted from `open` blocks.
-5. What is left is `body` and unshared `open` blocks, in page order; if a page has `body` blocks, its `open`
-   blocks are deleted too, shared or not, as the author marked where the article lies.
+4. The block lines of every page and its partner are aligned by longest common subsequence; lines they share are
+   template and are deleted from `open` and `chrome` blocks, and from `body` where all lines of a box (the innermost
+   div or section in the article, of two lines at least) are shared.
+5. Of what is left markup deletes the `chrome` blocks; if a page has `body` blocks, its `open` blocks are deleted
+   too, as the author marked where the article lies.
 
-Shared lines stay in `body`: articles quote and repeat each other, and a line that two articles share is
+Other shared lines stay in `body`: articles quote and repeat each other, and a line that two articles share is
 part of both; README has the figures that led to this.
 
 Differencing works on 64-bit hashes of lines, so that the shuffle by URL carries hashes, not pages; every
@@ -32,6 +33,7 @@ from __future__ import annotations
 import html as references
 import os.path
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -69,7 +71,8 @@ HOLDERS = frozenset("ul ol table dl select tbody".split())
 OPEN, BODY, CHROME = 0, 1, 2
 #: Classes before and after a page, in the order of paths, among which its partner is sought.
 AROUND = 8
-INNER = ["key", "host", "path", "lines", "lengths", "opened", "far", "deleted", "side", "part"]
+BOXES = frozenset("div section".split())
+INNER = ["key", "host", "path", "lines", "lengths", "opened", "boxes", "far", "deleted", "side", "part"]
 
 
 def _role(tag: str, attributes: str, names: frozenset = CHROME_NAMES) -> tuple[int, bool]:
@@ -89,10 +92,10 @@ def _role(tag: str, attributes: str, names: frozenset = CHROME_NAMES) -> tuple[i
 
 
 class _Open:
-    """The open elements: tag, role with all that is around it, hidden. Where the elements of a tag lie is kept beside them."""
+    """The open elements: tag, role with all that is around it, hidden, box. Where the elements of a tag lie is kept beside them."""
 
     def __init__(self):
-        self.stack: list[tuple[str, int, bool]] = []
+        self.stack: list[tuple[str, int, bool, int]] = []
         self.places: dict[str, list[int]] = {}
         self.block_places: list[int] = []
 
@@ -104,11 +107,11 @@ class _Open:
     def last_block(self) -> int:
         return self.block_places[-1] if self.block_places else -1
 
-    def push(self, tag: str, role: int, hidden: bool) -> None:
+    def push(self, tag: str, role: int, hidden: bool, box: int) -> None:
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCKS:
             self.block_places.append(len(self.stack))
-        self.stack.append((tag, role, hidden))
+        self.stack.append((tag, role, hidden, box))
 
     def cut(self, k: int) -> None:
         """Closes the elements from place k on."""
@@ -118,13 +121,19 @@ class _Open:
             if tag in BLOCKS:
                 self.block_places.pop()
 
-    def inner(self) -> tuple[str, int, bool]:
-        return self.stack[-1] if self.stack else ("", OPEN, False)
+    def inner(self) -> tuple[str, int, bool, int]:
+        return self.stack[-1] if self.stack else ("", OPEN, False, -1)
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(role, text) of the page's text blocks, in page order; white space is one space, and no block is empty."""
-    out: list[tuple[int, str]] = []
+    return [(role, text) for role, text, _ in boxed_blocks(page)]
+
+
+def boxed_blocks(page: str | None) -> list[tuple[int, str, int]]:
+    """blocks() with the number of the box inside an article or main in which each lies, or -1."""
+    out: list[tuple[int, str, int]] = []
+    boxes = 0
     opened = _Open()
     held: list[str] = []
     at, page = 0, page or ""
@@ -133,7 +142,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((opened.inner()[1], text))
+            out.append((opened.inner()[1], text, opened.inner()[3]))
 
     while at < len(page):
         found = TOKEN.search(page, at)
@@ -168,7 +177,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 opened.cut(k)
         if tag in VOID:
             continue
-        _, around, hiding = opened.inner()
+        _, around, hiding, box = opened.inner()
         role, hidden = _role(tag, attributes, INNER_NAMES if around == BODY else CHROME_NAMES)
         # inside chrome all is chrome; an article inside an article is a reader's comment or a teaser of another
         role = CHROME if around == CHROME else role if role != OPEN else around
@@ -178,7 +187,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
             at = end.end()
             continue
-        opened.push(tag, role, hidden or hiding)
+        if tag in BOXES and role == BODY and around == BODY:
+            box, boxes = boxes, boxes + 1
+        opened.push(tag, role, hidden or hiding, box)
     flush()
     return out
 
@@ -249,7 +260,7 @@ def _common(a: str, b: str) -> int:
 
 
 class Row(NamedTuple):
-    """A class of pages; lines are hashes with their texts' lengths."""
+    """A class of pages; lines are hashes with their texts' lengths, opened are those that may be template, boxes their boxes."""
 
     key: bytes
     host: str
@@ -257,6 +268,7 @@ class Row(NamedTuple):
     lines: np.ndarray
     lengths: np.ndarray
     opened: list[int]
+    boxes: list[int]
 
 
 def _difference(rows: list[Row], at: int) -> tuple[int, int, int, list[int]] | None:
@@ -267,17 +279,18 @@ def _difference(rows: list[Row], at: int) -> tuple[int, int, int, list[int]] | N
     for *far, i in sorted(around):
         same = shared(own.lines, rows[i].lines)
         if own.lengths[same].sum() < 0.8 * size:
-            return *far, [int(k) for k in own.opened if same[k]]
+            split = {box for k, box in zip(own.opened, own.boxes, strict=True) if box >= 0 and not same[k]}
+            return *far, [int(k) for k, box in zip(own.opened, own.boxes, strict=True) if same[k] and box not in split]
     return None
 
 
-LINES = "key binary, host string, path string, lines array<long>, lengths array<int>, opened array<int>"
+LINES = "key binary, host string, path string, lines array<long>, lengths array<int>, opened array<int>, boxes array<int>"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
     for batch in batches:
-        for key, host, path, lines, lengths, opened in zip(*(batch.column(f).to_pylist() for f in Row._fields), strict=True):
-            yield Row(key, host, path, np.array(lines, np.int64), np.array(lengths, np.int64), opened)
+        for key, host, path, lines, lengths, opened, boxes in zip(*(batch.column(f).to_pylist() for f in Row._fields), strict=True):
+            yield Row(key, host, path, np.array(lines, np.int64), np.array(lengths, np.int64), opened, boxes)
 
 
 def _answers(found: list[tuple]) -> pa.RecordBatch:
@@ -286,23 +299,26 @@ def _answers(found: list[tuple]) -> pa.RecordBatch:
 
 
 def differences(pages: DataFrame, work: Workspace) -> DataFrame:
-    """(key, deleted): open lines to delete, of the pages that have any. pages: key, url, html."""
+    """(key, deleted): template lines to delete, of the pages that have any. pages: key, url, html."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for key, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = blocks(page)
+                found = boxed_blocks(page)
                 host, path = _split(url)
-                has_body = any(r == BODY for r, _ in found)
-                for column, value in zip(out, (key, host, path, hashes(found), [len(t) for _, t in found], [] if has_body else [i for i, (r, _) in enumerate(found) if r == OPEN]), strict=True):
+                sizes = Counter(box for _, _, box in found)
+                opened = [i for i, (r, _, box) in enumerate(found) if r != BODY or (box >= 0 and sizes[box] > 1)]
+                boxes = [found[i][2] if found[i][0] == BODY else -1 for i in opened]
+                found = [(r, t) for r, t, _ in found]
+                for column, value in zip(out, (key, host, path, hashes(found), [len(t) for _, t in found], opened, boxes), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int32())), pa.array(out[5], pa.list_(pa.int32()))], list(Row._fields))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int32())), pa.array(out[5], pa.list_(pa.int32())), pa.array(out[6], pa.list_(pa.int32()))], list(Row._fields))
 
-    parsed = work.save(pages.select("key", "url", "html").mapInArrow(parse, LINES).withColumn("class", row_key("host", "lines", "opened")), "lines")
+    parsed = work.save(pages.select("key", "url", "html").mapInArrow(parse, LINES).withColumn("class", row_key("host", "lines", "opened", "boxes")), "lines")
     # one page of each class, chosen map-side; from here on the class is the key
-    one = parsed.groupBy("class").agg(F.min(F.struct("path", "key", "host", "lines", "lengths", "opened")).alias("page"))
-    classes = one.select(F.col("class").alias("key"), "page.host", "page.path", "page.lines", "page.lengths", "page.opened")
+    one = parsed.groupBy("class").agg(F.min(F.struct("path", "key", "host", "lines", "lengths", "opened", "boxes")).alias("page"))
+    classes = one.select(F.col("class").alias("key"), "page.host", "page.path", "page.lines", "page.lengths", "page.opened", "page.boxes")
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What neighbours in the partition tell; the outer 2 * AROUND rows at both ends go on with their side and partition."""
@@ -326,11 +342,11 @@ def differences(pages: DataFrame, work: Workspace) -> DataFrame:
         if found:
             got = _answers(found)
             n = len(found)
-            yield pa.RecordBatch.from_arrays([got.column(0), *[pa.nulls(n, t) for t in (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))], got.column(1), got.column(2), pa.nulls(n, pa.string()), pa.array([part] * n, pa.int64())], INNER)
+            yield pa.RecordBatch.from_arrays([got.column(0), *[pa.nulls(n, t) for t in (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))], got.column(1), got.column(2), pa.nulls(n, pa.string()), pa.array([part] * n, pa.int64())], INNER)
 
     def sides(rows: list[Row], side: str, part: int) -> pa.RecordBatch:
         n = len(rows)
-        kinds = (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        kinds = (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())), pa.array([side] * n, pa.string()), pa.array([part] * n, pa.int64())], INNER)
 
     def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +389,7 @@ def main_text(page: str | None, deleted: list[int] | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
+    """page_id, url, text, n_chars and n_template (lines that the nearest page shares and that are deleted so) of every row of pages."""
     work = Workspace(pages.sparkSession, "html")
     keyed = pages.select("page_id", "url", "html", row_key("page_id", "url", "html").alias("key"))
     gone = differences(keyed, work)
@@ -381,9 +397,9 @@ def extract(pages: DataFrame) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h, d) for h, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(d or ()) for d in batch.column(3).to_pylist()], pa.int64())], ["page_id", "url", "text", "n_chars", "n_template"])
 
-    return keyed.join(gone, "key", "left").select("page_id", "url", "html", "deleted").mapInArrow(write, "page_id long, url string, text string, n_chars long")
+    return keyed.join(gone, "key", "left").select("page_id", "url", "html", "deleted").mapInArrow(write, "page_id long, url string, text string, n_chars long, n_template long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
