@@ -27,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import Workspace, as_strings, bounded_sample, letter_runs, read_table, segment_sums, text_slices, white_space_chunks
 
@@ -38,6 +37,8 @@ LONGEST = 5
 EVIDENCE = 40
 REMEMBERED = 200_000
 REMEMBERED_CHARS = 1 << 24
+#: Text that a scoring task takes apart at once, in bytes, and new chunks of it whose words' n-grams it holds: their strings take some twenty times the text.
+SCORED_BYTES, SCORED_CHUNKS = 2 << 20, 16_384
 #: Distinct words that a fitting task counts before it sends its counts on.
 COUNTED = 40_000
 
@@ -186,7 +187,7 @@ class Model:
         if new := [c for c in uniq if c not in known]:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.known_chars += sum(map(len, new))
-            self.sums = np.concatenate([self.sums, self.chunks(new)])
+            self.sums = np.concatenate([self.sums, *[self.chunks(new[i : i + SCORED_CHUNKS]) for i in range(0, len(new), SCORED_CHUNKS)]])
         number = np.fromiter((known[c] for c in uniq), np.int64, len(uniq))
         width = len(self.languages) + 2
         sums = np.stack([segment_sums(self.sums[number[at], k], offsets) for k in range(width)], axis=1)
@@ -205,21 +206,27 @@ class Model:
 
 
 def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
-    """keep columns, then lang_pred and score, for every row of docs (text). A caller that keeps columns of any name keeps a struct."""
+    """keep columns, then lang_pred and score, for every row of docs (text). A caller that keeps columns of any name keeps a struct.
+
+    Only texts go to Python and only the two results come back: kept columns stay in Spark's rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 8 + 4 * languages bytes for each word and n-gram of the sample
-    kept = docs.select(*keep)
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         for batch in batches:
-            texts = as_strings(batch.column(0))
-            for a, b in text_slices(texts):
-                lang, s = m.score(texts.slice(a, b - a))
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(lang, pa.string()), pa.array(np.clip(s, 0, 1))], [*own.schema.names[1:], "lang_pred", "score"])
-
-    return docs.select("text", *[c if isinstance(c, Column) else F.col(c) for c in keep]).mapInArrow(score, schema)
+            texts = as_strings(batch)
+            lang, found = [], [np.zeros(0)]
+            for a, b in text_slices(texts, SCORED_BYTES):
+                own, s = m.score(texts.slice(a, b - a))
+                lang += own
+                found.append(np.clip(s, 0, 1))
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(found))], ["lang_pred", "score"])
+
+    judge = F.arrow_udf(score, "lang_pred string, score double").asNondeterministic()  # so that a filter on its results doesn't run it again
+    kept = docs.select(*keep)
+    rows = docs.select(F.struct(*keep).alias("kept"), judge("text").alias("found"))
+    return rows.select(*[F.col("kept").getField(c).alias(c) for c in kept.columns], "found.lang_pred", "found.score")
 
 
 def held_out(key: str = "doc_id", of: int = 5, rest: int = 0) -> Column:
