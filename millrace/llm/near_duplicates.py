@@ -375,14 +375,13 @@ def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(marks.view(np.uint8))  # MOST_BITS / 8 bytes
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            kept = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2)], ["doc_key", "text"])
+            at = batch.to_numpy()
+            yield pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    keyed = docs.select(row_key("doc_id", "text").alias("doc_key"), "text")
-    texts = keyed.select(bit.alias("bit"), "doc_key", "text").mapInArrow(marked, "doc_key binary, text string")
+    # only the bits' places go to Python: texts stay in Spark's rows
+    texts = docs.select(row_key("doc_id", "text").alias("doc_key"), "text").filter(F.arrow_udf(marked, "boolean")(bit))
     # repeated rows share their key: one of them is kept, map-side first
     return asked.join(texts.groupBy("doc_key").agg(F.first("text").alias("text")), "doc_key").select("set_id", "text")
 
