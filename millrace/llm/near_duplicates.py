@@ -21,9 +21,12 @@
    full sets inside the task: no candidate pair leaves it, only links.
 
 Nodes that stay large hold large groups of alike classes. They are cut to blocks of SMALL / 2 classes which all get
-the node's least class as a pivot; classes that the pivot doesn't link are then compared with every block of CROSS
-classes. So no task holds an unbounded group, and no pair is given up for a node's size. Joins on keys that many rows
-may share (a class of copies, a component, a pivot) have a saved table on the other side, so that Spark splits them.
+the node's least class as a pivot; classes outside the node's largest component are then compared with every class of
+it, on sketches in pairs of blocks of WIDE classes, and what may link goes on in pairs of blocks of CROSS. Each pair of
+blocks meets once; the rows of a node are its classes times its blocks, so they still grow with the square of what no
+component holds, over WIDE. So no task holds an unbounded group, and no pair is given up for a node's size. Tokens and
+full sets are joined once a class, not once a group that holds it. Joins on keys that many rows may share (a class of
+copies, a component, a pivot) have a saved table on the other side, so that Spark splits them.
 
 Edge cases: null text and text without words have an empty set, are linked with nothing and are components
 of their own; a text of fewer words than a shingle has one shingle, the whole sequence; repeated rows and
@@ -39,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, as_strings, mix64, read_table, row_key, text_slices, white_space_chunks
@@ -56,8 +59,8 @@ HUB = 64
 BITS_A_CLASS, MOST_BITS = 16, 1 << 27
 #: Leaves of up to so many classes send all candidates on at once.
 FEW = 8
-#: Classes on each side of a pair of blocks of a large node.
-CROSS = 512
+#: Classes on each side of a pair of blocks of a large node: of sketches (some 300 bytes a class), and of full sets.
+WIDE, CROSS = 2048, 512
 _SEEDS = mix64(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
 _MUL, _ADD = _SEEDS[:COORDS] | np.uint64(1), _SEEDS[COORDS:]
 
@@ -147,10 +150,9 @@ def grow(classes: DataFrame, threshold: float, trees: int, work: Workspace) -> D
         if large.isEmpty():
             break
         extra = int(1000 * (1 / threshold - 1))
-        chosen = lambda j: F.element_at("tokens", (F.pmod(F.xxhash64(F.lit(j), "node"), F.lit(COORDS)) + 1).cast("int"))
-        two = F.pmod(F.xxhash64(F.lit("two"), "node"), F.lit(1000)) < extra
-        children = F.when(two, F.array(F.xxhash64(F.lit(0), "node", chosen(0)), F.xxhash64(F.lit(1), "node", chosen(1)))).otherwise(F.array(F.xxhash64(F.lit(0), "node", chosen(0))))
-        children = large.select("node", "set_id", "n").join(classes.select("set_id", "tokens"), "set_id").select("set_id", F.explode(children).alias("node"), F.col("n").alias("parent_n"))
+        # a class has few nodes (two a tree and level at most): it gets its tokens once for all of them
+        inside = large.groupBy("set_id").agg(F.collect_list(F.struct("node", "n")).alias("inside")).join(classes.select("set_id", "tokens"), "set_id")
+        children = inside.select("set_id", F.explode(F.flatten(F.transform("inside", lambda x: _children(x, extra)))).alias("child")).select("set_id", "child.node", "child.parent_n")
         nodes = work.save(children, f"children{level}")  # the next level reads them twice: they are joined and made once
         saved.append(nodes)
     out = leaves[0]
@@ -161,6 +163,14 @@ def grow(classes: DataFrame, threshold: float, trees: int, work: Workspace) -> D
     return out
 
 
+def _children(x: Column, extra: int) -> Column:
+    """The one or two children (node, parent_n) of node x (node, n) for a class with these tokens."""
+    chosen = lambda j: F.element_at("tokens", (F.pmod(F.xxhash64(F.lit(j), x.node), F.lit(COORDS)) + 1).cast("int"))
+    child = lambda j: F.struct(F.xxhash64(F.lit(j), x.node, chosen(j)).alias("node"), x.n.alias("parent_n"))
+    two = F.pmod(F.xxhash64(F.lit("two"), x.node), F.lit(1000)) < extra
+    return F.when(two, F.array(child(0), child(1))).otherwise(F.array(child(0)))
+
+
 def _pairs(tokens: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Estimated similarity of all pairs of a small group where it may reach the threshold, else 0."""
     agree = (tokens[:, None, :] == tokens[None, :, :]).mean(axis=2)
@@ -258,7 +268,11 @@ def compare(groups: DataFrame, threshold: float) -> DataFrame:
 
 
 def involved(groups: DataFrame, threshold: float) -> DataFrame:
-    """Those rows of groups (grp, set_id, tokens, n_shingles, label, side) with a candidate of another label."""
+    """Those rows of groups (grp, set_id, tokens, n_shingles, label, side) with a candidate of another label.
+
+    Each group is cut to blocks of CROSS classes of one side; a pair of blocks is a group of the result, with sides
+    1 and 2, or 0 for a block with itself. side: see _across().
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in by_group(batches, one):
@@ -267,22 +281,31 @@ def involved(groups: DataFrame, threshold: float) -> DataFrame:
     def one(table: pa.Table) -> list[tuple]:
         ids, tokens, sizes = _sketch(table)
         label, side = table.column("label").to_numpy(), table.column("side").to_numpy()
-        hit = np.zeros(len(ids), bool)
-        for lo in range(0, len(ids), 128):
-            hi = min(lo + 128, len(ids))
-            est = _across(tokens, sizes, label, side, lo, hi, threshold)
-            hit[lo:hi] |= est.any(axis=1)
-            hit |= est.any(axis=0)
-        grp = table.column("grp")[0].as_py()
-        return [(grp, ids[i], int(label[i]), int(side[i])) for i in np.flatnonzero(hit)]
+        grp, out = table.column("grp")[0].as_py(), []
+        turns = np.concatenate(([0], np.flatnonzero(side[1:] != side[:-1]) + 1, [len(ids)]))
+        blocks = [(lo, min(lo + CROSS, end)) for start, end in zip(turns[:-1], turns[1:], strict=True) for lo in range(start, end, CROSS)]
+        for u, (start, end) in enumerate(blocks):
+            hits = np.zeros((len(blocks) - u, end - start), bool), np.zeros(len(ids) - start, bool)
+            for lo in range(start, end, 128):
+                hi = min(lo + 128, end)
+                est = _across(tokens[start:], sizes[start:], label[start:], side[start:], lo - start, hi - start, threshold)
+                hits[1][:] |= est.any(axis=0)
+                for v, (a, b) in enumerate(blocks[u:]):
+                    hits[0][v, lo - start : hi - start] = est[:, a - start : b - start].any(axis=1)
+            for v, (a, b) in enumerate(blocks[u:], u):
+                if hits[0][v - u].any():
+                    name = xxhash.xxh3_64_intdigest(np.array([grp, u, v], np.int64).tobytes()) - (1 << 63)
+                    out += [(name, ids[x], int(label[x]), int(v > u)) for x in start + np.flatnonzero(hits[0][v - u])]
+                    out += [(name, ids[x], int(label[x]), 2) for x in a + np.flatnonzero(hits[1][a - start : b - start]) if v > u]
+        return out
 
-    dealt = groups.select("grp", "set_id", "tokens", "n_shingles", "label", "side").repartition("grp").sortWithinPartitions("grp", "set_id")
+    dealt = groups.select("grp", "set_id", "tokens", "n_shingles", "label", "side").repartition("grp").sortWithinPartitions("grp", "side", "set_id")
     return dealt.mapInArrow(run, "grp long, set_id long, label long, side int")
 
 
 def _across(tokens: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.ndarray, lo: int, hi: int, threshold: float) -> np.ndarray:
-    """Candidates of rows lo to hi with all rows, of other labels and not both of side 1."""
-    return _strip(tokens, sizes, lo, hi, threshold) & (label[lo:hi, None] != label[None, :]) & (side[lo:hi, None] + side[None, :] < 2)
+    """Candidates of rows lo to hi with all rows, of other labels. Side 0 is compared with all, 1 and 2 with other sides only."""
+    return _strip(tokens, sizes, lo, hi, threshold) & (label[lo:hi, None] != label[None, :]) & ((side[lo:hi, None] != side[None, :]) | (side[lo:hi, None] == 0))
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -307,7 +330,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def link_across(groups: DataFrame, threshold: float, num: int, den: int) -> DataFrame:
     """(a, b): verified links between different labels of each group, without those that others of the group imply.
 
-    groups: grp, set_id, tokens, n_shingles, label, side (0: compared with all, 1: with side 0 only) and shingles.
+    groups: grp, set_id, tokens, n_shingles, label, side (see _across()) and shingles.
     """
 
     def one(table: pa.Table) -> list[tuple[int, int]]:
@@ -475,8 +498,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     groups = grow(classes.select("set_id", "tokens"), threshold, trees_for(threshold), work)
     sketch = classes.select("set_id", "tokens", "n_shingles")
     pivots = groups.filter("pivot is not null").select("grp", F.col("pivot").alias("set_id")).distinct()
-    members = groups.select("grp", "set_id", F.col("pivot").isNotNull().alias("block")).unionByName(pivots.withColumn("block", F.lit(True)))
-    first = work.save(compare(members.distinct().join(sketch, "set_id"), threshold), "candidates")
+    # a class gets its tokens once, for all of its groups; a pivot is in as many groups as its node has blocks, each a row
+    inside = groups.filter("pivot is null or pivot <> set_id").groupBy("set_id").agg(F.collect_set(F.struct("grp", F.col("pivot").isNotNull().alias("block"))).alias("inside"))
+    members = inside.join(sketch, "set_id").select("set_id", "tokens", "n_shingles", F.inline("inside"))
+    first = work.save(compare(members.unionByName(pivots.withColumn("block", F.lit(True)).join(sketch, "set_id")), threshold), "candidates")
     links = work.save(verify(first.filter("b is not null").select("a", "b"), classes, docs, k, num, den, work), "links")
     labels = work.save(components(links, work), "labels")
     left_open = first.filter("b is null").select("grp", F.col("a").alias("set_id"))
@@ -485,7 +510,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     work.drop(groups, first)
     if not across.isEmpty():
         full = sets_of(work.save(across.select("set_id").distinct(), "asked"), classes, docs, k)
-        more = work.save(link_across(across.join(sketch, "set_id").join(full, "set_id"), threshold, num, den), "more")
+        inside = across.groupBy("set_id").agg(F.collect_list(F.struct("grp", "label", "side")).alias("inside"))
+        held = inside.join(sketch, "set_id").join(full, "set_id").select("set_id", "tokens", "n_shingles", "shingles", F.inline("inside"))
+        more = work.save(link_across(held, threshold, num, den), "more")
         links = links.unionByName(more)
         labels = work.save(components(links, work), "labels2")
     work.drop(across)
@@ -509,21 +536,26 @@ def _crossing_leaves(left_open: DataFrame, labels: DataFrame, work: Workspace) -
 
 
 def _crossing_blocks(groups: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """(grp, set_id, label, side): pairs of blocks of large nodes in which the pivot didn't link all, to be compared again."""
+    """(grp, set_id, label, side): pairs of blocks of large nodes that hold several components, to be compared again.
+
+    Classes of the node's largest component (home) need no comparison with each other; the others (out) meet all.
+    """
     named = _labelled(groups.filter("pivot is not null").select("set_id", "pivot").distinct(), labels, work)
-    # large nodes, those of all trees with one pivot taken together: classes outside the pivot's component
-    # meet the whole node, block by block
-    large = named.select("pivot", "set_id", "label")
-    of_pivot = large.select("pivot").distinct().join(labels, F.col("pivot") == F.col("node"), "left").select("pivot", F.coalesce("label", "pivot").alias("home"))
-    large = work.save(large.join(of_pivot, "pivot").withColumn("out", F.col("label") != F.col("home")), "large")
-    sizes = work.save(large.groupBy("pivot").agg(F.ceil(F.count("*") / CROSS).alias("k"), F.ceil(F.count_if("out") / CROSS).alias("k_out")).filter("k_out > 0"), "sizes")
-    large = large.join(sizes, "pivot")
-    pair = lambda i, j: F.xxhash64("pivot", i, j)
-    block = F.pmod(F.xxhash64("set_id"), F.col("k"))
-    strip = F.pmod(F.xxhash64(F.lit("out"), "set_id"), F.col("k_out"))
-    ones = large.filter("out").withColumn("i", strip).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(pair(F.col("i"), F.col("j")).alias("grp"), "set_id", "label", F.lit(0).alias("side"))
-    rest = large.withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k_out") - 1))).select(pair(F.col("i"), F.col("j")).alias("grp"), "set_id", "label", F.lit(1).alias("side"))
-    return ones.unionByName(rest).groupBy("grp", "set_id", "label").agg(F.min("side").alias("side"))
+    # large nodes, those of all trees with one pivot taken together
+    parts = named.groupBy("pivot", "label").agg(F.count("*").alias("n"))
+    nodes = parts.groupBy("pivot").agg(F.max(F.struct("n", "label")).alias("home"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / WIDE)
+    nodes = nodes.select("pivot", F.col("home.label").alias("home"), blocks(F.col("home.n")).alias("k_home"), blocks(F.col("n") - F.col("home.n")).alias("k_out")).filter("k_out > 0")
+    large = work.save(named.join(work.save(nodes, "nodes"), "pivot").withColumn("block", F.pmod(F.xxhash64("set_id"), F.when(F.col("label") == F.col("home"), F.col("k_home")).otherwise(F.col("k_out")))), "large")
+    numbers = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    rows = lambda df, kind, i, j, side: df.select(F.xxhash64("pivot", F.lit(kind), i, j).alias("grp"), "set_id", "label", side.cast("int").alias("side"))
+    home, out = large.filter("label = home").withColumn("other", numbers("k_out")), large.filter("label <> home")
+    # a block of out meets itself with the first block of home
+    met = out.withColumn("other", numbers("k_home"))
+    own = out.withColumn("other", numbers("k_out")).filter("other <> block")
+    found = rows(met, "home", F.col("block"), F.col("other"), F.when(F.col("other") == 0, 0).otherwise(2))
+    found = found.unionByName(rows(home, "home", F.col("other"), F.col("block"), F.lit(1)))
+    return found.unionByName(rows(own, "out", F.least("block", "other"), F.greatest("block", "other"), F.when(F.col("block") < F.col("other"), 1).otherwise(2)))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
