@@ -55,6 +55,8 @@ ALIKE = 0.85
 RECALL = 0.9999
 #: Spokes that meet a hub's text in one task group.
 HUB = 64
+#: Bytes of text that a Python worker shingles at once.
+SLICE = 1 << 20
 #: Bits of the bitmap that keeps texts without a candidate from being shuffled: BITS_A_CLASS for each class, at most.
 BITS_A_CLASS, MOST_BITS = 16, 1 << 27
 #: Leaves of up to so many classes send all candidates on at once.
@@ -117,7 +119,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_strings(batch.column(2))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE):
                 sets = list(shingle_sets(texts.slice(a, b - a), k))
                 tokens = np.concatenate([minwise(s) for s in sets if len(s)] or [np.zeros(0, np.int32)])
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -415,7 +417,7 @@ def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> D
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_strings(batch.column(1))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in shingle_sets(texts.slice(a, b - a), k)], pa.binary())], ["set_id", "shingles"])
 
     return texts_of(wanted, classes, docs).mapInArrow(shingled, "set_id long, shingles binary")
@@ -437,7 +439,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
             out = []
             texts = as_strings(batch.column(4))
             hubs, spoke, ids = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE):
                 for i, found in enumerate(shingle_sets(texts.slice(a, b - a), k), a):
                     if not spoke[i]:
                         hub, own = hubs[i], found
