@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.catalog import query, table
 
-from .ordering import ranked
+from .ordering import ranked, stored
 
 
 @query("join01_inner", "SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'")
@@ -212,13 +212,20 @@ def term_states(texts: DataFrame, terms: DataFrame, evidence: DataFrame, common:
     """
     own = terms.filter("surface <> '' and term_id is not null").select(F.lower("surface").alias("surface"), "term_id", F.coalesce("registry", F.lit(False)).alias("registry"), F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
     own = own.groupBy("surface", "term_id").agg(F.bool_or("registry").alias("registry"), F.bool_or("reviewed").alias("reviewed"))
-    formal = F.bool_or("registry").over(Window.partitionBy("surface"))
-    own = own.withColumn("formal", formal).filter(F.col("registry") | ~F.col("formal"))
-    found = occurrences(texts, own.select("surface")).select("id", F.explode("spans").alias("s")).select("id", "s.start", "s.stop", "s.surface")
-    # one row a text and surface: a surface's terms meet its texts, not each of its places
-    pairs = found.select("id", "surface").distinct().join(own, "surface").join(evidence.select("id", "term_id").distinct().withColumn("backed", F.lit(True)), ["id", "term_id"], "left")
-    backed = F.coalesce("backed", F.lit(False))
-    one = pairs.groupBy("id", "surface").agg(F.count("*").alias("n"), F.count_if(backed).alias("n_backed"), F.min("term_id").alias("only"), F.min(F.when(backed, F.col("term_id"))).alias("named"), F.bool_and("reviewed").alias("reviewed"), F.bool_or("registry").alias("registry"))
+    # one row a surface holds what its terms say without evidence; its terms themselves are only looked up by the evidence of a text
+    formal, registered = F.bool_or("registry"), F.col("registry")
+    known = own.groupBy("surface").agg(
+        formal.alias("registry"),
+        F.when(formal, F.count_if(registered)).otherwise(F.count("*")).alias("n"),
+        F.when(formal, F.min(F.when(registered, F.col("term_id")))).otherwise(F.min("term_id")).alias("only"),
+        F.bool_and("reviewed").alias("reviewed"),
+    )
+    known = stored(known)
+    found = stored(occurrences(texts, known.select("surface")).select("id", F.explode("spans").alias("s")).select("id", "s.start", "s.stop", "s.surface"))
+    pairs = found.select("id", "surface").distinct().join(known, "surface")
+    about = pairs.select("id", "surface", F.col("registry").alias("formal")).join(evidence.select("id", "term_id").distinct(), "id").join(own.drop("reviewed"), ["surface", "term_id"])
+    about = about.filter(F.col("registry") | ~F.col("formal")).groupBy("id", "surface").agg(F.count("*").alias("n_backed"), F.min("term_id").alias("named"))
+    one = pairs.join(about, ["id", "surface"], "left").withColumn("n_backed", F.coalesce("n_backed", F.lit(0)))
     state = (
         F.when((F.col("n") > 1) & (F.col("n_backed") != 1), "conflict")
         .when(F.col("n_backed") == 1, "confirmed")
