@@ -291,14 +291,38 @@ def src10(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.select("cells").mapInPandas(write, "content binary").mapInPandas(read, "key string, name string")
 
 
+def _pdf_streams(content: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Dictionary and bytes of each stream, by its direct length; where that is missing or wrong, up to the next `endstream`."""
+    import re
+
+    head, end, at = re.compile(rb"(<<[^>]*(?:>(?!>)[^>]*)*>>)\s*stream\r?\n"), re.compile(rb"(?:\r\n|\r|\n)?endstream"), 0
+    while m := head.search(content, at):
+        size = re.search(rb"/Length\s+(\d+)\b(?!\s+\d+\s+R\b)", m[1])
+        stop = m.end() + int(size[1]) if size else -1
+        closed = end.match(content, stop) if size else None
+        if closed is None:
+            closed = end.search(content, m.end())
+            if closed is None:
+                return
+            # a break before the word may be the last byte of deflated data, which know their own end
+            stop = closed.start() if b"FlateDecode" not in m[1] else closed.end() - len(b"endstream")
+        yield m[1], content[m.end() : stop]
+        at = closed.end()
+
+
 def pdf_text(content: bytes) -> str:
     """Text shown by the content streams of a simple PDF: literal strings of Tj and TJ, plain or deflated streams."""
     import re
     import zlib
 
     out = []
-    for m in re.finditer(rb"(<<[^>]*(?:>(?!>)[^>]*)*>>)\s*stream\r?\n(.*?)\r?\nendstream", content, re.S):
-        data = zlib.decompress(m[2]) if b"FlateDecode" in m[1] else m[2]
+    for head, held in _pdf_streams(content):
+        data = held
+        if b"FlateDecode" in head:
+            unpacked = zlib.decompressobj()
+            data = unpacked.decompress(held)
+            if not unpacked.eof:
+                raise zlib.error("incomplete or truncated stream")
         for shown in re.finditer(rb"\[(.*?)\]\s*TJ|\(((?:\\.|[^()\\])*)\)\s*Tj", data, re.S):
             parts = [shown[2]] if shown[2] is not None else re.findall(rb"\(((?:\\.|[^()\\])*)\)", shown[1])
             out.append(re.sub(rb"\\(.)", rb"\1", b"".join(parts)).decode("latin-1"))
