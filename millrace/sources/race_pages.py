@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.markup import records, select, tree
+from millrace.functions.markup import Node, first, records, select, tree
 from millrace.plans.catalog import query, table
 
 #: By layout: selectors of the tables of runners and results, what marks a withdrawn runner, and fields by header.
@@ -20,21 +20,37 @@ LAYOUTS: dict[str, dict] = {
     "entries": {"runners": "table.table-entries", "results": "table.table-entries", "withdrawn": ".scr", "fields": {"#": "number", "Name": "name", "PP": "draw", "Wgt": "weight", "Fin": "position", "Beaten": "margin"}},
 }
 ROW = "kind string, pos long, number string, name string, draw string, weight string, status string, position int, margin string"
+TYPES = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in ROW.split(", ")]
+#: Rows that a task holds before it hands them on.
+ROWS = 20_000
+
+
+def _marked(found: Node, selector: str) -> set[int]:
+    """Ids of the elements that the selector finds below a table, and of those around them."""
+    out: set[int] = set()
+    for node in select(found, selector):
+        while node is not None and id(node) not in out:
+            out.add(id(node))
+            node = node.parent
+    return out
 
 
 def page_rows(page: str | None, layout: str) -> list[dict]:
     """Runners with a name, in page order, and results with a number and a position from 1. An unknown layout is a KeyError."""
     rule, root, out = LAYOUTS[layout], tree(page), []
-    for kind in ("runner", "result"):
+    tables = [first(root, rule[kind + "s"]) for kind in ("runner", "result")]
+    read = {id(t): (records(t), _marked(t, rule["withdrawn"])) for t in {id(t): t for t in tables if t is not None}.values()}
+    for kind, found in zip(("runner", "result"), tables, strict=True):
         pos = 0
-        for found in select(root, rule[kind + "s"])[:1]:
-            for row, held in records(found):
+        if found is not None:
+            rows, marked = read[id(found)]
+            for row, held in rows:
                 f = {rule["fields"][k]: v for k, v in held.items() if k in rule["fields"]}
                 place = re.search("[0-9]{1,6}", f.get("position", ""))
                 position = int(place[0]) if place and int(place[0]) else None
                 if kind == "result" and (position is None or not f.get("number")) or kind == "runner" and not f.get("name"):
                     continue
-                gone = rule["withdrawn"][1:] in row.attrs.get("class", "").split() or bool(select(row, rule["withdrawn"]))
+                gone = id(row) in marked
                 pos += 1
                 out.append({"kind": kind, "pos": pos, "number": f.get("number", ""), "name": f.get("name", ""), "draw": f.get("draw", ""), "weight": f.get("weight", ""), "status": "withdrawn" if gone else "declared", "position": position, "margin": f.get("margin", "")})
     return out
@@ -49,18 +65,24 @@ def reference_runners(pages: DataFrame, key: str) -> DataFrame:
     """
     names = [c.split()[0] for c in ROW.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, page, layout, html in zip(frame[key], frame["page_row"], frame["layout"], frame["html"], strict=True):
-                if rows := page_rows(html, layout):
-                    out = pd.DataFrame(rows, columns=names)
-                    out["position"] = out["position"].astype("Int32")
-                    out.insert(0, "page_row", page)
-                    out.insert(0, key, k)
-                    yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, held = [], []
+            for i, (layout, html) in enumerate(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                rows = page_rows(html, layout)
+                held += rows
+                at += [i] * len(rows)
+                if len(held) >= ROWS:
+                    yield rows_of(batch, at, held)
+                    at, held = [], []
+            yield rows_of(batch, at, held)
+
+    def rows_of(batch: pa.RecordBatch, at: list[int], held: list[dict]) -> pa.RecordBatch:
+        own = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(3).take(own), *[pa.array([r[n] for r in held], t) for n, t in zip(names, TYPES, strict=True)]], [key, "page_row", *names])
 
     sent = pages.select(key, F.coalesce("html", F.lit("")).alias("html"), "layout", F.xxhash64(F.coalesce("html", F.lit("")), "layout").alias("page_row"))
-    rows = sent.mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, page_row long, {ROW}")
+    rows = sent.mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, page_row long, {ROW}")
     # one shuffle by page, which the merge and the count of placed runners share; a page is parsed once
     page = Window.partitionBy(key, "page_row")
     same = Window.partitionBy(key, "page_row", "number").orderBy("kind", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
