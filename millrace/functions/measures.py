@@ -7,8 +7,13 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,23 +42,63 @@ def _state(text: Column, ok: Column) -> Column:
     return F.when(text == "", "missing").when(F.coalesce(ok, F.lit(False)), "parsed").otherwise("unresolved")
 
 
-def reduced(num: Column, den: Column) -> Column:
-    """struct(num, den) in lowest terms, by Euclid's steps; null for a denominator of 0."""
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    start = F.struct(num.alias("a"), den.alias("b"))
-    common = F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step)["a"]
-    return F.when(den != 0, F.struct(F.try_divide(num, common).cast("long").alias("num"), F.try_divide(den, common).cast("long").alias("den")))
+#: A mixed number, a fraction or a decimal; white space and line ends as Spark's patterns have them.
+RATIONAL = re.compile(r"(?:(?:([0-9]{1,9})[ \t-\r]+)?([0-9]{1,9})/([0-9]{1,9})|([0-9]{1,9})(?:\.([0-9]{1,9}))?)(?:\r\n|[\n\r\x85\u2028\u2029])?\Z")
+LOWEST = pa.struct([("num", pa.int64()), ("den", pa.int64())])
+
+
+def lowest(text: str | None) -> dict[str, int] | None:
+    """num and den of a text in lowest terms; null where it isn't a number, or for a denominator of 0."""
+    m = RATIONAL.match(text or "")
+    if not m:
+        return None
+    whole, over, under, point, digits = m.groups("")
+    num, den = (int(whole or 0) * int(under) + int(over), int(under)) if under else (int(point + digits), 10 ** len(digits))
+    common = math.gcd(num, den)
+    return {"num": num // common, "den": den // common} if den else None
+
+
+#: A length and its unit; and a mixed number with a point, which sources of lengths write.
+SPELLED = re.compile(r"([0-9]+[ \t-\r]+[0-9]+/[0-9]+|[0-9]+/[0-9]+|[0-9]+(?:\.[0-9]+)?)[ \t-\r]*(lengths?|l|马身)?(?:\r\n|[\n\r\x85\u2028\u2029])?\Z")
+POINTED = re.compile(r"\A([0-9]+)\.([0-9]+/[0-9]+)(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)")
+
+
+def length(text: str | None, unit: str | None) -> dict[str, int] | None:
+    """num and den of lengths (`1½l`, `3/4 length`); a bare number only where the source gives lengths."""
+    text = text or ""
+    for sign, value in (("½", "1/2"), ("¼", "1/4"), ("¾", "3/4")):
+        if sign in text:
+            text = re.sub(f"(?<=[0-9]){sign}", " " + value, text).replace(sign, value)
+    if unit == "length":
+        text = POINTED.sub(r"\1 \2", text)
+    m = SPELLED.match(text)
+    return lowest(m[1]) if m and (m[2] or unit == "length") else None
 
 
 def rational(text: Column) -> Column:
-    """struct(num, den) of `3`, `2.25`, `1/3` or `1 1/2`; null otherwise, or beyond nine digits a number."""
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("long")
-    mixed, fraction, point = r"^([0-9]{1,9})\s+([0-9]{1,9})/([0-9]{1,9})$", r"^([0-9]{1,9})/([0-9]{1,9})$", r"^([0-9]{1,9})(?:\.([0-9]{1,9}))?$"
-    digits = F.regexp_extract(text, point, 2)
-    scale = F.rpad(F.lit("1"), F.length(digits) + 1, "0").cast("long")
-    num = F.when(text.rlike(mixed), part(mixed, 1) * part(mixed, 3) + part(mixed, 2)).when(text.rlike(fraction), part(fraction, 1)).when(text.rlike(point), F.concat(F.regexp_extract(text, point, 1), digits).try_cast("long"))
-    den = F.when(text.rlike(mixed), part(mixed, 3)).when(text.rlike(fraction), part(fraction, 2)).when(text.rlike(point), scale)
-    return F.when(num.isNotNull(), reduced(num, den))
+    """struct(num, den) of `3`, `2.25`, `1/3` or `1 1/2`; null otherwise, or beyond nine digits a number.
+
+    In Arrow batches, each different text of a batch once: Spark has no greatest common divisor, and steps of Euclid's as
+    expressions are evaluated again wherever a number is used.
+    """
+
+    return F.arrow_udf(_each_once(lowest), "struct<num:bigint,den:bigint>")(text)
+
+
+def _each_once(f: Callable[..., dict[str, int] | None]) -> Callable[..., pa.Array]:
+    """f over columns of texts, once for each different row of a batch."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        held = [c.dictionary_encode("encode") for c in columns]
+        code = pa.array(np.zeros(len(columns[0]), dtype="int64"))
+        for c in held:
+            # numbered anew after each column, so that codes stay small
+            code = pc.add(pc.multiply(code, len(c.dictionary)), c.indices.cast("int64")).dictionary_encode().indices.cast("int64")
+        first = pc.index_in(pa.array(np.arange(pc.max(code).as_py() + 1 if len(code) else 0)), code)
+        rows = zip(*[c.take(first).to_pylist() for c in columns], strict=True)
+        return pa.array([f(*r) for r in rows], LOWEST).take(code)
+
+    return run
 
 
 def weight(raw: Column, unit: Column) -> Column:
@@ -78,13 +123,7 @@ def margin(raw: Column, unit: Column) -> Column:
     """struct(label, num, den, state) of a named margin, or of lengths as an exact fraction (`1½l`, `3/4 length`)."""
     t = narrow(raw)
     label = _lookup(MARGINS, t)
-    spelled = t
-    for sign, value in (("½", "1/2"), ("¼", "1/4"), ("¾", "3/4")):
-        spelled = F.replace(F.regexp_replace(spelled, f"(?<=[0-9]){sign}", " " + value), F.lit(sign), F.lit(value))
-    spelled = F.when(unit == "length", F.regexp_replace(spelled, r"^([0-9]+)\.([0-9]+/[0-9]+)$", "$1 $2")).otherwise(spelled)
-    form = r"^([0-9]+\s+[0-9]+/[0-9]+|[0-9]+/[0-9]+|[0-9]+(?:\.[0-9]+)?)\s*(lengths?|l|马身)?$"
-    known = (F.regexp_extract(spelled, form, 2) != "") | F.coalesce(unit == "length", F.lit(False))
-    value = F.when(label.isNull() & known, rational(F.regexp_extract(spelled, form, 1)))
+    value = F.when(label.isNull(), F.arrow_udf(_each_once(length), "struct<num:bigint,den:bigint>")(t, unit))
     return F.struct(label.alias("label"), value["num"].alias("num"), value["den"].alias("den"), _state(t, label.isNotNull() | value.isNotNull()).alias("state"))
 
 
