@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -193,6 +194,46 @@ def _chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": frame["id"], "spans": out})
 
 
+#: Phrases that one pass over the texts looks for; they are longer than surfaces.
+PHRASES = 50_000
+
+
+def containing(texts: DataFrame, key: str, phrases: DataFrame, most: int = PHRASES) -> DataFrame:
+    """(key, phrase): each of the phrases (one column of strings) that a text (key, text) contains, anywhere, as written.
+
+    As with occurrences(), blocks of at most about `most` phrases go to the tasks, one pass over the texts a block. Texts stay
+    where they are read: only keys and phrases are handed on, once a text.
+    """
+    names = stored(phrases.toDF("s").filter("s <> ''").distinct())
+    blocks = -(-names.count() // most) or 1
+    kind = texts.schema[key].dataType.simpleString()
+    found = None
+    for block in range(blocks):
+        own = [r[0] for r in names.filter(F.pmod(F.xxhash64("s"), F.lit(blocks)) == block).toLocalIterator()]  # about `most` strings
+        sent = texts.sparkSession.sparkContext.broadcast(own)
+
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for s in sent.value:
+                automaton.add_word(s, s)
+            if not len(automaton):
+                return
+            automaton.make_automaton()
+            for batch in batches:
+                at, held = [], []
+                for i, text in enumerate(batch.column(1)):
+                    mine = {s for _, s in automaton.iter(text.as_py() or "")}
+                    at += [i] * len(mine)
+                    held += mine
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(held, pa.string())], [key, "phrase"])
+
+        own_rows = texts.select(key, "text").mapInArrow(find, f"`{key}` {kind}, phrase string")
+        found = own_rows if found is None else found.unionByName(own_rows)
+    return found
+
+
 @query("join15_term_occurrences")
 def join15(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "part").select(F.col("p_name").alias("s")).distinct()
@@ -456,16 +497,12 @@ SELECT DISTINCT doc_id, item_id FROM documents JOIN p ON contains(lower(text), p
 """,
 )
 def join26(spark: SparkSession, sf: str) -> DataFrame:
-    """Which texts contain which terms: a bucket key names the candidates, then the text is tested.
-
-    A term's key is the longest of its inner words, which stand whole in any text that holds the term.
-    """
+    """Which texts contain which terms: one run over each text finds all phrases, and only what was found meets the terms."""
     words = F.split(F.lower("text"), " ", -1)
     p = table(spark, sf, "benchmark").select("item_id", words.alias("w")).filter(F.size("w") >= 5)
-    inner = F.array_max(F.transform(F.slice("w", 2, 3), lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
-    p = p.select("item_id", F.array_join(F.slice("w", 1, 5), " ").alias("phrase"), inner.alias("key"))
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"), F.explode(F.array_distinct(words)).alias("key"))
-    return d.join(p, "key").filter(F.col("t").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
+    p = p.select("item_id", F.array_join(F.slice("w", 1, 5), " ").alias("phrase"))
+    found = containing(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id", p.select("phrase"))
+    return found.join(p, "phrase").select("doc_id", "item_id").distinct()
 
 
 @query("join27_nearest_year", "SELECT c.c_custkey, arg_min(o_orderkey, (abs(year(o_orderdate) - 1998) * 10000 + year(o_orderdate)) * 100000000 + o_orderkey) AS nearest FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1")
