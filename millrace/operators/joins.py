@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.catalog import query, table
 
+from .fuzzy import near_texts
 from .ordering import ranked, stored
 
 
@@ -292,13 +293,26 @@ def join15_states(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("join16_fuzzy_best", "WITH c AS (SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b, 1 - levenshtein(a.s_name, b.s_name)::DOUBLE / greatest(length(a.s_name), length(b.s_name)) AS sim FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) SELECT id_a, id_b, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY sim DESC, id_b) AS k FROM c WHERE sim >= 0.88) WHERE k = 1")
 def join16(spark: SparkSession, sf: str) -> DataFrame:
-    """Best match by similarity within a block key; the length bound prunes before the distance is computed."""
-    s = table(spark, sf, "supplier")
-    a, b = s.select("s_nationkey", F.col("s_suppkey").alias("id_a"), F.col("s_name").alias("na")), s.select("s_nationkey", F.col("s_suppkey").alias("id_b"), F.col("s_name").alias("nb"))
-    longest = F.greatest(F.length("na"), F.length("nb"))
-    pairs = a.join(b, "s_nationkey").filter((F.col("id_a") != F.col("id_b")) & (F.abs(F.length("na") - F.length("nb")) <= 0.12 * longest))
-    scored = pairs.withColumn("sim", 1 - F.levenshtein("na", "nb").cast("double") / longest).filter("sim >= 0.88")
-    best = scored.groupBy("id_a").agg(F.max(F.struct("sim", -F.col("id_b"))).alias("m"))
+    """Best match by similarity within a block key: equal names first, then names that an index of what is left of them brings together.
+
+    A similarity of t leaves t of the longer name in common, so that the sequence ratio reaches t, too. What reaches the upper level
+    is found in whole there, so a name with a match at that level is done; only the others are looked for at the lower one.
+    """
+    rows = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("region"), F.col("s_suppkey").alias("id_a"), F.col("s_name").alias("text"))
+    rows = stored(rows.filter("region is not null and id_a is not null and text <> ''"))
+    first = rows.groupBy("region", "text").agg(F.min("id_a").alias("first"))
+    names = stored(rows.join(first, ["region", "text"]).groupBy("region", "text", "first").agg(F.min(F.when(F.col("id_a") > F.col("first"), F.col("id_a"))).alias("second")))
+    other = F.when(F.col("first") != F.col("id_a"), F.col("first")).otherwise(F.col("second")).alias("id_b")
+    found = rows.join(names.filter("second is not null"), ["region", "text"]).select("id_a", other, F.lit(1.0).alias("sim"))
+    # names of one supplier, which have no equal
+    left = names.filter("second is null").select("region", "text", F.col("first").alias("id_a"))
+    for level in (0.94, 0.88):
+        near = near_texts(left, names, level).withColumn("sim", 1 - F.levenshtein("text", "other").cast("double") / F.greatest(F.length("text"), F.length("other"))).filter(F.col("sim") >= level).distinct()
+        near = near.join(left, ["region", "text"]).join(names.withColumnRenamed("text", "other"), ["region", "other"]).select("region", "text", "id_a", other, "sim").filter("id_b is not null")
+        best = stored(near.groupBy("region", "text", "id_a").agg(F.max(F.struct("sim", -F.col("id_b"))).alias("m")))
+        found = found.unionByName(best.select("id_a", (-F.col("m.col2")).alias("id_b"), "m.sim"))
+        left = left.join(best, ["region", "text"], "left_anti")
+    best = found.groupBy("id_a").agg(F.max(F.struct("sim", -F.col("id_b"))).alias("m"))
     return best.select("id_a", (-F.col("m.col2")).alias("id_b"), F.round("m.sim", 6).alias("sim"))
 
 
